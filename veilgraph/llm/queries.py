@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilgraph.llm import decontam, neardup, packing, quality, sharding
+from veilgraph.llm import ctxmix, decontam, neardup, packing, quality, sharding
 from veilgraph.llm._common import table
 
 
@@ -36,12 +36,17 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("__thash", "__first")
 
 
+def op10_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctxmix.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_quality": op4_quality,
     "op5_pack": op5_pack,
     "op6_shards": op6_shards,
     "op8_near_duplicates": op8_near_duplicates,
+    "op10_score": op10_score,
 }
 
 ORACLE_SQL: dict[str, str] = {}
