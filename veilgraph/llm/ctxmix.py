@@ -1,8 +1,8 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is a sequence of tokens: words between ASCII white space, A-Z lower-cased, and one end token.
-A frequent token (of the `vocabulary` most frequent training tokens) is one symbol; any other is an
-escape, its bytes and a stop. Each symbol is a path through a Huffman tree, so coding a text is a
+A frequent token (of the `vocabulary` most frequent training tokens) is one symbol; any other, and any seen once, is an
+escape and its bytes, two at a time, closed by a byte that UTF-8 never has. Each symbol is a path through a Huffman tree, so coding a text is a
 sequence of binary decisions. For each decision three predictors know how often the bit was 1 in the
 training texts after (tree node), (node, previous symbol) and (node, two previous symbols); the latter
 two live in hashed tables of fixed size. Their log-odds are mixed with weights that a gate selects (kind
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,10 +40,12 @@ VOCABULARY = 196_608
 TABLE_BITS = 20
 BLOCK, LANES = 128, 256
 PART = 1 << 14
-RATE, MAP_PRIOR, MAP_CELLS = 0.002, 24.0, 33
-#: Starting weights of the predictors (node, one, two symbols) by what the longest context has seen.
-START = ((0.65, 0.35, 0.0), (0.45, 0.35, 0.2), (0.2, 0.35, 0.45))
+RATE, MAP_PRIOR, MAP_CELLS = 0.008, 24.0, 33
+CHUNK = 8192
 GATES = 24
+#: Starting weights of the predictors (node, one, two symbols) of each gate: words then pairs of bytes, by
+#: depth, by what the longest context has seen.
+START = ((0.7, 0.3, 0.0), (0.5, 0.4, 0.1), (0.4, 0.4, 0.2)) * 4 + ((0.3, 0.6, 0.1), (0.1, 0.5, 0.4), (0.0, 0.4, 0.6)) * 4
 _K1, _K2, _K3 = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
@@ -73,22 +76,30 @@ def huffman(weights: list[int]) -> list[tuple[list[int], list[int]]]:
     return paths
 
 
+def pairs(word: bytes) -> tuple[int, ...]:
+    """The word's bytes with a closing 255, two at a time."""
+    closed = word + (b"\xff" if len(word) % 2 else b"\xff\xff")
+    return struct.unpack(f"<{len(closed) // 2}H", closed)
+
+
 def build_codes(words: list[bytes], counts: list[int], rare: int) -> dict:
-    """Symbols: the words, the escape, 256 bytes, the stop. Arrays with every symbol's nodes and bits."""
-    spelled = Counter(itertools.chain.from_iterable(words))
+    """Symbols: the words, the escape, pairs of bytes. Arrays with every symbol's nodes, bits and gates."""
+    spelled = Counter(itertools.chain.from_iterable(map(pairs, words)))
     paths = huffman([*[max(1, c) for c in counts], max(1, rare)])
     inner = len(words) or 1
-    letters = huffman([1 + spelled.get(b, 0) for b in range(256)] + [1 + len(words)])
-    paths += [([x + inner for x in nodes], bits) for nodes, bits in letters]
+    paths += [([x + inner for x in nodes], bits) for nodes, bits in huffman([1 + 64 * spelled.get(i, 0) for i in range(1 << 16)])]
     length = np.array([len(p[0]) for p in paths], np.int64)
+    node = np.array(list(itertools.chain.from_iterable(p[0] for p in paths)), np.int32)
+    depth = np.arange(len(node)) - np.repeat(np.cumsum(length) - length, length)
     return {
         "words": words,
         "length": length,
         "start": np.cumsum(length) - length,
-        "node": np.array(list(itertools.chain.from_iterable(p[0] for p in paths)), np.uint32),
+        "node": node,
+        "step": node.astype(np.uint32) * _K2,
+        "gate": (12 * (node >= inner) + 3 * np.minimum(depth >> 2, 3)).astype(np.int32),
         "bit": np.array(list(itertools.chain.from_iterable(p[1] for p in paths)), np.uint8),
-        "nodes": inner + 256,
-        "inner": inner,
+        "nodes": inner + (1 << 16),
     }
 
 
@@ -107,36 +118,47 @@ class Coder:
         ids = list(map(self.of.get, own))
         if None not in ids:
             return np.array(ids, np.int64), [], ids
-        escape = self.escape
+        first = self.escape + 1
         out: list[int] = []
-        for w, i in zip(own, ids, strict=True):
+        rare = []
+        for i, w in zip(ids, own, strict=True):
             if i is not None:
                 out.append(i)
             else:
-                out.append(escape)
-                out.extend([escape + 1 + b for b in w])
-                out.append(escape + 257)
-        rare = [w for w, i in zip(own, ids, strict=True) if i is None]
-        return np.array(out, np.int64), rare, [i for i in ids if i is not None]
+                out.append(-1)
+                out.extend(pairs(w))
+                rare.append(w)
+        # Words are told from pairs by where the escapes (-1) are and how long their words are.
+        symbols = np.array(out, np.int64)
+        at = np.flatnonzero(symbols == -1)
+        spelled = np.array([len(w) // 2 + 1 for w in rare], np.int64)
+        inside = np.zeros(len(symbols) + 1, np.int64)
+        inside[at + 1] += 1
+        inside[at + 1 + spelled] -= 1
+        symbols += first * np.cumsum(inside[:-1])
+        symbols[at] = self.escape
+        return symbols, rare, [i for i in ids if i is not None]
 
     def decisions(self, now: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For symbols and the two before each: index of the symbol, depth, node, bit and the hashed slots."""
+        """For symbols and the two before each: index of the symbol, index into the codes, and the hashed slots."""
         c = self.codes
         length = c["length"][now]
-        at = np.repeat(np.arange(len(now)), length)
-        depth = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
-        flat = c["start"][now][at] + depth
-        node, bit = c["node"][flat], c["bit"][flat]
+        at = np.repeat(np.arange(len(now), dtype=np.int32), length)
+        flat = np.repeat(c["start"][now] - (np.cumsum(length) - length), length)
+        flat += np.arange(len(flat))
         h1 = (one + 1).astype(np.uint32) * _K1
-        h2 = (h1 ^ (h1 >> np.uint32(15))) * _K2 + (two + 1).astype(np.uint32) * _K3
-        step = (node + np.uint32(1)) * _K2
+        h1 ^= h1 >> np.uint32(15)
+        h2 = (h1 * _K2 + (two + 1).astype(np.uint32)) * _K3
+        h2 ^= h2 >> np.uint32(13)
+        step = c["step"][flat]
         slots = []
         for h in (h1, h2):
-            x = h[at] ^ step
-            x = (x ^ (x >> np.uint32(16))) * _K3
-            x = (x ^ (x >> np.uint32(13))) * _K1
-            slots.append((x >> self.shift).astype(np.int64))
-        return at, depth, node.astype(np.int64), bit, slots[0], slots[1]
+            x = h[at]
+            x ^= step
+            x *= _K3
+            x >>= self.shift
+            slots.append(x)
+        return at, flat, slots[0], slots[1]
 
 
 def before(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,11 +213,12 @@ def table_counts(texts: DataFrame, codes: dict, bits: int) -> list[np.ndarray]:
                 parts = [coder.symbols(t)[0] for t in raw]
                 flat, size = np.concatenate(parts), np.array([len(p) for p in parts])
                 one, two = before(flat, np.cumsum(size) - size)
-                for i in range(0, len(flat), LANES * BLOCK):
-                    s = slice(i, i + LANES * BLOCK)
-                    _, _, node, bit, first, second = coder.decisions(flat[s], one[s], two[s])
-                    for own, slot in zip(counts, (node, first, second), strict=True):
-                        own += np.bincount(2 * slot + bit, minlength=len(own)).astype(np.uint32)
+                for i in range(0, len(flat), CHUNK):
+                    s = slice(i, i + CHUNK)
+                    _, code, first, second = coder.decisions(flat[s], one[s], two[s])
+                    bit = coder.codes["bit"][code]
+                    for own, slot in zip(counts, (coder.codes["node"][code], first, second), strict=True):
+                        np.add.at(own, 2 * slot.astype(np.int64) + bit, np.uint32(1))
         yield _flush(counts, TaskContext.get().partitionId())
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
@@ -244,37 +267,38 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray]) -> np.ndarra
     size = np.array([len(p) for p in parts])
     flat, first = np.concatenate(parts), np.cumsum(size) - size
     one, two = before(flat, first)
-    lanes, inner = len(parts), coder.codes["inner"]
-    weights = np.tile(np.array([START[g % 3] for g in range(GATES)], np.float32), (lanes, 1)).reshape(lanes * GATES, 3)
+    lanes, codes, f = len(parts), coder.codes, np.float32
+    weights = [np.tile(np.array([w[i] for w in START], f), lanes) for i in range(3)]
     middle = (np.arange(MAP_CELLS) - MAP_CELLS // 2) / 2.0
     ones = np.tile(MAP_PRIOR / (1 + np.exp(-middle)), 2 * lanes)
     seen = np.full(2 * lanes * MAP_CELLS, MAP_PRIOR)
+    refined = (ones / seen).astype(f)
     out = np.zeros(lanes)
     for s in range(0, int(size.max(initial=0)), BLOCK):
         active = int((size > s).sum())
         length = np.minimum(BLOCK, size[:active] - s)
         lane = np.repeat(np.arange(active), length)
-        at = np.repeat(first[:active] + s, length) + np.arange(len(lane)) - np.repeat(np.cumsum(length) - length, length)
-        owner, depth, node, bit, slot1, slot2 = coder.decisions(flat[at], one[at], two[at])
-        who = lane[owner]
-        kind = node >= inner
-        gate = 12 * kind + 3 * np.minimum(depth >> 2, 3) + model["seen"][slot2]
-        own = who * GATES + gate
-        x = [model["odds"][0][node], model["odds"][1][slot1], model["odds"][2][slot2]]
-        w = weights[own]
-        dot = np.clip(w[:, 0] * x[0] + w[:, 1] * x[1] + w[:, 2] * x[2], -8, 8)
+        at = np.repeat(first[:active] + s - (np.cumsum(length) - length), length) + np.arange(len(lane))
+        owner, code, slot1, slot2 = coder.decisions(flat[at], one[at], two[at])
+        gate, bit, who = codes["gate"][code], codes["bit"][code], lane[owner]
+        own = who * GATES + gate + model["seen"][slot2]
+        x = [model["odds"][0][codes["node"][code]], model["odds"][1][slot1], model["odds"][2][slot2]]
+        dot = weights[0][own] * x[0]
+        dot += weights[1][own] * x[1]
+        dot += weights[2][own] * x[2]
+        np.clip(dot, -8, 8, out=dot)
         p = 1 / (1 + np.exp(-dot))
-        cell = (2 * who + kind) * MAP_CELLS + np.rint(2 * dot).astype(np.int64) + MAP_CELLS // 2
-        q = 0.5 * (p + ones[cell] / seen[cell])
-        q = np.clip(np.where(bit == 1, q, 1 - q), 1e-7, 1.0)
+        cell = (2 * who + (gate >= 12)) * MAP_CELLS + np.rint(2 * dot).astype(np.int64) + MAP_CELLS // 2
+        q = f(0.5) * (p + refined[cell])
+        q = np.maximum(np.abs(q - (1 - bit)), f(1e-7))
         out[:active] += np.bincount(who, np.log(q), minlength=active)
         error = bit - p
-        top = active * GATES
-        for i in range(3):
-            weights[:top, i] += np.clip(RATE * np.bincount(own, error * x[i], minlength=top), -0.2, 0.2)
-        cells = 2 * active * MAP_CELLS
+        top, cells = active * GATES, active * 2 * MAP_CELLS
+        for w, v in zip(weights, x, strict=True):
+            w[:top] += np.clip(RATE * np.bincount(own, error * v, minlength=top), -0.2, 0.2)
         ones[:cells] += np.bincount(cell, bit, minlength=cells)
         seen[:cells] += np.bincount(cell, minlength=cells)
+        refined[:cells] = ones[:cells] / seen[:cells]
     back = np.empty(lanes)
     back[order] = out
     return back
@@ -288,7 +312,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     training = source.where(~F.col("held_out")).select("__text")
     counts = materialize(token_counts(training), "tokens")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(vocabulary).collect()
+    # Tokens seen once are spelled out in training too: they stand for those that training never saw.
+    top = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(vocabulary).collect()
     codes = build_codes([bytes(r["token"]) for r in top], [r["n"] for r in top], total - sum(r["n"] for r in top))
     model = predictors(table_counts(training, codes, bits))
     over = total + 0.1 * (kinds + 1)
