@@ -158,11 +158,15 @@ def certify(good: list[int], bad: list[int], n: int, cutoffs: list[float], alpha
     return at
 
 
+def _cutoffs_reached(value: Column, grid: list[float]) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, grid)), lambda c: c <= value))
+
+
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str, stratum_col: str, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
     """Rule: stratum: cutoff, from the holdout rows of measured()."""
     held = measured.join(_labels(labels, id_col).where("NOT __fit"), F.col(id_col) == F.col("__id"))
     stratum = F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("\0"))
-    bins = [F.struct(F.lit(rule).alias("rule"), F.size(F.filter(F.array(*map(F.lit, GRID[rule])), lambda c, v=v: c <= v)).alias("bin")) for rule, v in rule_values().items()]
+    bins = [F.struct(F.lit(rule).alias("rule"), _cutoffs_reached(value, GRID[rule]).alias("bin")) for rule, value in rule_values().items()]
     rows = held.select(stratum.alias("s"), "__bad", F.explode(F.array(*bins)).alias("x")).groupBy("s", "x.rule", "x.bin").agg(F.count_if(~F.col("__bad")).alias("good"), F.count_if("__bad").alias("bad"))
     tally: dict[str, dict[str, tuple[list[int], list[int]]]] = {}
     for r in rows.collect():
