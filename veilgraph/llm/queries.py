@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilgraph.llm import ctxmix, decontam, neardup, packing, pii, quality, sharding
+from veilgraph.llm import chunkdedup, ctxmix, decontam, neardup, packing, pii, quality, sharding, warc
 from veilgraph.llm._common import table
 
 
@@ -36,10 +36,18 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("__thash", "__first")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkdedup.find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctxmix.score(table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_pack": op5_pack,
     "op6_shards": op6_shards,
+    "op7_warc": op7_warc,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_repeats": op9_repeats,
     "op10_score": op10_score,
 }
 
