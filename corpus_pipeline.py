@@ -1,8 +1,55 @@
-"""Corpus pipeline: quality rules, near-dedup, decontamination, PII, packing."""
+"""Corpus pipeline over documents: quality rules, near-dedup, decontamination, PII, packing.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage takes the documents that its predecessor kept, written and read again; all but the last
+return the columns of documents. Part of the training-data operators in veilgraph.llm.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from veilgraph.llm import decontam, neardup, packing, pii, quality
+from veilgraph.llm._common import materialize, table
+from veilgraph.llm.queries import tokenizer_path
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.remove_near_duplicates(docs)
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def private_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.sanitise(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_documents),
+    ("near_dedup", distinct_documents),
+    ("decontaminate", clean_documents),
+    ("personal_data", private_documents),
+    ("pack", packed_sequences),
+]
+
+#: Signatures, fitted cutoffs and tokenizers aren't SQL; tests hold the stages against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage in order; what a stage returns is written to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilgraph.llm import chunkdedup, ctxmix, decontam, neardup, packing, pii, quality, sharding, warc
+from veilgraph.llm import chat, chunkdedup, ctxmix, decontam, neardup, packing, pii, quality, sharding, warc
 from veilgraph.llm._common import table
 
 
@@ -24,6 +24,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op3_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.recover_roles(table(spark, sf_dir, "conversations"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ def op10_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_personal_data": op2_personal_data,
+    "op3_roles": op3_roles,
     "op4_quality": op4_quality,
     "op5_pack": op5_pack,
     "op6_shards": op6_shards,
