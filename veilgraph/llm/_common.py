@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgraph.store import materialize, new_path, release, shared_dir
+
+__all__ = ["as_bytes", "materialize", "new_path", "release", "row_id", "shared_dir", "small_batches", "table", "words"]
+
 #: Rows in an Arrow batch: bounds what a Python worker holds of long texts.
 BATCH_ROWS = 1024
 
@@ -23,38 +24,6 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORD_TABLE).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only on one machine where none is named."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="veilgraph-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/veilgraph/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and fixes row identities."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate table that the operators left in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veilgraph")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of the Arrow batches that later plans of this session send to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
