@@ -5,8 +5,8 @@ last 16 bytes only. A chunk ends where h is among the lowest 1 in `EVERY` values
 the `LEAST` bytes before; chunks of more than `MOST` bytes are cut. Borders thus depend on nearby
 content alone, and an insertion shifts no border beyond its neighbourhood. Chunks are identified by
 digest and counted over the whole corpus. A run of consecutive chunks that all occur elsewhere too, of
-`WORDS` words or more, is a repeated passage; it stays where its chunks occur first and is removed from
-the other places.
+`WORDS` words or more, is a repeated passage; it stays where its chunks occur first, and what other places
+have of it in `WORDS` words or more on end is removed there.
 
 Digests are pre-aggregated before the shuffle; only digests that occur twice or more are joined back.
 Texts aren't shuffled unless the cleaned text is asked for.
@@ -18,6 +18,7 @@ then the earliest place. Repeated rows are repeated passages.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,13 +115,10 @@ def _judge(rows: DataFrame, carry: list[str], least: int) -> DataFrame:
                         n += b - a + 1
                         words += w
                         found.append((ends[a - 1] if a else 0, ends[b]))
-                        for at, first in dups[i : j + 1]:
-                            if not first:
-                                s = (ends[at - 1] if at else 0, ends[at])
-                                if removed and removed[-1][1] == s[0]:
-                                    removed[-1] = (removed[-1][0], s[1])
-                                else:
-                                    removed.append(s)
+                        for first, own in itertools.groupby(dups[i : j + 1], key=lambda d: d[1]):
+                            x, *_, y = [at for at, _ in own] * 2
+                            if not first and sum(begun[x : y + 1]) >= least:
+                                removed.append((ends[x - 1] if x else 0, ends[y]))
                     i = j + 1
                 show = [",".join(f"{x}:{y}" for x, y in spans) for spans in (found, removed)]
                 out.append((len(ends), n, len(found), words, sum(y - x for x, y in removed), *show))

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 SMALL, LEADERS = 64, 32
 WORDS_KNOWN = 400_000
+#: Texts signed together; a text of more words ends its group.
+GROUP, LONG = 64, 20_000
 
 _P, _Q, _R, _S = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 #: P(Poisson(1) <= i).
@@ -55,10 +58,10 @@ class Shingler:
 
     def __init__(self, size: int) -> None:
         self.size = size
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def _hash(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    def _hash(self, word: bytes) -> bytes:
+        h = xxhash.xxh3_64_digest(word)
         if len(self.known) >= WORDS_KNOWN:
             self.known.clear()
         self.known[word] = h
@@ -67,62 +70,88 @@ class Shingler:
     def __call__(self, w: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles and their counts."""
         get = self.known.get
-        h = np.array([get(x) or self._hash(x) for x in w], np.uint64)
+        h = np.frombuffer(b"".join([get(x) or self._hash(x) for x in w]), np.uint64)
         n = max(1, len(h) - self.size + 1)
         if len(h) < self.size:
             h = np.concatenate([h, np.zeros(self.size - len(h), np.uint64)])
-        out = np.zeros(n, np.uint64)
-        for i in range(self.size):
-            out = out * _P + mix(h[i : i + n] + _S)
-        return np.unique(mix(out), return_counts=True)
-
-
-def dart_minhash(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """For each of k coordinates the dart of least rank; elements are distinct 64-bit hashes, weights positive."""
-    weights = np.asarray(weights, float)
-    if (weights == 1).all():
-        key0, base, top = elements, 0.0, 1.0
+        h = mix(h + _S)
+        out = h[:n].copy()
+        for i in range(1, self.size):
+            out *= _P
+            out += h[i : i + n]
+        out = np.sort(mix(out))
+        new = np.flatnonzero(out[1:] != out[:-1]) + 1
+        if len(new) == n - 1:
+            return out, np.ones(n, np.int64)
+        starts = np.concatenate([[0], new])
+        return out[starts], np.diff(starts, append=n)
+
+
+def dart_minhashes(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """For each weighted set, and each of k coordinates, the dart of least rank.
+
+    A set is (distinct 64-bit hashes, positive weights). All sets are worked on together: a unit cell
+    is (element, weight cell, rank cell), and the ranks looked at grow for sets with empty coordinates.
+    """
+    n_sets = len(sets)
+    sizes = np.array([len(e) for e, _ in sets])
+    elements = np.concatenate([e for e, _ in sets])
+    weights = np.concatenate([w for _, w in sets]).astype(float)
+    owner = np.repeat(np.arange(n_sets), sizes)
+    cells = np.ceil(weights).astype(np.int64)
+    if (cells > 1).any():
+        at = np.repeat(np.arange(len(cells)), cells)
+        base = (np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)).astype(float)
+        key, top, owner = elements[at], weights[at], owner[at]
+        more = base > 0
+        key[more] = mix(key[more] + base[more].astype(np.uint64) * _P)
     else:
-        cells = np.ceil(weights).astype(np.int64)
-        owner = np.repeat(np.arange(len(elements)), cells)
-        base = (np.arange(len(owner)) - np.repeat(np.cumsum(cells) - cells, cells)).astype(float)
-        key0, top = mix(elements[owner] + base.astype(np.uint64) * _P), weights[owner]
-        key0 = np.where(base == 0, elements[owner], key0)
-    low, high = 0.0, (k * math.log(k) + 2 * k) / weights.sum()
-    best = np.full(k, np.inf)
-    dart = np.zeros(k, np.uint64)
+        key, top, base = elements, weights, np.zeros(len(elements))
+    whole = bool((top - base >= 1).all())
+    low, high = np.zeros(n_sets), (k * math.log(k) + 2 * k) / np.bincount(np.repeat(np.arange(n_sets), sizes), weights, n_sets)
+    best, dart = np.full(n_sets * k, np.inf), np.zeros(n_sets * k, np.uint64)
+    open_ = np.arange(len(key))
     while True:
-        for r in range(int(low), math.ceil(high)):
-            cell = mix(key0 + np.uint64((r + 1) * int(_S) & (2**64 - 1)))
-            u = (cell >> np.uint64(11)).astype(float) * 2.0**-53
-            count = np.searchsorted(_POISSON, u)
-            at = np.repeat(np.arange(len(cell)), count)
-            nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-            thrown = mix(cell[at] + (nth + 1).astype(np.uint64) * _R)
-            place = mix(thrown)
-            rank = r + (place >> np.uint64(32)).astype(float) * 2.0**-32
-            keep = (rank >= low) & (rank < high)
-            if not np.isscalar(top):
-                keep &= base[at] + (place & np.uint64(0xFFFFFFFF)).astype(float) * 2.0**-32 < top[at]
-            thrown, rank = thrown[keep], rank[keep]
-            coordinate = (thrown % np.uint64(k)).astype(np.int64)
-            order = np.argsort(rank, kind="stable")[::-1]
-            c, v, t = coordinate[order], rank[order], thrown[order]
-            first_rank, first_dart = np.full(k, np.inf), np.zeros(k, np.uint64)
-            first_rank[c], first_dart[c] = v, t  # of several darts the last written, that of least rank, stays
-            better = first_rank < best
-            best, dart = np.where(better, first_rank, best), np.where(better, first_dart, dart)
-        if np.isfinite(best).all():
-            return dart
+        own = owner[open_]
+        first, times = np.floor(low[own]).astype(np.int64), (np.ceil(high[own]) - np.floor(low[own])).astype(np.int64)
+        at = np.repeat(open_, times)
+        r = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+        cell = mix(key[at] + (r + 1).astype(np.uint64) * _S)
+        count = np.searchsorted(_POISSON, (cell >> np.uint64(11)).astype(float) * 2.0**-53)
+        some = np.repeat(np.arange(len(cell)), count)
+        nth = np.arange(len(some)) - np.repeat(np.cumsum(count) - count, count)
+        thrown = mix(cell[some] + (nth + 1).astype(np.uint64) * _R)
+        place = mix(thrown)
+        rank = r[some] + (place >> np.uint64(32)).astype(float) * 2.0**-32
+        at = at[some]
+        whose = owner[at]
+        keep = (rank >= low[whose]) & (rank < high[whose])
+        if not whole:
+            keep &= base[at] + (place & np.uint64(0xFFFFFFFF)).astype(float) * 2.0**-32 < top[at]
+        thrown, rank, whose = thrown[keep], rank[keep], whose[keep]
+        slot = whose * k + (thrown % np.uint64(k)).astype(np.int64)
+        np.minimum.at(best, slot, rank)
+        least = rank == best[slot]
+        dart[slot[least]] = thrown[least]
+        empty = ~np.isfinite(best).reshape(n_sets, k).all(axis=1)
+        if not empty.any():
+            return dart.reshape(n_sets, k)
+        open_ = np.flatnonzero(empty[owner])
         low, high = high, 2 * high
 
 
-def band_keys(signature: np.ndarray, bands: int, rows: int) -> list[int]:
-    parts = signature[: bands * rows].reshape(bands, rows)
-    key = np.arange(1, bands + 1, dtype=np.uint64) * _S
+def dart_minhash(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """The signature of one weighted set."""
+    return dart_minhashes([(elements, weights)], k)[0]
+
+
+def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys of the bands of each signature."""
+    parts = signatures[:, : bands * rows].reshape(len(signatures), bands, rows)
+    key = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * _S, (len(signatures), 1))
     for i in range(rows):
-        key = mix(key * _P + parts[:, i])
-    return key.view(np.int64).tolist()
+        key = mix(key * _P + parts[:, :, i])
+    return key.view(np.int64)
 
 
 def _text_hash(text_col: str) -> Column:
@@ -136,18 +165,24 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         for batch in batches:
-            digests, keys, seen = [], [], {}
+            digests, sets, of = [], [], {}
+            keys: list[list[int]] = []
+
+            def sign() -> None:
+                if sets:
+                    keys.extend(band_keys(dart_minhashes(sets, bands * rows), bands, rows).tolist())
+                    sets.clear()
+
             for text in as_bytes(batch.column(2)):
                 w = words(text or b"")
-                if not w:
-                    digests.append(None)
-                    keys.append(None)
-                    continue
-                digest = hashlib.blake2b(b" ".join(w), digest_size=16).digest()
-                if digest not in seen:
-                    seen[digest] = band_keys(dart_minhash(*shingler(w), bands * rows), bands, rows)
-                digests.append(digest)
-                keys.append(seen[digest])
+                digests.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None)
+                if w and digests[-1] not in of:
+                    of[digests[-1]] = len(of)
+                    sets.append(shingler(w))
+                    if len(sets) == GROUP or len(w) > LONG:
+                        sign()
+            sign()
+            keys = [None if d is None else keys[of[d]] for d in digests]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [id_col, "__thash", "__digest", "__keys"])
 
     source = docs.select(F.col(f"`{id_col}`"), _text_hash(text_col).alias("__thash"), F.col(f"`{text_col}`").cast("string").alias("__text"))
