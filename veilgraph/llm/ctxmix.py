@@ -38,7 +38,7 @@ from veilgraph.llm._common import as_bytes, materialize, small_batches
 
 VOCABULARY = 196_608
 TABLE_BITS = 20
-BLOCK, LANES = 128, 256
+BLOCK, LANES = 128, 128
 PART = 1 << 14
 RATE, MAP_PRIOR, MAP_CELLS = 0.008, 24.0, 33
 CHUNK = 8192
@@ -98,6 +98,7 @@ def build_codes(words: list[bytes], counts: list[int], rare: int) -> dict:
         "node": node,
         "step": node.astype(np.uint32) * _K2,
         "gate": (12 * (node >= inner) + 3 * np.minimum(depth >> 2, 3)).astype(np.int32),
+        "row": (MAP_CELLS * (node >= inner) + MAP_CELLS // 2).astype(np.int32),
         "bit": np.array(list(itertools.chain.from_iterable(p[1] for p in paths)), np.uint8),
         "nodes": inner + (1 << 16),
     }
@@ -112,52 +113,44 @@ class Coder:
         self.escape = len(codes["words"])
         self.shift = np.uint32(32 - bits)
 
-    def symbols(self, text: bytes) -> tuple[np.ndarray, list[bytes], list[int]]:
+    def symbols(self, text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """Symbols of the text with its end, its rare tokens, and the vocabulary ids of the others."""
         own = [*tokens(text), b""]
-        ids = list(map(self.of.get, own))
-        if None not in ids:
-            return np.array(ids, np.int64), [], ids
-        first = self.escape + 1
-        out: list[int] = []
-        rare = []
-        for i, w in zip(ids, own, strict=True):
-            if i is not None:
-                out.append(i)
-            else:
-                out.append(-1)
-                out.extend(pairs(w))
-                rare.append(w)
-        # Words are told from pairs by where the escapes (-1) are and how long their words are.
-        symbols = np.array(out, np.int64)
-        at = np.flatnonzero(symbols == -1)
-        spelled = np.array([len(w) // 2 + 1 for w in rare], np.int64)
-        inside = np.zeros(len(symbols) + 1, np.int64)
-        inside[at + 1] += 1
-        inside[at + 1 + spelled] -= 1
-        symbols += first * np.cumsum(inside[:-1])
-        symbols[at] = self.escape
-        return symbols, rare, [i for i in ids if i is not None]
+        ids = np.array(list(map(self.of.get, own, itertools.repeat(-1))), np.int64)
+        at = np.flatnonzero(ids < 0)
+        if not len(at):
+            return ids, [], ids
+        rare = [own[i] for i in at.tolist()]
+        spelled = np.frombuffer(b"".join([w + (b"\xff" if len(w) % 2 else b"\xff\xff") for w in rare]), "<u2")
+        size = np.array([len(w) // 2 + 1 for w in rare], np.int64)
+        width = np.ones(len(ids), np.int64)
+        width[at] += size
+        first = np.cumsum(width) - width
+        out = np.empty(int(width.sum()), np.int64)
+        out[first] = np.where(ids < 0, self.escape, ids)
+        inside = np.repeat(first[at] + 1 - (np.cumsum(size) - size), size) + np.arange(len(spelled))
+        out[inside] = spelled.astype(np.int64) + self.escape + 1
+        return out, rare, ids[ids >= 0]
 
     def decisions(self, now: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
         """For symbols and the two before each: index of the symbol, index into the codes, and the hashed slots."""
         c = self.codes
-        length = c["length"][now]
-        at = np.repeat(np.arange(len(now), dtype=np.int32), length)
-        flat = np.repeat(c["start"][now] - (np.cumsum(length) - length), length)
+        length = c["length"].take(now)
+        at = np.repeat(np.arange(len(now)), length)
+        flat = np.repeat(c["start"].take(now) - (np.cumsum(length) - length), length)
         flat += np.arange(len(flat))
         h1 = (one + 1).astype(np.uint32) * _K1
         h1 ^= h1 >> np.uint32(15)
         h2 = (h1 * _K2 + (two + 1).astype(np.uint32)) * _K3
         h2 ^= h2 >> np.uint32(13)
-        step = c["step"][flat]
+        step = c["step"].take(flat)
         slots = []
         for h in (h1, h2):
-            x = h[at]
+            x = h.take(at)
             x ^= step
             x *= _K3
             x >>= self.shift
-            slots.append(x)
+            slots.append(x.astype(np.int64))
         return at, flat, slots[0], slots[1]
 
 
@@ -216,8 +209,8 @@ def table_counts(texts: DataFrame, codes: dict, bits: int) -> list[np.ndarray]:
                 for i in range(0, len(flat), CHUNK):
                     s = slice(i, i + CHUNK)
                     _, code, first, second = coder.decisions(flat[s], one[s], two[s])
-                    bit = coder.codes["bit"][code]
-                    for own, slot in zip(counts, (coder.codes["node"][code], first, second), strict=True):
+                    bit = coder.codes["bit"].take(code)
+                    for own, slot in zip(counts, (coder.codes["node"].take(code), first, second), strict=True):
                         np.add.at(own, 2 * slot.astype(np.int64) + bit, np.uint32(1))
         yield _flush(counts, TaskContext.get().partitionId())
 
@@ -280,19 +273,30 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray]) -> np.ndarra
         lane = np.repeat(np.arange(active), length)
         at = np.repeat(first[:active] + s - (np.cumsum(length) - length), length) + np.arange(len(lane))
         owner, code, slot1, slot2 = coder.decisions(flat[at], one[at], two[at])
-        gate, bit, who = codes["gate"][code], codes["bit"][code], lane[owner]
-        own = who * GATES + gate + model["seen"][slot2]
-        x = [model["odds"][0][codes["node"][code]], model["odds"][1][slot1], model["odds"][2][slot2]]
-        dot = weights[0][own] * x[0]
-        dot += weights[1][own] * x[1]
-        dot += weights[2][own] * x[2]
-        np.clip(dot, -8, 8, out=dot)
-        p = 1 / (1 + np.exp(-dot))
-        cell = (2 * who + (gate >= 12)) * MAP_CELLS + np.rint(2 * dot).astype(np.int64) + MAP_CELLS // 2
-        q = f(0.5) * (p + refined[cell])
-        q = np.maximum(np.abs(q - (1 - bit)), f(1e-7))
-        out[:active] += np.bincount(who, np.log(q), minlength=active)
+        gate, bit, who = codes["gate"].take(code), codes["bit"].take(code), lane.take(owner)
+        own = who * GATES
+        own += gate
+        own += model["seen"].take(slot2)
+        x = [model["odds"][0].take(codes["node"].take(code)), model["odds"][1].take(slot1), model["odds"][2].take(slot2)]
+        dot = weights[0].take(own) * x[0]
+        for w, v in zip(weights[1:], x[1:], strict=True):
+            dot += w.take(own) * v
+        np.clip(dot, f(-8), f(8), out=dot)
+        p = np.exp(-dot)
+        p += f(1)
+        np.reciprocal(p, out=p)
+        dot *= f(2)
+        cell = np.rint(dot, out=dot).astype(np.int64)
+        cell += codes["row"].take(code)
+        cell += who * (2 * MAP_CELLS)
         error = bit - p
+        q = refined.take(cell)
+        q += p
+        q *= f(0.5)
+        q -= f(1) - bit
+        np.abs(q, out=q)
+        np.maximum(q, f(1e-7), out=q)
+        out[:active] += np.bincount(who, np.log(q, out=q), minlength=active)
         top, cells = active * GATES, active * 2 * MAP_CELLS
         for w, v in zip(weights, x, strict=True):
             w[:top] += np.clip(RATE * np.bincount(own, error * v, minlength=top), -0.2, 0.2)
@@ -332,7 +336,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                     symbols, rare, ids = coder.symbols(text)
                     parts.append(symbols)
                     tally = Counter(rare)
-                    rows.append([len(rare) + len(ids), len(ids), float(shared["base"][ids].sum()) if ids else 0.0, 0.0, len(text), list(tally), list(tally.values())])
+                    rows.append([len(rare) + len(ids), len(ids), float(shared["base"][ids].sum()), 0.0, len(text), list(tally), list(tally.values())])
                 for r, s in zip(rows[-len(raw) :], score_group(coder, shared["model"], parts), strict=True):
                     r[3] = float(s)
             columns = list(zip(*rows, strict=True)) or [()] * 7
