@@ -106,14 +106,22 @@ def base_spans(text: Column) -> Column:
     return ordered
 
 
+def words(text: Column) -> Column:
+    """All words, A-Z lower-cased."""
+    return F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), _SPLIT)
+
+
 def terms(text: Column) -> Column:
     """Distinct words of at least three characters that aren't all digits."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.array_distinct(F.split(low, _SPLIT)), lambda w: (F.length(w) >= 3) & w.rlike("[^0-9]"))
+    return F.filter(F.array_distinct(words(text)), lambda w: (F.length(w) >= 3) & w.rlike("[^0-9]"))
+
+
+def _stem(w: Column) -> Column:
+    return F.substring(w, 1, PREFIX)
 
 
 def _class_of(w: Column) -> Column:
-    return F.concat(F.left(w, F.lit(PREFIX)), F.lit("*"))
+    return F.concat(_stem(w), F.lit("*"))
 
 
 def _with_classes(words: Column) -> Column:
@@ -133,16 +141,26 @@ def _context(text: Column, s: Column) -> Column:
     return out
 
 
-def _found(docs: DataFrame, keys: DataFrame, words: Column) -> DataFrame:
-    """docs with __hits: which of the keys (column key) are among the words."""
-    n = keys.count()
+def _found(docs: DataFrame, keys: DataFrame, text: Column) -> DataFrame:
+    """docs with __hits: which of the keys (column key: terms, and classes 'abc*') the text has.
+
+    An intersection leaves no repeats, so the words needn't be made distinct before it.
+    """
+    classes = F.col("key").endswith("*")
+    n, n_classes = keys.agg(F.count("*"), F.count_if(classes)).first()
+    empty = F.array().cast("array<string>")
     if n <= LITERAL:
         known = [r[0] for r in keys.orderBy("key").collect()]
-        empty = F.array().cast("array<string>")
-        return docs.withColumn("__hits", F.array_intersect(words, F.lit(known).cast("array<string>")) if known else empty)
+        plain, stems = [k for k in known if k[-1:] != "*"], [k[:-1] for k in known if k[-1:] == "*"]
+        hits = F.array_intersect(words(text), F.lit(plain).cast("array<string>")) if plain else empty
+        if stems:
+            own = F.array_intersect(F.transform(words(text), _stem), F.lit(stems).cast("array<string>"))
+            hits = F.concat(hits, F.transform(own, lambda w: F.concat(w, F.lit("*"))))
+        return docs.withColumn("__hits", hits)
     rows = materialize(docs.select("*", row_id("__row")), "documents")
-    hits = rows.select("__row", F.explode(words).alias("key")).join(keys, "key").groupBy("__row").agg(F.collect_set("key").alias("__hits"))
-    return rows.join(hits, "__row", "left").withColumn("__hits", F.coalesce("__hits", F.array().cast("array<string>"))).drop("__row")
+    every = _with_classes(words(text)) if n_classes else F.array_distinct(words(text))
+    hits = rows.select("__row", F.explode(every).alias("key")).join(keys, "key").groupBy("__row").agg(F.collect_set("key").alias("__hits"))
+    return rows.join(hits, "__row", "left").withColumn("__hits", F.coalesce("__hits", empty)).drop("__row")
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -167,7 +185,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     counted = materialize(counted.where((F.col("n_te") >= SUPPORT) & (F.col("h0") != F.col("h1"))).drop("h0", "h1").join(entities, "e"), "pairs")
 
     keys = counted.select("key").distinct()
-    seen = _found(source, keys, _with_classes(terms(F.col("__text")))).select(F.explode("__hits").alias("key")).groupBy("key").agg(F.count("*").alias("n_t"))
+    seen = _found(source, keys, F.col("__text")).select(F.explode("__hits").alias("key")).groupBy("key").agg(F.count("*").alias("n_t"))
     n = docs.count()
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
     value = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
@@ -187,7 +205,7 @@ def _term_spans(text: Column, hits: Column) -> Column:
 def _annotated(docs: DataFrame, risky: DataFrame, text_col: str) -> DataFrame:
     """docs with __text, __base and __terms (spans of disclosing terms outside base spans)."""
     rows = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    rows = _found(rows, risky.select(F.col("term").alias("key")), terms(F.col("__text")))
+    rows = _found(rows, risky.select(F.col("term").alias("key")), F.col("__text"))
     rows = rows.withColumn("__base", base_spans(F.col("__text")))
     outside = F.filter(_term_spans(F.col("__text"), F.col("__hits")), lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return rows.withColumn("__terms", F.transform(outside, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))))
