@@ -43,7 +43,11 @@ def test_pieces_decode_as_the_whole(spark):
     data = [(1, t, r, x) for _, t, r, x in rows(1, 300)] + [(2, t, r, x) for _, t, r, x in rows(3, 4)]
     d = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
     blocks = chat.raw_blocks(d)
-    staged = chat.stage(blocks, "key", "order", "text", "role")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        staged = chat.stage(blocks, "key", "order", "text", "role")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert staged.select("__part").distinct().count() > 1
     m = chat.fit(staged)
     got = {(r["__key"], r["__order"]): r["parsed_role"] for r in chat.parse(staged, m).collect() if r["__key"] == 1}
