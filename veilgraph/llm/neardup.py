@@ -9,10 +9,12 @@ similarity. About k log k darts are looked at whatever a text's length, beyond o
 
 Equal texts (same words) are joined into one class before anything else. Signatures are cut into bands;
 texts that share a band are candidates. In a band's bucket no all-pairs are made: every text is compared
-with the least of the bucket; then, where a bucket still holds several classes, with the leaders of the
-others, `LEADERS` at a time until each leader has had its turn, and in buckets of at most `SMALL` texts
-with every text of another class. Each candidate pair is verified on the shingles themselves, and
-classes are the connected components of verified pairs.
+with the least of the bucket; where a bucket then still holds several classes, and has at most `SMALL`
+texts, with every text of another class. In a larger one only texts that share a second band too are
+compared (a pair of similarity 0.8 shares two with probability 0.999), and where even so many share both
+bands, with the least text of each other class. Pairs of these later rounds that agree in fewer than
+`LIKELY` of the coordinates are dropped first (5 standard deviations below 0.8). Each remaining pair is
+verified on the shingles themselves, and classes are the connected components of verified pairs.
 
 Defined results: a text without words (null, empty) is its own class. A text of fewer than `shingle`
 words is one shingle. A class is named by its least id; null ids come last. Repeated rows are in one
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.llm._common import as_bytes, materialize, small_batches, words
@@ -36,7 +38,7 @@ from veilgraph.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
-SMALL, LEADERS = 64, 32
+SMALL, LIKELY = 64, 0.6
 WORDS_KNOWN = 400_000
 #: Texts signed together; a text of more words ends its group.
 GROUP, LONG = 64, 20_000
@@ -159,7 +161,7 @@ def _text_hash(text_col: str) -> Column:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """id, __thash (of the raw text), digest (of the words; null without words) and band keys of each row."""
+    """id, __thash (of the raw text), digest (of the words; null without words), band keys and sketch of each row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +169,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
         for batch in batches:
             digests, sets, of = [], [], {}
             keys: list[list[int]] = []
+            sketches: list[bytes] = []
 
             def sign() -> None:
                 if sets:
-                    keys.extend(band_keys(dart_minhashes(sets, bands * rows), bands, rows).tolist())
+                    signed = dart_minhashes(sets, bands * rows)
+                    keys.extend(band_keys(signed, bands, rows).tolist())
+                    sketches.extend(x.tobytes() for x in (signed >> np.uint64(56)).astype(np.uint8))
                     sets.clear()
 
             for text in as_bytes(batch.column(2)):
@@ -182,12 +187,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
                     if len(sets) == GROUP or len(w) > LONG:
                         sign()
             sign()
-            keys = [None if d is None else keys[of[d]] for d in digests]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [id_col, "__thash", "__digest", "__keys"])
+            own = [pa.array([None if d is None else x[of[d]] for d in digests], t) for x, t in ((keys, pa.list_(pa.int64())), (sketches, pa.binary()))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), *own], [id_col, "__thash", "__digest", "__keys", "__sketch"])
 
     source = docs.select(F.col(f"`{id_col}`"), _text_hash(text_col).alias("__thash"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     kind = source.schema.fields[0].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, __thash long, __digest binary, __keys array<long>")
+    return source.mapInArrow(run, f"`{id_col}` {kind}, __thash long, __digest binary, __keys array<long>, __sketch binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -211,6 +216,32 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose signatures agree in LIKELY of the coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield pa.record_batch([c.filter(pa.array((x == y).mean(axis=1) >= LIKELY)) for c in batch.columns[:2]], ["a", "b"])
+
+    x = sketches.select(F.col("__digest").alias("a"), F.col("__sketch").alias("x"))
+    y = sketches.select(F.col("__digest").alias("b"), F.col("__sketch").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def _across(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs of texts of different classes in a bucket."""
+    other = rows.select(key, F.col("__digest").alias("d2"), F.col("label").alias("l2"))
+    return rows.join(other, key).where("label <> l2 AND __digest < d2").select(F.col("__digest").alias("a"), F.col("d2").alias("b"))
+
+
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """rows of buckets with several classes, with n, their number in the bucket."""
+    found = rows.groupBy(key).agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most").select(key, "n")
+    return rows.join(found, key)
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     """Unordered distinct pairs."""
     return rows.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -218,7 +249,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, signed: DataFrame, text_col: str, shingle: int, threshold: float) -> DataFrame:
     """(node, label) of all digests that are linked with another."""
-    distinct = signed.where("__digest IS NOT NULL").groupBy("__digest").agg(F.first("__keys").alias("__keys"), F.min("__thash").alias("__thash"))
+    distinct = signed.where("__digest IS NOT NULL").groupBy("__digest").agg(F.first("__keys").alias("__keys"), F.first("__sketch").alias("__sketch"), F.min("__thash").alias("__thash"))
     rows = distinct.select("__digest", "__thash", F.explode("__keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("__digest").alias("center"), F.count("*").alias("n")).where("n > 1")
     buckets = materialize(rows.join(shared, "key"), "buckets")
@@ -229,22 +260,21 @@ def links(docs: DataFrame, signed: DataFrame, text_col: str, shingle: int, thres
 
     found = materialize(_verify(_pairs(buckets.select(F.col("center").alias("a"), F.col("__digest").alias("b"))), texts, shingle, threshold), "links")
     labels = components(found)
-    labelled = buckets.join(labels, buckets["__digest"] == labels["node"], "left").select("key", "__digest", "n", F.coalesce("label", "__digest").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    open_ = materialize(labelled.join(mixed, "key"), "open")
+    labelled = buckets.join(labels, buckets["__digest"] == labels["node"], "left").select("key", "__digest", F.coalesce("label", "__digest").alias("label"))
+    open_ = materialize(_mixed(labelled, "key"), "open")
     if open_.isEmpty():
         return labels
-    small = open_.where(F.col("n") <= SMALL)
-    other = small.select("key", F.col("__digest").alias("d2"), F.col("label").alias("l2"))
-    more = small.join(other, "key").where("label <> l2 AND __digest < d2").select(F.col("__digest").alias("a"), F.col("d2").alias("b"))
-    # The first leader of a bucket is its least text, which was compared with all in the first round.
-    leaders = open_.where(F.col("n") > SMALL).groupBy("key", "label").agg(F.min("__digest").alias("leader"))
-    leaders = materialize(leaders.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("leader")) - 1), "leaders")
-    turns = leaders.agg(F.max("turn")).first()[0] or 0
-    for first in range(1, turns + 1, LEADERS):
-        now = leaders.where(F.col("turn").between(first, first + LEADERS - 1)).select("key", F.col("leader"), F.col("label").alias("own"))
-        more = more.unionByName(open_.join(now, "key").where("label <> own").select(F.col("leader").alias("a"), F.col("__digest").alias("b")))
-    again = _verify(_pairs(more), texts, shingle, threshold)
+    more = _across(open_.where(F.col("n") <= SMALL), "key")
+    large = open_.where(F.col("n") > SMALL).select("key", "__digest", "label")
+    second = buckets.select("__digest", F.col("key").alias("key2"))
+    both = large.join(second, "__digest").where("key <> key2").select("__digest", "label", F.least("key", "key2").alias("k1"), F.greatest("key", "key2").alias("k2")).distinct()
+    both = materialize(_mixed(both.select("__digest", "label", F.struct("k1", "k2").alias("key")), "key"), "both")
+    more = more.unionByName(_across(both.where(F.col("n") <= SMALL), "key"))
+    crowd = both.where(F.col("n") > SMALL)
+    leaders = crowd.groupBy("key", "label").agg(F.min("__digest").alias("leader")).withColumnRenamed("label", "own")
+    more = more.unionByName(crowd.join(leaders, "key").where("label <> own").select(F.col("leader").alias("a"), F.col("__digest").alias("b")))
+    sketches = distinct.join(buckets.select("__digest").distinct(), "__digest").select("__digest", "__sketch")
+    again = _verify(materialize(_likely(_pairs(more), sketches), "likely"), texts, shingle, threshold)
     return components(found.unionByName(again))
 
 
