@@ -227,7 +227,7 @@ def stated_with(ages: DataFrame, dates: DataFrame) -> DataFrame:
     d = dates.where("category <> 'DATE_OF_BIRTH'").select("doc_id", F.col("entity_id").alias("date_id"), F.col("start").alias("ds"), F.col("end").alias("de"), F.col("sent_ix").alias("dx"))
     gap = F.greatest(F.col("ds") - F.col("end"), F.col("start") - F.col("de"), F.lit(0))
     near = ages.join(d, "doc_id").where("abs(sent_ix - dx) <= 1").withColumn("gap", gap)
-    w = Window.partitionBy("doc_id", "entity_id").orderBy("gap", "start", "ds")
+    w = Window.partitionBy("doc_id", "entity_id").orderBy("gap", "start", "ds", "date_id")
     return near.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("doc_id", F.col("entity_id").alias("age_id"), "date_id", "gap")
 
 

@@ -506,7 +506,7 @@ def _event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "age_with_nearest_date",
     f"""WITH p AS ({_SPANS}) SELECT doc_id, age_id, date_id, gap FROM (SELECT a.doc_id, a.id AS age_id, d.id AS date_id, greatest(d.s - a.e, a.s - d.e, 0) AS gap,
-        row_number() OVER (PARTITION BY a.doc_id, a.id ORDER BY greatest(d.s - a.e, a.s - d.e, 0), d.s) AS n FROM p a JOIN p d ON a.doc_id = d.doc_id AND a.is_age AND NOT d.is_age AND abs(a.x - d.x) <= 1) WHERE n = 1""",
+        row_number() OVER (PARTITION BY a.doc_id, a.id ORDER BY greatest(d.s - a.e, a.s - d.e, 0), d.s, d.id) AS n FROM p a JOIN p d ON a.doc_id = d.doc_id AND a.is_age AND NOT d.is_age AND abs(a.x - d.x) <= 1) WHERE n = 1""",
 )
 def age_with_nearest_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _event_spans(spark, sf_dir)
