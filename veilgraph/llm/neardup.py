@@ -9,12 +9,12 @@ similarity. About k log k darts are looked at whatever a text's length, beyond o
 
 Equal texts (same words) are joined into one class before anything else. Signatures are cut into bands;
 texts that share a band are candidates. In a band's bucket no all-pairs are made: every text is compared
-with the least of the bucket; where a bucket then still holds several classes, and has at most `SMALL`
-texts, with every text of another class. In a larger one only texts that share a second band too are
-compared (a pair of similarity 0.8 shares two with probability 0.999), and where even so many share both
-bands, with the least text of each other class. Pairs of these later rounds that agree in fewer than
-`LIKELY` of the coordinates are dropped first (5 standard deviations below 0.8). Each remaining pair is
-verified on the shingles themselves, and classes are the connected components of verified pairs.
+with the least of the bucket. Where a bucket then still holds several classes, texts that share a second
+band too are compared (a pair of similarity 0.8 shares two with probability 0.999): with every text of
+another class, or, where more than `SMALL` share both bands, with the least text of each other class. Of
+these pairs those that agree in fewer than `LIKELY` of the coordinates are dropped first (5 standard
+deviations below 0.8). Each remaining pair is verified on the shingles themselves, and classes are the
+connected components of verified pairs.
 
 Defined results: a text without words (null, empty) is its own class. A text of fewer than `shingle`
 words is one shingle. A class is named by its least id; null ids come last. Repeated rows are in one
@@ -38,7 +38,7 @@ from veilgraph.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
-SMALL, LIKELY = 64, 0.6
+SMALL, LIKELY = 16, 0.6
 WORDS_KNOWN = 400_000
 #: Texts signed together; a text of more words ends its group.
 GROUP, LONG = 64, 20_000
@@ -264,12 +264,10 @@ def links(docs: DataFrame, signed: DataFrame, text_col: str, shingle: int, thres
     open_ = materialize(_mixed(labelled, "key"), "open")
     if open_.isEmpty():
         return labels
-    more = _across(open_.where(F.col("n") <= SMALL), "key")
-    large = open_.where(F.col("n") > SMALL).select("key", "__digest", "label")
     second = buckets.select("__digest", F.col("key").alias("key2"))
-    both = large.join(second, "__digest").where("key <> key2").select("__digest", "label", F.least("key", "key2").alias("k1"), F.greatest("key", "key2").alias("k2")).distinct()
-    both = materialize(_mixed(both.select("__digest", "label", F.struct("k1", "k2").alias("key")), "key"), "both")
-    more = more.unionByName(_across(both.where(F.col("n") <= SMALL), "key"))
+    both = open_.select("key", "__digest", "label").join(second, "__digest").where("key <> key2").select("__digest", "label", F.struct(F.least("key", "key2"), F.greatest("key", "key2")).alias("key")).distinct()
+    both = materialize(_mixed(both, "key"), "both")
+    more = _across(both.where(F.col("n") <= SMALL), "key")
     crowd = both.where(F.col("n") > SMALL)
     leaders = crowd.groupBy("key", "label").agg(F.min("__digest").alias("leader")).withColumnRenamed("label", "own")
     more = more.unionByName(crowd.join(leaders, "key").where("label <> own").select(F.col("leader").alias("a"), F.col("__digest").alias("b")))
