@@ -21,9 +21,9 @@ texts every count is 0 and the base is that of one unseen token kind. Rows are s
 
 from __future__ import annotations
 
-import heapq
 import itertools
 import struct
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from veilgraph.llm._common import as_bytes, materialize, small_batches
 
-VOCABULARY = 196_608
+VOCABULARY = 131_072
 TABLE_BITS = 20
 BLOCK, LANES = 128, 128
 PART = 1 << 14
@@ -54,26 +54,41 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def huffman(weights: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Of each symbol the inner nodes on its path and the bits taken there."""
+def huffman(weights: list[int]) -> tuple[np.ndarray, array, bytearray]:
+    """Code lengths, and the inner nodes and bits on the paths of all symbols, one after another.
+
+    Leaves in order of weight and merged nodes in order of creation are two sorted queues.
+    """
     n = len(weights)
-    heap = [(w, i) for i, w in enumerate(weights)]
-    heapq.heapify(heap)
-    parent: list[tuple[int, int]] = [(-1, 0)] * (2 * n - 1)
+    leaves = sorted(range(n), key=weights.__getitem__)
+    merged: list[int] = []
+    parent, side = array("i", [-1]) * (2 * n - 1), bytearray(2 * n - 1)
+    i = j = 0
+
+    def take() -> tuple[int, int]:
+        nonlocal i, j
+        if i < n and (j >= len(merged) or weights[leaves[i]] <= merged[j]):
+            i += 1
+            return leaves[i - 1], weights[leaves[i - 1]]
+        j += 1
+        return n + j - 1, merged[j - 1]
+
     for at in range(n, 2 * n - 1):
-        (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[i], parent[j] = (at, 0), (at, 1)
-        heapq.heappush(heap, (a + b, at))
-    paths: list[tuple[list[int], list[int]]] = []
-    for i in range(n):
-        nodes, bits = [], []
-        at, bit = parent[i]
-        while at >= 0:
-            nodes.append(at - n)
-            bits.append(bit)
-            at, bit = parent[at]
-        paths.append((nodes[::-1], bits[::-1]))
-    return paths
+        (x, a), (y, b) = take(), take()
+        parent[x] = parent[y] = at
+        side[y] = 1
+        merged.append(a + b)
+    lengths, nodes, bits = np.zeros(n, np.int64), array("i"), bytearray()
+    for k in range(n):
+        path, turns, at = [], [], k
+        while parent[at] >= 0:
+            path.append(parent[at] - n)
+            turns.append(side[at])
+            at = parent[at]
+        lengths[k] = len(path)
+        nodes.extend(path[::-1])
+        bits.extend(turns[::-1])
+    return lengths, nodes, bits
 
 
 def pairs(word: bytes) -> tuple[int, ...]:
@@ -84,12 +99,13 @@ def pairs(word: bytes) -> tuple[int, ...]:
 
 def build_codes(words: list[bytes], counts: list[int], rare: int) -> dict:
     """Symbols: the words, the escape, pairs of bytes. Arrays with every symbol's nodes, bits and gates."""
-    spelled = Counter(itertools.chain.from_iterable(map(pairs, words)))
-    paths = huffman([*[max(1, c) for c in counts], max(1, rare)])
+    spelled: Counter = Counter()
+    for w in words:
+        spelled.update(pairs(w))
     inner = len(words) or 1
-    paths += [([x + inner for x in nodes], bits) for nodes, bits in huffman([1 + 64 * spelled.get(i, 0) for i in range(1 << 16)])]
-    length = np.array([len(p[0]) for p in paths], np.int64)
-    node = np.array(list(itertools.chain.from_iterable(p[0] for p in paths)), np.int32)
+    top, low = huffman([*[max(1, c) for c in counts], max(1, rare)]), huffman([1 + 64 * spelled.get(i, 0) for i in range(1 << 16)])
+    length = np.concatenate([top[0], low[0]])
+    node = np.concatenate([np.frombuffer(top[1], np.int32), np.frombuffer(low[1], np.int32) + inner]).astype(np.int32)
     depth = np.arange(len(node)) - np.repeat(np.cumsum(length) - length, length)
     return {
         "words": words,
@@ -99,7 +115,7 @@ def build_codes(words: list[bytes], counts: list[int], rare: int) -> dict:
         "step": node.astype(np.uint32) * _K2,
         "gate": (12 * (node >= inner) + 3 * np.minimum(depth >> 2, 3)).astype(np.int32),
         "row": (MAP_CELLS * (node >= inner) + MAP_CELLS // 2).astype(np.int32),
-        "bit": np.array(list(itertools.chain.from_iterable(p[1] for p in paths)), np.uint8),
+        "bit": np.frombuffer(bytes(top[2] + low[2]), np.uint8),
         "nodes": inner + (1 << 16),
     }
 
@@ -317,11 +333,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     counts = materialize(token_counts(training), "tokens")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # Tokens seen once are spelled out in training too: they stand for those that training never saw.
-    top = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(vocabulary).collect()
-    codes = build_codes([bytes(r["token"]) for r in top], [r["n"] for r in top], total - sum(r["n"] for r in top))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(vocabulary).toArrow()
+    often = np.array(top.column("n").to_pylist(), np.int64)
+    codes = build_codes(top.column("token").to_pylist(), often.tolist(), total - int(often.sum()))
     model = predictors(table_counts(training, codes, bits))
     over = total + 0.1 * (kinds + 1)
-    base = np.log10((np.array([r["n"] for r in top], float) + 0.1) / over)
+    base = np.log10((often + 0.1) / over)
     known = spark.sparkContext.broadcast({"codes": codes, "model": model, "base": base})
     del top
 
