@@ -106,17 +106,18 @@ def build_codes(words: list[bytes], counts: list[int], rare: int) -> dict:
     top, low = huffman([*[max(1, c) for c in counts], max(1, rare)]), huffman([1 + 64 * spelled.get(i, 0) for i in range(1 << 16)])
     length = np.concatenate([top[0], low[0]])
     node = np.concatenate([np.frombuffer(top[1], np.int32), np.frombuffer(low[1], np.int32) + inner]).astype(np.int32)
-    depth = np.arange(len(node)) - np.repeat(np.cumsum(length) - length, length)
-    return {
-        "words": words,
-        "length": length,
-        "start": np.cumsum(length) - length,
-        "node": node,
+    return {"words": words, "length": length, "start": np.cumsum(length) - length, "node": node, "inner": inner, "bit": np.frombuffer(bytes(top[2] + low[2]), np.uint8), "nodes": inner + (1 << 16)}
+
+
+def _derived(codes: dict) -> dict:
+    """What follows from the codes for each of their decisions; worked out where it is used, to ship less."""
+    node, length = codes["node"], codes["length"]
+    depth = np.arange(len(node)) - np.repeat(codes["start"], length)
+    below = node >= codes["inner"]
+    return codes | {
         "step": node.astype(np.uint32) * _K2,
-        "gate": (12 * (node >= inner) + 3 * np.minimum(depth >> 2, 3)).astype(np.int32),
-        "row": (MAP_CELLS * (node >= inner) + MAP_CELLS // 2).astype(np.int32),
-        "bit": np.frombuffer(bytes(top[2] + low[2]), np.uint8),
-        "nodes": inner + (1 << 16),
+        "gate": (12 * below + 3 * np.minimum(depth >> 2, 3)).astype(np.int32),
+        "row": (MAP_CELLS * below + MAP_CELLS // 2).astype(np.int32),
     }
 
 
@@ -124,7 +125,7 @@ class Coder:
     """Texts to symbols, and symbols to decisions."""
 
     def __init__(self, codes: dict, bits: int) -> None:
-        self.codes = codes
+        self.codes = _derived(codes)
         self.of = {w: i for i, w in enumerate(codes["words"])}
         self.escape = len(codes["words"])
         self.shift = np.uint32(32 - bits)
@@ -243,6 +244,7 @@ def table_counts(texts: DataFrame, codes: dict, bits: int) -> list[np.ndarray]:
     for r in summed.collect():
         own = np.frombuffer(r["counts"], np.uint32)
         out[r["t"]][r["b"] : r["b"] + len(own)] = own
+    known.unpersist()
     return out
 
 
