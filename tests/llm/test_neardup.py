@@ -1,5 +1,6 @@
 """Near-duplicates: signatures estimate similarity, classes equal those of all verified pairs."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -82,6 +83,34 @@ def test_classes_equal_brute_force(spark, monkeypatch, small):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def crowd():
+    """Two classes of near copies in one bucket; only their last two texts link them, and no least text does."""
+
+    def text(p, q, tail):
+        own = [f"36x{i}" for i in range(200)]
+        for i in range(p):
+            own[10 + 10 * i] = f"p{i}"
+        for i in range(q):
+            own[110 + 10 * i] = f"q{i}"
+        return " ".join([*own[:-1], tail])
+
+    def some(p, q, n, low):
+        every = (text(p, q, f"t{p}{q}{k}") for k in range(1000))
+        return [t for t in every if (hashlib.blake2b(t.encode(), digest_size=16).digest() < b"\x80") == low][:n]
+
+    return [*some(5, 0, 20, True), *some(0, 5, 20, True), *some(1, 0, 1, False), *some(0, 1, 1, False)]
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_a_crowd_hangs_on_one_link(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    texts = crowd()
+    assert set(brute(texts)) == {0} and len(set(brute(texts[:-1]))) == 2
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = neardup.near_duplicates(d, bands=4, rows=1).collect()
+    assert {r["class_id"] for r in got} == {0}
+
+
 def test_one_of_each_class_stays(spark):
     d = spark.createDataFrame([(None, "a b c d e f", 1), (5, "A b c d e f", 2), (5, "a b c d e f", 3), (5, "a b c d e f", 3), (7, None, 4), (8, None, 4)], "doc_id long, text string, x int")
     out = neardup.remove_near_duplicates(d).collect()

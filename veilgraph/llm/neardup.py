@@ -8,13 +8,14 @@ of least rank. Two texts agree in a coordinate with probability equal to their w
 similarity. About k log k darts are looked at whatever a text's length, beyond one per shingle.
 
 Equal texts (same words) are joined into one class before anything else. Signatures are cut into bands;
-texts that share a band are candidates. In a band's bucket no all-pairs are made: every text is compared
-with the least of the bucket. Where a bucket then still holds several classes, texts that share a second
-band too are compared (a pair of similarity 0.8 shares two with probability 0.999): with every text of
-another class, or, where more than `SMALL` share both bands, with the least text of each other class. Of
-these pairs those that agree in fewer than `LIKELY` of the coordinates are dropped first (5 standard
-deviations below 0.8). Each remaining pair is verified on the shingles themselves, and classes are the
-connected components of verified pairs.
+texts that share a band are candidates. First every text of a band's bucket is compared with the least of
+the bucket. Buckets that then still hold several classes are open: every pair of an open bucket whose texts
+are of different classes is looked at, in blocks of `BLOCK` texts by `BLOCK`, once for each pair (in the
+first band it shares). Those that agree in `CLOSE` of the coordinates are verified and classes joined; then,
+across the classes left, those that agree in `LIKELY` (5 standard deviations below 0.8). Verification is on
+the shingles themselves, and classes are the connected components of verified pairs. So a pair of similarity
+0.8 or more is missed only if it shares no band (7 in 100,000 at 0.8) or fails the sketch test, and nothing
+else connects its classes; texts of one bucket that stay in different classes cost their pairs.
 
 Defined results: a text without words (null, empty) is its own class. A text of fewer than `shingle`
 words is one shingle. A class is named by its least id; null ids come last. Repeated rows are in one
@@ -38,10 +39,14 @@ from veilgraph.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
-SMALL, LIKELY = 16, 0.6
+SMALL, LIKELY, CLOSE = 16, 0.6, 0.75
+#: Open buckets of more than SMALL texts are dealt in blocks of about so many; every two blocks meet.
+BLOCK = 512
 WORDS_KNOWN = 400_000
 #: Texts signed together; a text of more words ends its group.
 GROUP, LONG = 64, 20_000
+#: Texts, and pairs, of a block whose signatures are compared at a time.
+STEP, PAIRS = 64, 16_384
 
 _P, _Q, _R, _S = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 #: P(Poisson(1) <= i).
@@ -216,24 +221,98 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in LIKELY of the coordinates."""
+def _likely(rows: DataFrame, least: float) -> DataFrame:
+    """(key, i, j, a, b): pairs of different classes that meet in blocks i and j of a bucket, their first common one, and agree in `least` of the coordinates."""
+
+    def pairs(key: int, same: bool, digests: np.ndarray, labels: np.ndarray, own: np.ndarray, sketches: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left = np.arange(len(own)) if same else np.flatnonzero(own == own.min())
+        right = left if same else np.flatnonzero(own != own.min())
+        for at in range(0, len(left), STEP):
+            x = left[at : at + STEP]
+            p, q = np.nonzero(labels[x][:, None] != labels[right])
+            p, q = x[p], right[q]
+            if same:
+                p, q = p[p < q], q[p < q]
+            for part in range(0, len(p), PAIRS):
+                i, j = p[part : part + PAIRS], q[part : part + PAIRS]
+                near = (sketches[i] == sketches[j]).mean(axis=1) >= least
+                i, j = i[near], j[near]
+                common = keys[i] == keys[j]
+                first = keys[i, common.argmax(axis=1)] == key
+                yield digests[i[first]], digests[j[first]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield pa.record_batch([c.filter(pa.array((x == y).mean(axis=1) >= LIKELY)) for c in batch.columns[:2]], ["a", "b"])
-
-    x = sketches.select(F.col("__digest").alias("a"), F.col("__sketch").alias("x"))
-    y = sketches.select(F.col("__digest").alias("b"), F.col("__sketch").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+        for (key, i, j), group in _groups(batches, 3):
+            n = group.num_rows
+            digests, labels = (np.array([*c.to_pylist(), None], object)[:-1] for c in (group.column(3), group.column(4)))
+            sketches = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint8).reshape(n, -1)
+            keys = group.column(7).combine_chunks().flatten().to_numpy().reshape(n, -1)
+            _, classes = np.unique(labels, return_inverse=True)
+            for a, b in pairs(key, i == j, digests, classes, group.column(5).to_numpy(), sketches, keys):
+                if len(a):
+                    both = [(min(x, y), max(x, y)) for x, y in zip(a, b, strict=True)]
+                    place = [pa.array(np.full(len(a), v), k) for v, k in ((key, pa.int64()), (i, pa.int32()), (j, pa.int32()))]
+                    yield pa.record_batch([*place, *[pa.array(x, pa.binary()) for x in zip(*both, strict=True)]], ["key", "i", "j", "a", "b"])
+
+    blocks = F.when(F.col("n") <= SMALL, 1).otherwise(F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("__digest"), blocks).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "__digest", "label", "own", "__sketch", "__keys")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "key long, i int, j int, a binary, b binary")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Consecutive rows with the same first columns, of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in range(n_keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for x, y in zip(starts, starts[1:], strict=False):
+            key = tuple(int(c[x]) for c in columns)
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+            last = key
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def _verify_blocks(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """_verify() for the pairs of _likely(); a block has each of its texts once, before its pairs."""
 
-
-def _across(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs of texts of different classes in a bucket."""
-    other = rows.select(key, F.col("__digest").alias("d2"), F.col("label").alias("l2"))
-    return rows.join(other, key).where("label <> l2 AND __digest < d2").select(F.col("__digest").alias("a"), F.col("d2").alias("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, place, own = Shingler(shingle), None, {}
+        for batch in batches:
+            a, b = [], []
+            for *at, x, y, text in zip(*[batch.column(c).to_pylist() for c in (0, 1, 2, 4, 5)], as_bytes(batch.column(6)), strict=True):
+                if at != place:
+                    place, own = at, {}
+                if y is None:
+                    e, w = shingler(words(text))
+                    own[x] = e, w, w.sum()
+                    continue
+                (e, w, n), (f, v, m) = own[x], own[y]
+                if min(n, m) < threshold * max(n, m):
+                    continue
+                _, i, j = np.intersect1d(e, f, assume_unique=True, return_indices=True)
+                both = np.minimum(w[i], v[j]).sum()
+                if both >= threshold * (n + m - both):
+                    a.append(x)
+                    b.append(y)
+            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    place = ["key", "i", "j"]
+    ends = pairs.select(*place, F.col("a").alias("__digest")).unionByName(pairs.select(*place, F.col("b").alias("__digest"))).distinct()
+    own = ends.join(texts, "__digest").select(*place, F.lit(0).alias("kind"), F.col("__digest").alias("a"), F.lit(None).cast("binary").alias("b"), "__text")
+    rows = own.unionByName(pairs.select(*place, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("__text")))
+    return rows.repartition(*place).sortWithinPartitions(*place, "kind").mapInArrow(run, "a binary, b binary")
 
 
 def _mixed(rows: DataFrame, key: str) -> DataFrame:
@@ -260,20 +339,16 @@ def links(docs: DataFrame, signed: DataFrame, text_col: str, shingle: int, thres
 
     found = materialize(_verify(_pairs(buckets.select(F.col("center").alias("a"), F.col("__digest").alias("b"))), texts, shingle, threshold), "links")
     labels = components(found)
-    labelled = buckets.join(labels, buckets["__digest"] == labels["node"], "left").select("key", "__digest", F.coalesce("label", "__digest").alias("label"))
-    open_ = materialize(_mixed(labelled, "key"), "open")
-    if open_.isEmpty():
-        return labels
-    second = buckets.select("__digest", F.col("key").alias("key2"))
-    both = open_.select("key", "__digest", "label").join(second, "__digest").where("key <> key2").select("__digest", "label", F.struct(F.least("key", "key2"), F.greatest("key", "key2")).alias("key")).distinct()
-    both = materialize(_mixed(both, "key"), "both")
-    more = _across(both.where(F.col("n") <= SMALL), "key")
-    crowd = both.where(F.col("n") > SMALL)
-    leaders = crowd.groupBy("key", "label").agg(F.min("__digest").alias("leader")).withColumnRenamed("label", "own")
-    more = more.unionByName(crowd.join(leaders, "key").where("label <> own").select(F.col("leader").alias("a"), F.col("__digest").alias("b")))
-    sketches = distinct.join(buckets.select("__digest").distinct(), "__digest").select("__digest", "__sketch")
-    again = _verify(materialize(_likely(_pairs(more), sketches), "likely"), texts, shingle, threshold)
-    return components(found.unionByName(again))
+    signed_once = distinct.join(wanted.select("__digest").distinct(), "__digest").select("__digest", "__sketch", "__keys")
+    for least in (CLOSE, LIKELY):
+        labelled = buckets.join(labels, buckets["__digest"] == labels["node"], "left").select("key", "__digest", F.coalesce("label", "__digest").alias("label"))
+        open_ = materialize(_mixed(labelled, "key"), "open")
+        if open_.isEmpty():
+            return labels
+        likely = materialize(_likely(open_.join(signed_once, "__digest"), least), "likely")
+        found = materialize(found.unionByName(_verify_blocks(likely, texts, shingle, threshold)), "links")
+        labels = components(found)
+    return labels
 
 
 def near_duplicates(
