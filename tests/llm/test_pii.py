@@ -67,6 +67,17 @@ def test_disclosing_terms(spark, monkeypatch, literal):
     assert "@" not in clean[0] and "Quentin" not in clean[0] and clean[50] == corpus()[50]
 
 
+def test_marks_are_the_same_beyond_the_literal_list(spark, monkeypatch):
+    texts = [*corpus(), *[f"question {k} under the bridge" for k in range(30)], "QUENTIN walked alone", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = []
+    for literal in (4000, 0):
+        monkeypatch.setattr(pii, "LITERAL", literal)
+        out.append({r["doc_id"]: r["text"] for r in pii.sanitise(rows).collect()})
+    assert out[0][len(texts) - 3] == "que* walked alone"
+    assert out[0] == out[1]
+
+
 def test_sanitise_keeps_columns_and_nulls(spark):
     d = spark.createDataFrame([(1, "mail a@b.c now +1 (304) 555-0123!", "n", 3), (2, None, None, None), (1, "same", "n", 3)], "doc_id int, text string, kind string, e int")
     out = pii.sanitise(d)

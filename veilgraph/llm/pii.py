@@ -10,7 +10,8 @@ nothing). A term of disclosure `LIMIT` or more is replaced by its prefix class (
 discloses less, and removed otherwise, wherever it occurs.
 
 Only pairs within a window are counted, so their number is linear in the text; counts are pre-aggregated.
-Up to `LITERAL` terms are matched as a literal list; beyond that they are joined, without a broadcast.
+Up to `LITERAL` terms are matched as a literal list; beyond that they are joined with their marks, without a
+broadcast. Both give the same text.
 
 Defined results: null text is empty and stays null when sanitised. Spans are code points, end exclusive.
 Where spans overlap, sanitise() replaces their union once, by the first one's mark. Null ids are kept.
@@ -142,25 +143,33 @@ def _context(text: Column, s: Column) -> Column:
 
 
 def _found(docs: DataFrame, keys: DataFrame, text: Column) -> DataFrame:
-    """docs with __hits: which of the keys (column key: terms, and classes 'abc*') the text has.
+    """docs with __hits: which of the keys (column key: terms, and classes 'abc*') the text has; and with __marks, a map of theirs, if keys have a mark.
 
     An intersection leaves no repeats, so the words needn't be made distinct before it.
     """
+    with_marks = "mark" in keys.columns
+    no_marks = F.create_map().cast("map<string,string>")
     classes = F.col("key").endswith("*")
     n, n_classes = keys.agg(F.count("*"), F.count_if(classes)).first()
     empty = F.array().cast("array<string>")
     if n <= LITERAL:
-        known = [r[0] for r in keys.orderBy("key").collect()]
+        own_mark = {r["key"]: r["mark"] if with_marks else None for r in keys.orderBy("key").collect()}
+        known = list(own_mark)
         plain, stems = [k for k in known if k[-1:] != "*"], [k[:-1] for k in known if k[-1:] == "*"]
         hits = F.array_intersect(words(text), F.lit(plain).cast("array<string>")) if plain else empty
         if stems:
             own = F.array_intersect(F.transform(words(text), _stem), F.lit(stems).cast("array<string>"))
             hits = F.concat(hits, F.transform(own, lambda w: F.concat(w, F.lit("*"))))
-        return docs.withColumn("__hits", hits)
+        out = docs.withColumn("__hits", hits)
+        if with_marks:
+            out = out.withColumn("__marks", F.create_map(*[F.lit(x) for pair in own_mark.items() for x in pair]) if own_mark else no_marks)
+        return out
     rows = materialize(docs.select("*", row_id("__row")), "documents")
     every = _with_classes(words(text)) if n_classes else F.array_distinct(words(text))
-    hits = rows.select("__row", F.explode(every).alias("key")).join(keys, "key").groupBy("__row").agg(F.collect_set("key").alias("__hits"))
-    return rows.join(hits, "__row", "left").withColumn("__hits", F.coalesce("__hits", empty)).drop("__row")
+    gathered = [F.collect_set("key").alias("__hits"), *[F.map_from_entries(F.collect_set(F.struct("key", "mark"))).alias("__marks")] * with_marks]
+    hits = rows.select("__row", F.explode(every).alias("key")).join(keys, "key").groupBy("__row").agg(*gathered)
+    out = rows.join(hits, "__row", "left").withColumn("__hits", F.coalesce("__hits", empty)).drop("__row")
+    return out.withColumn("__marks", F.coalesce("__marks", no_marks)) if with_marks else out
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -203,9 +212,9 @@ def _term_spans(text: Column, hits: Column) -> Column:
 
 
 def _annotated(docs: DataFrame, risky: DataFrame, text_col: str) -> DataFrame:
-    """docs with __text, __base and __terms (spans of disclosing terms outside base spans)."""
+    """docs with __text, __base, __terms (spans of disclosing terms outside base spans) and __marks (of the terms)."""
     rows = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    rows = _found(rows, risky.select(F.col("term").alias("key")), F.col("__text"))
+    rows = _found(rows, risky.select(F.col("term").alias("key"), "mark"), F.col("__text"))
     rows = rows.withColumn("__base", base_spans(F.col("__text")))
     outside = F.filter(_term_spans(F.col("__text"), F.col("__hits")), lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return rows.withColumn("__terms", F.transform(outside, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))))
@@ -234,15 +243,9 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with personal data and disclosing terms replaced in the text; other columns as they are."""
     risky = materialize(disclosing_terms(docs, text_col), "terms")
     rows = _annotated(docs, risky, text_col)
-    n = risky.count()
     marks = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    if n <= LITERAL:
-        of = {r["term"]: r["mark"] for r in risky.collect()}
-        table = F.create_map(*[F.lit(x) for pair in of.items() for x in pair]) if of else F.create_map().cast("map<string,string>")
-        low = lambda s: F.translate(s["value"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        mark = lambda s: F.coalesce(F.get(marks, s["kind"]), F.try_element_at(table, low(s)), F.lit("[removed]"))
-    else:
-        mark = lambda s: F.coalesce(F.get(marks, s["kind"]), F.lit("[removed]"))
+    low = lambda s: F.translate(s["value"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    mark = lambda s: F.coalesce(F.get(marks, s["kind"]), F.try_element_at(F.col("__marks"), low(s)), F.lit("[removed]"))
     kind = "array<struct<start:int,end:int,mark:string>>"
     ordered = F.transform(F.array_sort(F.concat("__base", "__terms")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), mark(s).alias("mark")))
 
