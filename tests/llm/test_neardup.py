@@ -74,9 +74,9 @@ def brute(texts):
     return [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("small", [16, 0])
-def test_classes_equal_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL", small)
+@pytest.mark.parametrize("block", [512, 3])
+def test_classes_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     texts = corpus()
     d = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, class_id string")
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(d).collect()}
@@ -103,7 +103,7 @@ def crowd():
 
 @pytest.mark.parametrize("block", [512, 7])
 def test_a_crowd_hangs_on_one_link(spark, monkeypatch, block):
-    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     texts = crowd()
     assert set(brute(texts)) == {0} and len(set(brute(texts[:-1]))) == 2
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -118,6 +118,23 @@ def test_one_of_each_class_stays(spark):
     assert neardup.near_duplicates(d.limit(0)).collect() == []
 
 
+def test_clashing_columns_are_kept(spark):
+    names = ["__thash", "__first", "own_id", "row", "class_id", "label", "key"]
+    d = spark.createDataFrame([(1, "a b c d e f", *"abcdefg"), (2, "a b c d e f", *"abcdefg"), (None, None, *[None] * 7)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    out = neardup.remove_near_duplicates(d)
+    assert out.columns == d.columns and {tuple(r) for r in out.collect()} == {(1, "a b c d e f", *"abcdefg"), (None, None, *[None] * 7)}
+
+
+def test_shared_elements_equal_multiset_intersection():
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    bags = [Counter(rng.integers(0, 30, n).tolist()) for n in (1, 5, 40, 40, 60)]
+    sets = [neardup.unary(neardup.mix(np.array(list(b), np.uint64)), np.array(list(b.values()))) for b in bags]
+    got = neardup.shared_elements(sets, np.arange(3), np.arange(3, 5))
+    assert got.tolist() == [[sum((a & b).values()) for b in bags[3:]] for a in bags[:3]]
+
+
 def test_components_of_a_long_chain(spark):
     rows = spark.createDataFrame([(f"{i:04}", f"{i + 1:04}") for i in range(200)] + [("x", "y")], "a string, b string")
     got = {r["node"]: r["label"] for r in components(rows).collect()}

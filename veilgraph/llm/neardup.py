@@ -9,13 +9,14 @@ similarity. About k log k darts are looked at whatever a text's length, beyond o
 
 Equal texts (same words) are joined into one class before anything else. Signatures are cut into bands;
 texts that share a band are candidates. First every text of a band's bucket is compared with the least of
-the bucket. Buckets that then still hold several classes are open: every pair of an open bucket whose texts
-are of different classes is looked at, in blocks of `BLOCK` texts by `BLOCK`, once for each pair (in the
-first band it shares). Those that agree in `CLOSE` of the coordinates are verified and classes joined; then,
-across the classes left, those that agree in `LIKELY` (5 standard deviations below 0.8). Verification is on
-the shingles themselves, and classes are the connected components of verified pairs. So a pair of similarity
-0.8 or more is missed only if it shares no band (7 in 100,000 at 0.8) or fails the sketch test, and nothing
-else connects its classes; texts of one bucket that stay in different classes cost their pairs.
+the bucket. Buckets that then still hold several classes are open: their texts meet in blocks (of about
+`BLOCK` texts or `BLOCK_WORDS` words), each two blocks once. Sketches of the signatures tell which texts
+agree in `LIKELY` of the coordinates (5 standard deviations below 0.8) with a text of another class; the
+shingle sets of these are then compared exactly, all of a block at once as a product of 0/1 matrices. No
+pair is a row of a table: a block gives the texts that need comparing, and then at most as many links as
+join its classes. Classes are the connected components of verified pairs. So a pair of similarity 0.8 or
+more is missed only if it shares no band (7 in 100,000 at 0.8) or fails the sketch test, and nothing else
+connects its classes. Texts of one bucket that stay in different classes cost a comparison of each two.
 
 Defined results: a text without words (null, empty) is its own class. A text of fewer than `shingle`
 words is one shingle. A class is named by its least id; null ids come last. Repeated rows are in one
@@ -39,9 +40,11 @@ from veilgraph.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
-SMALL, LIKELY, CLOSE = 16, 0.6, 0.75
-#: Open buckets of more than SMALL texts are dealt in blocks of about so many; every two blocks meet.
-BLOCK = 512
+LIKELY = 0.6
+#: Open buckets are dealt in blocks of about so many texts and words; every two blocks meet.
+BLOCK, BLOCK_WORDS = 512, 1 << 20
+#: Elements of a block's texts that are compared at a time.
+COLUMNS = 2048
 WORDS_KNOWN = 400_000
 #: Texts signed together; a text of more words ends its group.
 GROUP, LONG = 64, 20_000
@@ -162,11 +165,12 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _text_hash(text_col: str) -> Column:
-    return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    """128 bits, as the digest of the words has."""
+    return F.unhex(F.md5(F.col(f"`{text_col}`").cast("string").cast("binary")))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """id, __thash (of the raw text), digest (of the words; null without words), band keys and sketch of each row."""
+    """id, __thash (of the raw text), digest (of the words; null without words), band keys, sketch and words of each row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +179,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
             digests, sets, of = [], [], {}
             keys: list[list[int]] = []
             sketches: list[bytes] = []
+            n_words: list[int] = []
 
             def sign() -> None:
                 if sets:
@@ -185,6 +190,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
 
             for text in as_bytes(batch.column(2)):
                 w = words(text or b"")
+                n_words.append(len(w))
                 digests.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None)
                 if w and digests[-1] not in of:
                     of[digests[-1]] = len(of)
@@ -193,11 +199,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
                         sign()
             sign()
             own = [pa.array([None if d is None else x[of[d]] for d in digests], t) for x, t in ((keys, pa.list_(pa.int64())), (sketches, pa.binary()))]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), *own], [id_col, "__thash", "__digest", "__keys", "__sketch"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), *own, pa.array(n_words, pa.int64())], [id_col, "__thash", "__digest", "__keys", "__sketch", "__words"])
 
     source = docs.select(F.col(f"`{id_col}`"), _text_hash(text_col).alias("__thash"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     kind = source.schema.fields[0].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, __thash long, __digest binary, __keys array<long>, __sketch binary")
+    return source.mapInArrow(run, f"`{id_col}` {kind}, __thash binary, __digest binary, __keys array<long>, __sketch binary, __words long")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -221,44 +227,44 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _likely(rows: DataFrame, least: float) -> DataFrame:
-    """(key, i, j, a, b): pairs of different classes that meet in blocks i and j of a bucket, their first common one, and agree in `least` of the coordinates."""
-
-    def pairs(key: int, same: bool, digests: np.ndarray, labels: np.ndarray, own: np.ndarray, sketches: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        left = np.arange(len(own)) if same else np.flatnonzero(own == own.min())
-        right = left if same else np.flatnonzero(own != own.min())
-        for at in range(0, len(left), STEP):
-            x = left[at : at + STEP]
-            p, q = np.nonzero(labels[x][:, None] != labels[right])
-            p, q = x[p], right[q]
-            if same:
-                p, q = p[p < q], q[p < q]
-            for part in range(0, len(p), PAIRS):
-                i, j = p[part : part + PAIRS], q[part : part + PAIRS]
-                near = (sketches[i] == sketches[j]).mean(axis=1) >= least
-                i, j = i[near], j[near]
-                common = keys[i] == keys[j]
-                first = keys[i, common.argmax(axis=1)] == key
-                yield digests[i[first]], digests[j[first]]
+def _crowded(rows: DataFrame, least: float) -> DataFrame:
+    """(key, i, j, own, __digest, label): of blocks i and j of a bucket, the texts that agree in `least` of the
+    coordinates with a text of another class, where this bucket is the first that the two share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, i, j), group in _groups(batches, 3):
+        for (key, _, _), group in _groups(batches, 3):
             n = group.num_rows
-            digests, labels = (np.array([*c.to_pylist(), None], object)[:-1] for c in (group.column(3), group.column(4)))
+            own = group.column(5).to_numpy()
             sketches = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint8).reshape(n, -1)
             keys = group.column(7).combine_chunks().flatten().to_numpy().reshape(n, -1)
-            _, classes = np.unique(labels, return_inverse=True)
-            for a, b in pairs(key, i == j, digests, classes, group.column(5).to_numpy(), sketches, keys):
-                if len(a):
-                    both = [(min(x, y), max(x, y)) for x, y in zip(a, b, strict=True)]
-                    place = [pa.array(np.full(len(a), v), k) for v, k in ((key, pa.int64()), (i, pa.int32()), (j, pa.int32()))]
-                    yield pa.record_batch([*place, *[pa.array(x, pa.binary()) for x in zip(*both, strict=True)]], ["key", "i", "j", "a", "b"])
-
-    blocks = F.when(F.col("n") <= SMALL, 1).otherwise(F.ceil(F.col("n") / BLOCK).cast("int"))
+            classes = np.unique(np.array([*group.column(4).to_pylist(), None], object)[:-1], return_inverse=True)[1]
+            left, right = _sides(own)
+            wanted = np.zeros(n, bool)
+            for at in range(0, len(left), STEP):
+                x = left[at : at + STEP]
+                p, q = np.nonzero(classes[x][:, None] != classes[right])
+                for part in range(0, len(p), PAIRS):
+                    i, j = x[p[part : part + PAIRS]], right[q[part : part + PAIRS]]
+                    near = np.count_nonzero(sketches[i] == sketches[j], axis=1) >= least * sketches.shape[1]
+                    i, j = i[near], j[near]
+                    first = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == key
+                    wanted[i[first]] = wanted[j[first]] = True
+            if wanted.any():
+                kept = group.select(range(6)).filter(pa.array(wanted))
+                yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in kept.columns], names)
+
+    names = ["key", "i", "j", "__digest", "label", "own"]
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("n_words") / BLOCK_WORDS)).cast("int")
     own = F.pmod(F.xxhash64("__digest"), blocks).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "__digest", "label", "own", "__sketch", "__keys")
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "key long, i int, j int, a binary, b binary")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "key long, i int, j int, __digest binary, label binary, own int")
+
+
+def _sides(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of either block; all rows twice where there is but one block."""
+    first = own == own.min()
+    return (np.flatnonzero(first), np.flatnonzero(~first)) if not first.all() else (np.arange(len(own)),) * 2
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
@@ -284,41 +290,79 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
         yield last, pa.Table.from_batches(held)
 
 
-def _verify_blocks(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """_verify() for the pairs of _likely(); a block has each of its texts once, before its pairs."""
+def unary(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A multiset as a set: an element's second and later occurrences are elements of their own."""
+    if (counts == 1).all():
+        return elements
+    at = np.repeat(np.arange(len(counts)), counts)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = elements[at]
+    out[nth > 0] = mix(out[nth > 0] + nth[nth > 0].astype(np.uint64) * _P)
+    return out
+
+
+def shared_elements(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements each left set has in common with each other right set, as products of 0/1 matrices, some columns at a time."""
+    size = np.array([len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    several = times[column] > 1
+    number = np.cumsum(times > 1) - 1
+    row, column = row[several], number[column[several]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, [start, start + COLUMNS])
+        own = np.zeros((len(sets), COLUMNS), np.float32)
+        own[row[x:y], column[x:y] - start] = 1
+        out += own[left] @ own[right].T
+    return out
+
+
+def _verify_crowds(crowds: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """(a, b): labels of classes that a pair of at least that similarity links; in each two blocks, as many as join them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, place, own = Shingler(shingle), None, {}
-        for batch in batches:
-            a, b = [], []
-            for *at, x, y, text in zip(*[batch.column(c).to_pylist() for c in (0, 1, 2, 4, 5)], as_bytes(batch.column(6)), strict=True):
-                if at != place:
-                    place, own = at, {}
-                if y is None:
-                    e, w = shingler(words(text))
-                    own[x] = e, w, w.sum()
-                    continue
-                (e, w, n), (f, v, m) = own[x], own[y]
-                if min(n, m) < threshold * max(n, m):
-                    continue
-                _, i, j = np.intersect1d(e, f, assume_unique=True, return_indices=True)
-                both = np.minimum(w[i], v[j]).sum()
-                if both >= threshold * (n + m - both):
-                    a.append(x)
-                    b.append(y)
-            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    place = ["key", "i", "j"]
-    ends = pairs.select(*place, F.col("a").alias("__digest")).unionByName(pairs.select(*place, F.col("b").alias("__digest"))).distinct()
-    own = ends.join(texts, "__digest").select(*place, F.lit(0).alias("kind"), F.col("__digest").alias("a"), F.lit(None).cast("binary").alias("b"), "__text")
-    rows = own.unionByName(pairs.select(*place, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("__text")))
-    return rows.repartition(*place).sortWithinPartitions(*place, "kind").mapInArrow(run, "a binary, b binary")
-
-
-def _mixed(rows: DataFrame, key: str) -> DataFrame:
-    """rows of buckets with several classes, with n, their number in the bucket."""
-    found = rows.groupBy(key).agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most").select(key, "n")
-    return rows.join(found, key)
+        shingler = Shingler(shingle)
+
+        def condensed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [unary(*shingler(words(t))).tobytes() for t in as_bytes(batch.column(5))]
+                yield pa.record_batch([*batch.columns[:5], pa.array(sets, pa.binary())], ["key", "i", "j", "label", "own", "set"])
+
+        for _, group in _groups(condensed(), 3):
+            sets = [np.frombuffer(x, np.uint64) for x in group.column(5).to_pylist()]
+            names, classes = np.unique(np.array([*group.column(3).to_pylist(), None], object)[:-1], return_inverse=True)
+            left, right = _sides(group.column(4).to_numpy())
+            size = np.array([len(x) for x in sets], float)
+            both = shared_elements(sets, left, right)
+            near = both >= threshold * (size[left][:, None] + size[right] - both)
+            near &= classes[left][:, None] != classes[right]
+            p, q = np.nonzero(near)
+            root = list(range(len(names)))
+            out = []
+            for code in np.unique(classes[left[p]] * len(names) + classes[right[q]]).tolist():
+                x, y = divmod(code, len(names))
+                while root[x] != x:
+                    x = root[x] = root[root[x]]
+                while root[y] != y:
+                    y = root[y] = root[root[y]]
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((names[x], names[y]))
+            if out:
+                yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    rows = crowds.join(texts, "__digest").select("key", "i", "j", "label", "own", "__text")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a binary, b binary")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """rows of buckets with several classes, with n, their number in the bucket, and their words."""
+    own = [F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.sum("__words").alias("n_words")]
+    found = rows.groupBy("key").agg(*own).where("least <> most").select("key", "n", "n_words")
+    return rows.drop("__words").join(found, "key")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -328,9 +372,9 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, signed: DataFrame, text_col: str, shingle: int, threshold: float) -> DataFrame:
     """(node, label) of all digests that are linked with another."""
-    distinct = signed.where("__digest IS NOT NULL").groupBy("__digest").agg(F.first("__keys").alias("__keys"), F.first("__sketch").alias("__sketch"), F.min("__thash").alias("__thash"))
-    rows = distinct.select("__digest", "__thash", F.explode("__keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("__digest").alias("center"), F.count("*").alias("n")).where("n > 1")
+    distinct = signed.where("__digest IS NOT NULL").groupBy("__digest").agg(*[F.first(c).alias(c) for c in ("__keys", "__sketch", "__words")], F.min("__thash").alias("__thash"))
+    rows = distinct.select("__digest", "__thash", "__words", F.explode("__keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("__digest").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = materialize(rows.join(shared, "key"), "buckets")
 
     wanted = buckets.select("__digest", "__thash").distinct()
@@ -339,16 +383,14 @@ def links(docs: DataFrame, signed: DataFrame, text_col: str, shingle: int, thres
 
     found = materialize(_verify(_pairs(buckets.select(F.col("center").alias("a"), F.col("__digest").alias("b"))), texts, shingle, threshold), "links")
     labels = components(found)
-    signed_once = distinct.join(wanted.select("__digest").distinct(), "__digest").select("__digest", "__sketch", "__keys")
-    for least in (CLOSE, LIKELY):
-        labelled = buckets.join(labels, buckets["__digest"] == labels["node"], "left").select("key", "__digest", F.coalesce("label", "__digest").alias("label"))
-        open_ = materialize(_mixed(labelled, "key"), "open")
-        if open_.isEmpty():
-            return labels
-        likely = materialize(_likely(open_.join(signed_once, "__digest"), least), "likely")
-        found = materialize(found.unionByName(_verify_blocks(likely, texts, shingle, threshold)), "links")
-        labels = components(found)
-    return labels
+    labelled = buckets.join(labels, buckets["__digest"] == labels["node"], "left").select("key", "__digest", "__words", F.coalesce("label", "__digest").alias("label"))
+    open_ = materialize(_mixed(labelled), "open")
+    if open_.isEmpty():
+        return labels
+    sketches = distinct.select("__digest", "__sketch", "__keys")
+    crowds = materialize(_crowded(open_.join(sketches, "__digest"), LIKELY), "crowds")
+    more = materialize(_verify_crowds(crowds, texts, shingle, threshold), "links")
+    return labels if more.isEmpty() else components(found.unionByName(more))
 
 
 def near_duplicates(
@@ -383,8 +425,8 @@ def near_duplicates(
 
 
 def remove_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class, all columns kept."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("__first").select(F.col(id_col).alias("__id"), F.col("__thash").alias("__kept")).distinct()
-    rows = docs.withColumn("__thash", _text_hash(text_col))
-    same = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__thash"] == kept["__kept"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__thash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each class, all columns kept, whatever their names."""
+    kept = near_duplicates(docs, id_col, text_col, **options).where("__first").select(F.col(f"`{id_col}`").alias("id"), F.col("__thash").alias("thash")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("own_id"), _text_hash(text_col).alias("own_thash"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_thash").eqNullSafe(F.col("thash"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_thash"]).select("row.*")
