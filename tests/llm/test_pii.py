@@ -55,7 +55,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("literal", [4000, 0])
+@pytest.mark.parametrize("literal", [4000, -1])
 def test_disclosing_terms(spark, monkeypatch, literal):
     monkeypatch.setattr(pii, "LITERAL", literal)
     rows = spark.createDataFrame(list(enumerate(corpus())), "doc_id int, text string")
@@ -71,7 +71,7 @@ def test_marks_are_the_same_beyond_the_literal_list(spark, monkeypatch):
     texts = [*corpus(), *[f"question {k} under the bridge" for k in range(30)], "QUENTIN walked alone", None, ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     out = []
-    for literal in (4000, 0):
+    for literal in (4000, -1):
         monkeypatch.setattr(pii, "LITERAL", literal)
         out.append({r["doc_id"]: r["text"] for r in pii.sanitise(rows).collect()})
     assert out[0][len(texts) - 3] == "que* walked alone"
@@ -86,6 +86,35 @@ def test_sanitise_keeps_columns_and_nulls(spark):
     assert pii.sanitise(d.limit(0)).count() == 0
 
 
+def test_clashing_columns_hold_no_raw_text(spark):
+    names = ["__text", "__base", "__hits", "__in", "__marks", "__row", "__cut", "key"]
+    d = spark.createDataFrame([(1, "write to zed@corp.example.com please", *names)], "doc_id int, text string, " + ", ".join(f"`{c}` string" for c in names))
+    for literal in (4000, -1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(pii, "LITERAL", literal)
+            out = pii.sanitise(d)
+            assert out.columns == d.columns and tuple(out.first()) == (1, "write to [email] please", *names)
+
+
+def test_chance_gives_no_terms_and_addresses_give_their_names(spark):
+    few = [f"note {k} ask about it at zed@corp.example.com please" for k in range(3)]
+    rows = spark.createDataFrame(list(enumerate([*few, "plain words", None])), "doc_id int, text string")
+    assert pii.disclosing_terms(rows).collect() == []
+    once = [*corpus()[20:], "stone Wilmar walked, wilmar.k@mail.example.com under the bridge"]
+    rows = spark.createDataFrame(list(enumerate(once)), "doc_id int, text string")
+    assert {r["term"] for r in pii.disclosing_terms(rows).collect()} == {"wilmar"}
+
+
+def test_shared_parts_are_protected(spark):
+    rng = random.Random(5)
+    common = [x for x in corpus()[50].split()]
+    texts = [" ".join(rng.choice(common) for _ in range(40)) for _ in range(300)]
+    for k in range(8):
+        texts[k] += f" staff{k}@quorl.example.org {rng.choice(common)} Quorlsoft {rng.choice(common)}"
+    found = {r["term"] for r in pii.disclosing_terms(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert found == {"quorlsoft"}
+
+
 def test_main_path_is_native(spark):
     rows = spark.createDataFrame(list(enumerate(corpus())), "doc_id int, text string")
     plan = pii.find_personal_data(rows)._jdf.queryExecution().toString()

@@ -1,13 +1,16 @@
 """Personal data: patterns, and terms that disclose a protected entity (DataFrame functions only).
 
 Base spans are e-mail addresses, IPv4 addresses, card and phone numbers. Each value found is a protected
-entity. Which words give it away is estimated from co-occurrence in the corpus: n(e) documents have the
-entity, n(t) the term, n(t, e) the term within `REACH` characters of the entity. A term's disclosure of
-an entity is its pointwise mutual information over the entity's information content,
+entity, and so is the part that it shares with others: domain, network, issuer, number without its last
+four digits. Which words give an entity away is estimated from co-occurrence in the corpus: n(e) documents
+have the entity, n(t) the term, n(t, e) the term within `REACH` characters of the entity. A term's
+disclosure of an entity is its pointwise mutual information over the entity's information content,
 log2(N n(t, e) / (n(t) n(e))) / log2(N / n(e)): 1 if the term never occurs without it. Pairs count that
-at least `SUPPORT` documents have, in at least two different contexts (so that copies alone prove
-nothing). A term of disclosure `LIMIT` or more is replaced by its prefix class ("abc*") if that class
-discloses less, and removed otherwise, wherever it occurs.
+chance doesn't explain: of the entity's c different contexts (copies are one), k have the term; C(c, k)
+(n(t) / N)^k, bounded and multiplied by the number of pairs, must be at most `ALPHA`. So an entity of a
+single context is given away only by words that spell a part of its own address. A term of disclosure
+`LIMIT` or more is replaced by its prefix class ("abc*") if that class discloses less, and removed
+otherwise, wherever it occurs.
 
 Only pairs within a window are counted, so their number is linear in the text; counts are pre-aggregated.
 Up to `LITERAL` terms are matched as a literal list; beyond that they are joined with their marks, without a
@@ -15,10 +18,12 @@ broadcast. Both give the same text.
 
 Defined results: null text is empty and stays null when sanitised. Spans are code points, end exclusive.
 Where spans overlap, sanitise() replaces their union once, by the first one's mark. Null ids are kept.
+Other columns are carried as one struct, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +42,7 @@ PATTERNS = {
 #: A cheap test that every text with a match passes.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-REACH, SUPPORT, LIMIT, PREFIX = 48, 3, 0.95, 3
+REACH, ALPHA, LIMIT, PREFIX = 48, 0.05, 0.95, 3
 LITERAL = 4000
 BLOCK = 256
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -143,33 +148,29 @@ def _context(text: Column, s: Column) -> Column:
 
 
 def _found(docs: DataFrame, keys: DataFrame, text: Column) -> DataFrame:
-    """docs with __hits: which of the keys (column key: terms, and classes 'abc*') the text has; and with __marks, a map of theirs, if keys have a mark.
+    """docs with __hits, which of the terms (key) the text has, and __marks, a map of theirs.
 
     An intersection leaves no repeats, so the words needn't be made distinct before it.
     """
-    with_marks = "mark" in keys.columns
     no_marks = F.create_map().cast("map<string,string>")
-    classes = F.col("key").endswith("*")
-    n, n_classes = keys.agg(F.count("*"), F.count_if(classes)).first()
     empty = F.array().cast("array<string>")
-    if n <= LITERAL:
-        own_mark = {r["key"]: r["mark"] if with_marks else None for r in keys.orderBy("key").collect()}
-        known = list(own_mark)
-        plain, stems = [k for k in known if k[-1:] != "*"], [k[:-1] for k in known if k[-1:] == "*"]
-        hits = F.array_intersect(words(text), F.lit(plain).cast("array<string>")) if plain else empty
-        if stems:
-            own = F.array_intersect(F.transform(words(text), _stem), F.lit(stems).cast("array<string>"))
-            hits = F.concat(hits, F.transform(own, lambda w: F.concat(w, F.lit("*"))))
-        out = docs.withColumn("__hits", hits)
-        if with_marks:
-            out = out.withColumn("__marks", F.create_map(*[F.lit(x) for pair in own_mark.items() for x in pair]) if own_mark else no_marks)
-        return out
+    if keys.limit(LITERAL + 1).count() <= LITERAL:
+        marks = {r["key"]: r["mark"] for r in keys.orderBy("key").collect()}
+        out = docs.withColumn("__hits", F.array_intersect(words(text), F.lit(list(marks)).cast("array<string>")) if marks else empty)
+        return out.withColumn("__marks", F.create_map(*[F.lit(x) for pair in marks.items() for x in pair]) if marks else no_marks)
     rows = materialize(docs.select("*", row_id("__row")), "documents")
-    every = _with_classes(words(text)) if n_classes else F.array_distinct(words(text))
-    gathered = [F.collect_set("key").alias("__hits"), *[F.map_from_entries(F.collect_set(F.struct("key", "mark"))).alias("__marks")] * with_marks]
-    hits = rows.select("__row", F.explode(every).alias("key")).join(keys, "key").groupBy("__row").agg(*gathered)
+    hits = rows.select("__row", F.explode(F.array_distinct(words(text))).alias("key")).join(keys, "key")
+    hits = hits.groupBy("__row").agg(F.collect_set("key").alias("__hits"), F.map_from_entries(F.collect_set(F.struct("key", "mark"))).alias("__marks"))
     out = rows.join(hits, "__row", "left").withColumn("__hits", F.coalesce("__hits", empty)).drop("__row")
-    return out.withColumn("__marks", F.coalesce("__marks", no_marks)) if with_marks else out
+    return out.withColumn("__marks", F.coalesce("__marks", no_marks))
+
+
+def _protected(s: Column) -> Column:
+    """The entities that a span stands for: its value, and the part of it that others share."""
+    low, digits, kind = F.lower(s["value"]), _digits(s["value"]), s["kind"]
+    part = F.when(kind == 0, F.substring_index(low, "@", -1)).when(kind == 1, F.substring_index(low, ".", 3))
+    part = part.when(kind == 2, F.substring(digits, 1, 6)).otherwise(F.regexp_replace(digits, ".{4}$", ""))
+    return F.array(F.concat_ws(":", kind, F.when(kind <= 1, low).otherwise(digits)), F.concat_ws("/", kind, part))
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -178,27 +179,32 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     source = docs.select(text.alias("__text"))
     spans = source.select("__text", base_spans(F.col("__text")).alias("s")).where(F.size("s") > 0)
 
-    def entity(s: Column) -> Column:
-        low = F.when(s["kind"] <= 1, F.lower(s["value"])).otherwise(_digits(s["value"]))
-        return F.concat_ws(":", s["kind"], low)
-
-    around = F.transform("s", lambda s: F.struct(entity(s).alias("e"), _context(F.col("__text"), s).alias("c")))
-    near = materialize(
-        spans.select(F.monotonically_increasing_id().alias("row"), F.explode(around).alias("x")).select("row", "x.e", F.xxhash64("x.c").alias("h"), terms(F.col("x.c")).alias("w")),
-        "contexts",
-    )
-    entities = near.select("row", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    pairs = near.join(entities.select("e"), "e").select("row", "e", "h", F.explode(_with_classes(F.col("w"))).alias("key"))
-    once = pairs.groupBy("row", "e", "key").agg(F.min("h").alias("h0"), F.max("h").alias("h1"))
-    counted = once.groupBy("e", "key").agg(F.count("*").alias("n_te"), F.min("h0").alias("h0"), F.max("h1").alias("h1"))
-    counted = materialize(counted.where((F.col("n_te") >= SUPPORT) & (F.col("h0") != F.col("h1"))).drop("h0", "h1").join(entities, "e"), "pairs")
+    def around(s: Column) -> Column:
+        own = F.when(s["kind"] == 0, terms(F.substring_index(s["value"], "@", 1))).otherwise(F.array().cast("array<string>"))
+        return F.struct(_protected(s).alias("e"), _context(F.col("__text"), s).alias("c"), own.alias("own"))
+
+    seen_at = spans.select(F.monotonically_increasing_id().alias("row"), F.explode(F.transform("s", around)).alias("x"))
+    near = seen_at.select("row", F.xxhash64("x.c").alias("h"), terms(F.col("x.c")).alias("w"), F.explode("x.e").alias("e"), F.col("x.own").alias("own"))
+    near = materialize(near, "contexts")
+    contexts = near.groupBy("e", "h").agg(F.count("*").alias("n")).groupBy("e").agg(F.count("*").alias("c"))
+    entities = near.select("row", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e")).join(contexts, "e")
+    spelled = near.where(F.arrays_overlap("own", "w")).select("row", "e", "h", F.explode(_with_classes(F.array_intersect("own", "w"))).alias("key"), F.lit(True).alias("spelled"))
+    several = near.join(entities.where("c > 1").select("e"), "e").select("row", "e", "h", F.explode(_with_classes(F.col("w"))).alias("key"), F.lit(False).alias("spelled"))
+    once = several.unionByName(spelled).groupBy("e", "key", "row").agg(F.min("h").alias("h"), F.max("spelled").alias("spelled"))
+    alike = once.groupBy("e", "key", "h").agg(F.count("*").alias("n"), F.max("spelled").alias("spelled"))
+    counted = alike.groupBy("e", "key").agg(F.sum("n").alias("n_te"), F.count("*").alias("k"), F.max("spelled").alias("spelled"))
+    counted = materialize(counted.where("k > 1 OR spelled").join(entities, "e"), "pairs")
 
     keys = counted.select("key").distinct()
-    seen = _found(source, keys, F.col("__text")).select(F.explode("__hits").alias("key")).groupBy("key").agg(F.count("*").alias("n_t"))
-    n = docs.count()
+    every = source.select(F.explode(_with_classes(terms(F.col("__text")))).alias("key")).groupBy("key").agg(F.count("*").alias("n_t"))
+    seen = every.join(keys, "key")
+    n, n_pairs = docs.count(), counted.count()
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
     value = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
-    worst = counted.join(seen, "key").where(ic > 0).groupBy("key").agg(F.max(value / ic).alias("disclosure"))
+    # C(c, k) <= (c e / k)^k.
+    chance = F.col("k") * F.log2(F.col("c") * F.lit(math.e) * F.col("n_t") / (F.col("k") * F.lit(float(n)))) + F.log2(F.lit(float(n_pairs)))
+    proven = F.col("spelled") | ((F.col("k") > 1) & (chance <= math.log2(ALPHA)))
+    worst = counted.join(seen, "key").where((ic > 0) & proven).groupBy("key").agg(F.max(value / ic).alias("disclosure"))
     risky = materialize(worst.where(F.col("disclosure") >= LIMIT).select("key"), "risky")
     classes = risky.select(F.col("key").alias("class"))
     found = risky.where(~F.col("key").endswith("*")).select(F.col("key").alias("term"), _class_of(F.col("key")).alias("own"))
@@ -212,8 +218,8 @@ def _term_spans(text: Column, hits: Column) -> Column:
 
 
 def _annotated(docs: DataFrame, risky: DataFrame, text_col: str) -> DataFrame:
-    """docs with __text, __base, __terms (spans of disclosing terms outside base spans) and __marks (of the terms)."""
-    rows = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    """docs as __in, __text, __base, __terms (spans of disclosing terms outside base spans) and __marks (of the terms)."""
+    rows = docs.select(F.struct("*").alias("__in"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
     rows = _found(rows, risky.select(F.col("term").alias("key"), "mark"), F.col("__text"))
     rows = rows.withColumn("__base", base_spans(F.col("__text")))
     outside = F.filter(_term_spans(F.col("__text"), F.col("__hits")), lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
@@ -231,7 +237,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = _annotated(docs.select(*dict.fromkeys([id_col, text_col])), risky, text_col)
     counts = [F.size(F.filter("__base", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return rows.select(
-        id_col,
+        F.col("__in")[id_col].alias(id_col),
         *counts,
         F.sha2(_listed(F.col("__base")), 256).alias("base_sha256"),
         _listed(F.array_sort(F.concat("__base", "__terms"))).alias("spans"),
@@ -263,5 +269,5 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ),
     )
     tail = F.substring(F.col("__text"), F.element_at("__cut", -1)["end"] + 1, F.length("__text"))
-    clean = F.when(F.size("__cut") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(f"`{text_col}`"))
-    return rows.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(F.size("__cut") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("__in")[text_col])
+    return rows.select(*[(clean if c == text_col else F.col("__in")[c]).alias(c) for c in docs.columns])
