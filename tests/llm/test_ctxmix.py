@@ -57,20 +57,50 @@ def test_probabilities_of_all_next_symbols_sum_to_one():
     texts = [b"a b a b a c", b"a b c c a b"]
     codes = ctxmix.build_codes([b"", b"a", b"b", b"c"], [2, 5, 4, 3], 1)
     coder = ctxmix.Coder(codes, 12)
-    counts = [np.zeros(2 * n, np.uint32) for n in (codes["nodes"], 1 << 12, 1 << 12)]
+    counts = [np.zeros(2 * n, np.int64) for n in (codes["nodes"], 1 << 12, 1 << 12)]
     for t in texts:
         s = coder.symbols(t)[0]
         one, two = ctxmix.before(s, np.array([0]))
         _, code, first, second = coder.decisions(s, one, two)
         for own, slot in zip(counts, (codes["node"][code], first, second), strict=True):
-            np.add.at(own, 2 * slot.astype(np.int64) + codes["bit"][code], np.uint32(1))
-    model = ctxmix.predictors(counts)
+            np.add.at(own, 2 * slot.astype(np.int64) + codes["bit"][code], 1)
+    model = {"odds": [ctxmix.log_odds(c)[0] for c in counts], "seen": ctxmix.log_odds(counts[2])[1]} | ctxmix.fresh()
     lead = [1, 2]
     base = ctxmix.score_group(coder, model, [np.array(lead)])[0]
     total = sum(math.exp(ctxmix.score_group(coder, model, [np.array([*lead, s])])[0] - base) for s in range(5))
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_sparse_counters_round_trip():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    counts = [np.where(rng.random(3 * ctxmix.PART // 2) < 0.1, rng.integers(0, 2**32, 3 * ctxmix.PART // 2), rng.integers(0, 2, 3 * ctxmix.PART // 2)).astype(np.uint32)]
+    want = 5 * counts[0].astype(np.uint64)
+    rows = pd.concat([b.to_pandas() for b in ctxmix._flush(counts, 3)] * 5)
+    got = np.concatenate([ctxmix._summed(own) for _, own in rows.groupby("b")])[: len(want)]
+    assert (got == want).all() and got.max() > 2**33 and not counts[0].any()
+
+
+def test_weights_do_not_depend_on_the_layout(spark):
+    d = spark.createDataFrame([(i, t) for i, t in corpus() if i is not None], "doc_id long, text string")
+    one, many = ({r["doc_id"]: r["score"] for r in ctxmix.score(x, vocabulary=90, bits=14).collect()} for x in (d.coalesce(1), d.repartition(5)))
+    assert all(one[i] == pytest.approx(many[i], rel=1e-4) for i in one)
+
+
+def test_held_out_documents_score_above_the_base(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = [r for r in ctxmix.score(d).collect() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_few_slots_lose_little(spark):
+    """Contexts that share slots blur the counts; the mix then leans on the others."""
+    d = spark.createDataFrame([(i, t) for i, t in corpus() if i is not None], "doc_id long, text string")
+    total = {bits: sum(r["score"] for r in ctxmix.score(d, vocabulary=90, bits=bits).collect() if r["held_out"]) for bits in (16, 10)}
+    assert 1.3 * total[16] < total[10]
+
+
 def test_no_training_rows(spark):
     d = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
     r = ctxmix.score(d, vocabulary=10, bits=10).collect()

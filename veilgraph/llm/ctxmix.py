@@ -3,17 +3,21 @@
 A text is a sequence of tokens: words between ASCII white space, A-Z lower-cased, and one end token.
 A frequent token (of the `vocabulary` most frequent training tokens) is one symbol; any other, and any seen once, is an
 escape and its bytes, two at a time, closed by a byte that UTF-8 never has. Each symbol is a path through a Huffman tree, so coding a text is a
-sequence of binary decisions. For each decision three predictors know how often the bit was 1 in the
-training texts after (tree node), (node, previous symbol) and (node, two previous symbols); the latter
-two live in hashed tables of fixed size. Their log-odds are mixed with weights that a gate selects (kind
-of symbol, depth, how much the longest context has seen), and the mix is refined by an adaptive
-probability map. Weights and map start from fixed values and are learned online through each text, one
-block of `BLOCK` symbols at a time, so that a score depends on the text and the training counts only.
-The score is the log10 probability of all decisions; bits per byte follow from it.
-
-Counting covers all training texts. Token counts are summed by token; the tables are summed block by
-block, first over 256 partitions each and then over these sums. The vocabulary, trees and tables have
-fixed sizes and are broadcast; counts of tokens beyond the vocabulary are joined, never broadcast.
+sequence of binary decisions. For each decision four predictors know how often the bit was 1: in the
+training texts after (tree node), (node, previous symbol) and (node, two previous symbols), the latter
+two in hashed tables, and in the text so far after (node). Their log-odds are mixed with weights that a
+gate selects (kind of symbol, depth, how much the longest context has seen), and the mix is refined by an
+adaptive probability map. Weights and map are learned on the training texts of remainder 1, which the
+tables leave out: `STEPS` Newton steps on the sums over all of these texts, then the map's counts, so that
+the order and layout of rows don't matter. Through each text both are learned on online, one block of
+`BLOCK` symbols at a time, from that start. The score is the log10 probability of all decisions;
+bits per byte follow from it.
+
+Counting covers all training texts. Token counts are summed by token, tables by block of slots, non-zero
+slots only, in two levels and 64 bits. A hashed table has about a slot for each training token, up to
+`bits`, which bounds the memory of a worker (8 bytes a slot and table counting, 1 byte scoring) and what
+is broadcast; beyond that, contexts share slots. The vocabulary and the trees are bounded by `vocabulary`;
+counts of tokens beyond it are joined, never broadcast.
 
 Defined results: null text is empty (the end token only); a null id counts as ''. Without training
 texts every count is 0 and the base is that of one unseen token kind. Rows are scored each on its own.
@@ -37,15 +41,20 @@ from pyspark.sql import functions as F
 from veilgraph.llm._common import as_bytes, materialize, small_batches
 
 VOCABULARY = 131_072
-TABLE_BITS = 20
-BLOCK, LANES = 128, 128
-PART = 1 << 14
+TABLE_BITS = 22
+BLOCK, LANES = 32, 128
+#: Counters of a table that are summed as one row; how many partitions are summed at a time first.
+PART, FAN = 1 << 14, 1024
+#: A partition's counts are handed on before one of 32 bits can overflow.
+MOST = 1 << 31
+#: Log-odds are kept in steps of 1 / SCALE; slots of each text's own counts.
+SCALE, OWN_BITS = 15, 12
 RATE, MAP_PRIOR, MAP_CELLS = 0.008, 24.0, 33
 CHUNK = 8192
 GATES = 24
-#: Starting weights of the predictors (node, one, two symbols) of each gate: words then pairs of bytes, by
-#: depth, by what the longest context has seen.
-START = ((0.7, 0.3, 0.0), (0.5, 0.4, 0.1), (0.4, 0.4, 0.2)) * 4 + ((0.3, 0.6, 0.1), (0.1, 0.5, 0.4), (0.0, 0.4, 0.6)) * 4
+STEPS, RIDGE = 2, 50.0
+#: Weights (node, one, two symbols, own text) from which they are learned.
+START = (0.4, 0.4, 0.2, 0.1)
 _K1, _K2, _K3 = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
@@ -118,6 +127,7 @@ def _derived(codes: dict) -> dict:
         "step": node.astype(np.uint32) * _K2,
         "gate": (12 * below + 3 * np.minimum(depth >> 2, 3)).astype(np.int32),
         "row": (MAP_CELLS * below + MAP_CELLS // 2).astype(np.int32),
+        "own": ((node.astype(np.uint32) * _K1) >> np.uint32(32 - OWN_BITS)).astype(np.int64),
     }
 
 
@@ -180,8 +190,8 @@ def before(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one, two
 
 
-def held_out(id_col: str) -> Column:
-    return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+def remainder(id_col: str) -> Column:
+    return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 10
 
 
 def token_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
@@ -205,19 +215,50 @@ def token_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
     return texts.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _flush(counts: list[np.ndarray], part: int) -> pa.RecordBatch:
-    rows = [(t, b, part // 256, own[b : b + 2 * PART].tobytes()) for t, own in enumerate(counts) for b in range(0, len(own), 2 * PART)]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["t", "b", "s", "counts"])
+_COUNTS = "t int, b int, s int, at binary, n binary"
 
 
-def table_counts(texts: DataFrame, codes: dict, bits: int) -> list[np.ndarray]:
-    """Counts of 0 and 1, interleaved, by node and by slot of the two hashed tables, over all texts."""
+def _sparse(counts: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    """Places and values of the non-zero counters, those that fit a byte apart from the others."""
+    small = counts < 256
+    for own, kind in ((small & (counts > 0), "u1"), (~small, "<u8")):
+        at = np.flatnonzero(own)
+        if len(at):
+            yield at.astype("<u2").tobytes(), counts[at].astype(kind).tobytes()
+
+
+def _flush(counts: list[np.ndarray], part: int) -> Iterator[pa.RecordBatch]:
+    """The non-zero counters, a row or two for each PART of a table."""
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    for t, own in enumerate(counts):
+        rows = [(t, b // PART, part // FAN, *x) for b in range(0, len(own), PART) for x in _sparse(own[b : b + PART])]
+        if rows:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["t", "b", "s", "at", "n"])
+        own[:] = 0
+
+
+def _summed(rows: pd.DataFrame) -> np.ndarray:
+    out = np.zeros(PART, np.uint64)
+    for at, n in zip(rows["at"], rows["n"], strict=True):
+        out[np.frombuffer(at, "<u2")] += np.frombuffer(n, "u1" if 2 * len(n) == len(at) else "<u8")
+    return out
+
+
+def log_odds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of slots whose counts of 0 and 1 are interleaved: log-odds in steps, and how much they have seen (0, 1, 2)."""
+    zero, one = counts[0::2].astype(float), counts[1::2].astype(float)
+    seen = zero + one
+    return np.rint(np.clip(np.log((one + 0.4) / (zero + 0.4)), -8, 8) * SCALE).astype(np.int8), (seen >= 4).astype(np.uint8) + (seen >= 32).astype(np.uint8)
+
+
+def predictors(texts: DataFrame, codes: dict, bits: int) -> dict:
+    """Log-odds by node and by slot of the two hashed tables, over all texts, and what the longest contexts have seen."""
     known = texts.sparkSession.sparkContext.broadcast({"codes": codes})
+    sizes = [codes["nodes"], 1 << bits, 1 << bits]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(known.value["codes"], bits)
-        counts = [np.zeros(2 * n, np.uint32) for n in (codes_nodes, 1 << bits, 1 << bits)]
+        coder, part, done = Coder(known.value["codes"], bits), TaskContext.get().partitionId(), 0
+        counts = [np.zeros(2 * n, np.uint32) for n in sizes]
         for batch in batches:
             for raw in _groups(as_bytes(batch.column(0))):
                 parts = [coder.symbols(t)[0] for t in raw]
@@ -229,23 +270,42 @@ def table_counts(texts: DataFrame, codes: dict, bits: int) -> list[np.ndarray]:
                     bit = coder.codes["bit"].take(code)
                     for own, slot in zip(counts, (coder.codes["node"].take(code), first, second), strict=True):
                         np.add.at(own, 2 * slot.astype(np.int64) + bit, np.uint32(1))
-        yield _flush(counts, TaskContext.get().partitionId())
+                    done += len(code)
+                    if done > MOST:
+                        yield from _flush(counts, part)
+                        done = 0
+        yield from _flush(counts, part)
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
-        out = rows.iloc[:1].copy()
-        out["counts"] = [np.sum([np.frombuffer(x, np.uint32) for x in rows["counts"]], axis=0, dtype=np.uint32).tobytes()]
-        return out
-
-    codes_nodes = codes["nodes"]
-    schema = "t int, b int, s int, counts binary"
-    rows = texts.mapInArrow(run, schema)
-    summed = rows.groupBy("t", "b", "s").applyInPandas(total, schema).groupBy("t", "b").applyInPandas(total, schema)
-    out = [np.zeros(2 * n, np.uint32) for n in (codes_nodes, 1 << bits, 1 << bits)]
-    for r in summed.collect():
-        own = np.frombuffer(r["counts"], np.uint32)
-        out[r["t"]][r["b"] : r["b"] + len(own)] = own
+        own = list(_sparse(_summed(rows)))
+        same = {c: [rows[c].iloc[0]] * len(own) for c in ("t", "b", "s")}
+        return pd.DataFrame(same | {"at": [x for x, _ in own], "n": [x for _, x in own]})
+
+    def final(rows: pd.DataFrame) -> pd.DataFrame:
+        odds, seen = log_odds(_summed(rows))
+        t = rows["t"].iloc[0]
+        return pd.DataFrame({"t": [t], "b": [rows["b"].iloc[0]], "odds": [odds.tobytes()], "seen": [seen.tobytes() if t == 2 else b""]})
+
+    partial = texts.mapInArrow(run, _COUNTS).groupBy("t", "b", "s").applyInPandas(total, _COUNTS)
+    odds, seen = [np.zeros(n, np.int8) for n in sizes], np.zeros(sizes[2], np.uint8)
+    for r in partial.groupBy("t", "b").applyInPandas(final, "t int, b int, odds binary, seen binary").collect():
+        at = r["b"] * (PART // 2)
+        own = np.frombuffer(r["odds"], np.int8)[: sizes[r["t"]] - at]
+        odds[r["t"]][at : at + len(own)] = own
+        if r["t"] == 2:
+            seen[at : at + len(own)] = np.frombuffer(r["seen"], np.uint8)[: len(own)]
     known.unpersist()
-    return out
+    return {"odds": odds, "seen": seen} | fresh()
+
+
+def fresh() -> dict:
+    """Weights of each predictor and gate, and the map's ones and all, as they are before any learning."""
+    middle = (np.arange(MAP_CELLS) - MAP_CELLS // 2) / 2.0
+    return {
+        "weights": np.repeat(np.array(START, np.float32)[:, None], GATES, axis=1),
+        "ones": np.tile(MAP_PRIOR / (1 + np.exp(-middle)), 2),
+        "all": np.full(2 * MAP_CELLS, MAP_PRIOR),
+    }
 
 
 def _groups(texts: list[bytes | None], most: int = 2 << 20) -> Iterator[list[bytes]]:
@@ -261,29 +321,62 @@ def _groups(texts: list[bytes | None], most: int = 2 << 20) -> Iterator[list[byt
         yield group
 
 
-def predictors(counts: list[np.ndarray]) -> dict:
-    """Log-odds of each table's slots, and how much the slots of the longest context have seen (0, 1, 2)."""
-    odds = []
-    for own in counts:
-        zero, one = own[0::2].astype(np.float32), own[1::2].astype(np.float32)
-        odds.append(np.clip(np.log((one + 0.4) / (zero + 0.4)), -8, 8).astype(np.float32))
-    seen = counts[2][0::2] + counts[2][1::2]
-    return {"odds": odds, "seen": (seen >= 4).astype(np.uint8) + (seen >= 32).astype(np.uint8)}
+class Lanes:
+    """What each text's decisions know: weights, map and own counts."""
+
+    def __init__(self, model: dict, lanes: int) -> None:
+        self.weights = [np.tile(w, lanes) for w in model["weights"]]
+        self.ones, self.all = np.tile(model["ones"], lanes), np.tile(model["all"], lanes)
+        self.refined = (self.ones / self.all).astype(np.float32)
+        self.zero, self.one, self.odds = (np.zeros(lanes << OWN_BITS, np.float32) for _ in range(3))
+
+
+class Lesson:
+    """Sums over decisions: gradient and curvature of each gate's weights, and the map's counts."""
+
+    def __init__(self) -> None:
+        n = len(START)
+        self.slope, self.curve = np.zeros((n, GATES)), np.zeros((n, n, GATES))
+        self.ones, self.all = np.zeros(2 * MAP_CELLS), np.zeros(2 * MAP_CELLS)
+
+    def add(self, gate: np.ndarray, cell: np.ndarray, bit: np.ndarray, p: np.ndarray, x: list[np.ndarray]) -> None:
+        error, spread = bit - p, p * (1 - p)
+        for i, v in enumerate(x):
+            self.slope[i] += np.bincount(gate, error * v, minlength=GATES)
+            own = spread * v
+            for j in range(i, len(x)):
+                self.curve[i, j] += np.bincount(gate, own * x[j], minlength=GATES)
+        self.ones += np.bincount(cell, bit, minlength=2 * MAP_CELLS)
+        self.all += np.bincount(cell, minlength=2 * MAP_CELLS)
+
+    def values(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (self.slope, self.curve, self.ones, self.all)])
 
+    def fill(self, values: np.ndarray) -> Lesson:
+        at = 0
+        for x in (self.slope, self.curve, self.ones, self.all):
+            x[...] = values[at : at + x.size].reshape(x.shape)
+            at += x.size
+        return self
 
-def score_group(coder: Coder, model: dict, parts: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each text's symbols."""
+    def weights(self, now: np.ndarray) -> np.ndarray:
+        """After a Newton step; RIDGE holds back gates that have seen little."""
+        out = now.astype(float)
+        for g in range(GATES):
+            upper = np.triu(self.curve[:, :, g])
+            out[:, g] += np.linalg.solve(upper + np.triu(upper, 1).T + RIDGE * np.eye(len(now)), self.slope[:, g])
+        return out.astype(np.float32)
+
+
+def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Lesson | None = None) -> np.ndarray:
+    """Natural log probability of each text's symbols; with a lesson, weights and map stay as they are and their sums go there."""
     order = np.argsort([-len(p) for p in parts], kind="stable")
     parts = [parts[i] for i in order]
     size = np.array([len(p) for p in parts])
     flat, first = np.concatenate(parts), np.cumsum(size) - size
     one, two = before(flat, first)
     lanes, codes, f = len(parts), coder.codes, np.float32
-    weights = [np.tile(np.array([w[i] for w in START], f), lanes) for i in range(3)]
-    middle = (np.arange(MAP_CELLS) - MAP_CELLS // 2) / 2.0
-    ones = np.tile(MAP_PRIOR / (1 + np.exp(-middle)), 2 * lanes)
-    seen = np.full(2 * lanes * MAP_CELLS, MAP_PRIOR)
-    refined = (ones / seen).astype(f)
+    now = Lanes(model, lanes)
     out = np.zeros(lanes)
     for s in range(0, int(size.max(initial=0)), BLOCK):
         active = int((size > s).sum())
@@ -292,12 +385,17 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray]) -> np.ndarra
         at = np.repeat(first[:active] + s - (np.cumsum(length) - length), length) + np.arange(len(lane))
         owner, code, slot1, slot2 = coder.decisions(flat[at], one[at], two[at])
         gate, bit, who = codes["gate"].take(code), codes["bit"].take(code), lane.take(owner)
+        mine = codes["own"].take(code)
+        mine += who << OWN_BITS
+        gate = gate + model["seen"].take(slot2)
         own = who * GATES
         own += gate
-        own += model["seen"].take(slot2)
-        x = [model["odds"][0].take(codes["node"].take(code)), model["odds"][1].take(slot1), model["odds"][2].take(slot2)]
-        dot = weights[0].take(own) * x[0]
-        for w, v in zip(weights[1:], x[1:], strict=True):
+        x = [odds.take(slot).astype(f) for odds, slot in zip(model["odds"], (codes["node"].take(code), slot1, slot2), strict=True)]
+        for v in x:
+            v *= f(1 / SCALE)
+        x.append(now.odds.take(mine))
+        dot = now.weights[0].take(own) * x[0]
+        for w, v in zip(now.weights[1:], x[1:], strict=True):
             dot += w.take(own) * v
         np.clip(dot, f(-8), f(8), out=dot)
         p = np.exp(-dot)
@@ -305,32 +403,68 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray]) -> np.ndarra
         np.reciprocal(p, out=p)
         dot *= f(2)
         cell = np.rint(dot, out=dot).astype(np.int64)
-        cell += codes["row"].take(code)
-        cell += who * (2 * MAP_CELLS)
+        row = codes["row"].take(code)
+        row += cell
+        cell = who * (2 * MAP_CELLS)
+        cell += row
         error = bit - p
-        q = refined.take(cell)
+        q = now.refined.take(cell)
         q += p
         q *= f(0.5)
         q -= f(1) - bit
         np.abs(q, out=q)
         np.maximum(q, f(1e-7), out=q)
         out[:active] += np.bincount(who, np.log(q, out=q), minlength=active)
-        top, cells = active * GATES, active * 2 * MAP_CELLS
-        for w, v in zip(weights, x, strict=True):
-            w[:top] += np.clip(RATE * np.bincount(own, error * v, minlength=top), -0.2, 0.2)
-        ones[:cells] += np.bincount(cell, bit, minlength=cells)
-        seen[:cells] += np.bincount(cell, minlength=cells)
-        refined[:cells] = ones[:cells] / seen[:cells]
+        if lesson:
+            lesson.add(gate, row, bit, p, x)
+        else:
+            top, cells = active * GATES, active * 2 * MAP_CELLS
+            for w, v in zip(now.weights, x, strict=True):
+                w[:top] += np.clip(RATE * np.bincount(own, error * v, minlength=top), -0.2, 0.2)
+            now.ones[:cells] += np.bincount(cell, bit, minlength=cells)
+            now.all[:cells] += np.bincount(cell, minlength=cells)
+            now.refined[:cells] = now.ones[:cells] / now.all[:cells]
+        np.add.at(now.one, mine, bit.astype(f))
+        np.add.at(now.zero, mine, f(1) - bit)
+        now.odds[mine] = np.log((now.one.take(mine) + f(0.4)) / (now.zero.take(mine) + f(0.4)))
     back = np.empty(lanes)
     back[order] = out
     return back
 
 
+def learned(texts: DataFrame, codes: dict, model: dict, bits: int) -> dict:
+    """model with the weights and the map that these texts teach."""
+    known = texts.sparkSession.sparkContext.broadcast({"codes": codes, "model": model})
+
+    def pass_over(weights: np.ndarray) -> Lesson | None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coder, own, lesson = Coder(known.value["codes"], bits), known.value["model"] | {"weights": weights}, Lesson()
+            for batch in batches:
+                for raw in _groups(as_bytes(batch.column(0))):
+                    score_group(coder, own, [coder.symbols(t)[0] for t in raw], lesson)
+            values = lesson.values()
+            yield pa.record_batch([pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], ["i", "v"])
+
+        sums = dict(texts.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect())
+        return Lesson().fill(np.array([sums[i] for i in range(len(sums))])) if sums else None
+
+    weights, start = model["weights"], fresh()
+    for _ in range(STEPS):
+        if not (lesson := pass_over(weights)):
+            return model
+        weights = lesson.weights(weights)
+    lesson = pass_over(weights)
+    known.unpersist()
+    # A text starts with the rates learned, held with the weight of the map's prior.
+    rates = (start["ones"] + lesson.ones) / (start["all"] + lesson.all)
+    return model | {"weights": weights, "ones": rates * MAP_PRIOR, "all": start["all"]}
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, bits: int = TABLE_BITS) -> DataFrame:
     """One row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"), held_out(id_col).alias("held_out"))
+    source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"), remainder(id_col).alias("__part")).withColumn("held_out", F.col("__part") == 0)
     training = source.where(~F.col("held_out")).select("__text")
     counts = materialize(token_counts(training), "tokens")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -338,7 +472,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     top = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(vocabulary).toArrow()
     often = np.array(top.column("n").to_pylist(), np.int64)
     codes = build_codes(top.column("token").to_pylist(), often.tolist(), total - int(often.sum()))
-    model = predictors(table_counts(training, codes, bits))
+    bits = min(bits, max(10, int(total).bit_length()))
+    model = predictors(source.where("__part > 1").select("__text"), codes, bits)
+    model = learned(source.where("__part = 1").select("__text"), codes, model, bits)
     over = total + 0.1 * (kinds + 1)
     base = np.log10((often + 0.1) / over)
     known = spark.sparkContext.broadcast({"codes": codes, "model": model, "base": base})
