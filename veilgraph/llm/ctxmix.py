@@ -7,7 +7,7 @@ sequence of binary decisions. For each decision four predictors know how often t
 training texts after (tree node), (node, previous symbol) and (node, two previous symbols), the latter
 two in hashed tables, and in the text so far after (node). Their log-odds are mixed with weights that a
 gate selects (kind of symbol, depth, how much the longest context has seen), and the mix is refined by an
-adaptive probability map. Weights and map are learned on the training texts of remainder 1, which the
+adaptive probability map. Weights and map are learned on the training texts of remainder 1 of 50, which the
 tables leave out: `STEPS` Newton steps on the sums over all of these texts, then the map's counts, so that
 the order and layout of rows don't matter. Through each text both are learned on online, one block of
 `BLOCK` symbols at a time, from that start. The score is the log10 probability of all decisions;
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from veilgraph.llm._common import as_bytes, materialize, small_batches
 
 VOCABULARY = 131_072
-TABLE_BITS = 22
-BLOCK, LANES = 32, 128
+TABLE_BITS = 20
+BLOCK, LANES = 64, 128
 #: Counters of a table that are summed as one row; how many partitions are summed at a time first.
 PART, FAN = 1 << 14, 1024
 #: A partition's counts are handed on before one of 32 bits can overflow.
@@ -119,16 +119,19 @@ def build_codes(words: list[bytes], counts: list[int], rare: int) -> dict:
 
 
 def _derived(codes: dict) -> dict:
-    """What follows from the codes for each of their decisions; worked out where it is used, to ship less."""
+    """What follows from the codes for each of their decisions; worked out where it is used, to ship less.
+
+    row and gate, slot of the text's own counts and bit are packed: 8, 8, OWN_BITS and 1 bits.
+    """
     node, length = codes["node"], codes["length"]
     depth = np.arange(len(node)) - np.repeat(codes["start"], length)
     below = node >= codes["inner"]
-    return codes | {
-        "step": node.astype(np.uint32) * _K2,
-        "gate": (12 * below + 3 * np.minimum(depth >> 2, 3)).astype(np.int32),
-        "row": (MAP_CELLS * below + MAP_CELLS // 2).astype(np.int32),
-        "own": ((node.astype(np.uint32) * _K1) >> np.uint32(32 - OWN_BITS)).astype(np.int64),
-    }
+    step = node.astype(np.uint32) * _K2
+    own = (node.astype(np.uint32) * _K1) >> np.uint32(32 - OWN_BITS)
+    packed = (MAP_CELLS * below + MAP_CELLS // 2).astype(np.int32)
+    for value, bits in ((12 * below + 3 * np.minimum(depth >> 2, 3), 8), (own, OWN_BITS), (codes["bit"], 1)):
+        packed = (packed << bits) | value.astype(np.int32)
+    return codes | {"step": step, "packed": packed}
 
 
 class Coder:
@@ -162,18 +165,18 @@ class Coder:
     def decisions(self, now: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
         """For symbols and the two before each: index of the symbol, index into the codes, and the hashed slots."""
         c = self.codes
-        length = c["length"].take(now)
+        length = c["length"].take(now, mode="clip")
         at = np.repeat(np.arange(len(now)), length)
-        flat = np.repeat(c["start"].take(now) - (np.cumsum(length) - length), length)
+        flat = np.repeat(c["start"].take(now, mode="clip") - (np.cumsum(length) - length), length)
         flat += np.arange(len(flat))
         h1 = (one + 1).astype(np.uint32) * _K1
         h1 ^= h1 >> np.uint32(15)
         h2 = (h1 * _K2 + (two + 1).astype(np.uint32)) * _K3
         h2 ^= h2 >> np.uint32(13)
-        step = c["step"].take(flat)
+        step = c["step"].take(flat, mode="clip")
         slots = []
         for h in (h1, h2):
-            x = h.take(at)
+            x = h.take(at, mode="clip")
             x ^= step
             x *= _K3
             x >>= self.shift
@@ -190,8 +193,8 @@ def before(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one, two
 
 
-def remainder(id_col: str) -> Column:
-    return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 10
+def remainder(id_col: str, n: int) -> Column:
+    return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % n
 
 
 def token_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
@@ -260,15 +263,16 @@ def predictors(texts: DataFrame, codes: dict, bits: int) -> dict:
         coder, part, done = Coder(known.value["codes"], bits), TaskContext.get().partitionId(), 0
         counts = [np.zeros(2 * n, np.uint32) for n in sizes]
         for batch in batches:
-            for raw in _groups(as_bytes(batch.column(0))):
-                parts = [coder.symbols(t)[0] for t in raw]
+            texts = as_bytes(batch.column(0))
+            for group in _groups(texts):
+                parts = [coder.symbols(texts[i] or b"")[0] for i in group]
                 flat, size = np.concatenate(parts), np.array([len(p) for p in parts])
                 one, two = before(flat, np.cumsum(size) - size)
                 for i in range(0, len(flat), CHUNK):
                     s = slice(i, i + CHUNK)
                     _, code, first, second = coder.decisions(flat[s], one[s], two[s])
-                    bit = coder.codes["bit"].take(code)
-                    for own, slot in zip(counts, (coder.codes["node"].take(code), first, second), strict=True):
+                    bit = coder.codes["bit"].take(code, mode="clip")
+                    for own, slot in zip(counts, (coder.codes["node"].take(code, mode="clip"), first, second), strict=True):
                         np.add.at(own, 2 * slot.astype(np.int64) + bit, np.uint32(1))
                     done += len(code)
                     if done > MOST:
@@ -308,15 +312,16 @@ def fresh() -> dict:
     }
 
 
-def _groups(texts: list[bytes | None], most: int = 2 << 20) -> Iterator[list[bytes]]:
-    """Texts in groups of at most LANES and, beyond one text, about `most` bytes."""
+def _groups(texts: list[bytes | None], most: int = 8 << 20) -> Iterator[list[int]]:
+    """Places of texts of like length, in groups of at most LANES and, beyond one text, about `most` bytes."""
+    sizes = [len(t or b"") for t in texts]
     group, size = [], 0
-    for text in texts:
-        if group and (len(group) == LANES or size + len(text or b"") > most):
+    for i in sorted(range(len(texts)), key=sizes.__getitem__):
+        if group and (len(group) == LANES or size + sizes[i] > most):
             yield group
             group, size = [], 0
-        group.append(text or b"")
-        size += len(text or b"")
+        group.append(i)
+        size += sizes[i]
     if group:
         yield group
 
@@ -328,7 +333,7 @@ class Lanes:
         self.weights = [np.tile(w, lanes) for w in model["weights"]]
         self.ones, self.all = np.tile(model["ones"], lanes), np.tile(model["all"], lanes)
         self.refined = (self.ones / self.all).astype(np.float32)
-        self.zero, self.one, self.odds = (np.zeros(lanes << OWN_BITS, np.float32) for _ in range(3))
+        self.counts = np.full((lanes << OWN_BITS) * 2, 0.4, np.float32)
 
 
 class Lesson:
@@ -378,55 +383,68 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
     lanes, codes, f = len(parts), coder.codes, np.float32
     now = Lanes(model, lanes)
     out = np.zeros(lanes)
+    by_code = model["odds"][0].take(codes["node"], mode="clip") if len(flat) > len(codes["node"]) else None
+    scaled, table = np.arange(256, dtype=np.uint8).view(np.int8).astype(f) / f(SCALE), model["odds"]
     for s in range(0, int(size.max(initial=0)), BLOCK):
         active = int((size > s).sum())
         length = np.minimum(BLOCK, size[:active] - s)
         lane = np.repeat(np.arange(active), length)
         at = np.repeat(first[:active] + s - (np.cumsum(length) - length), length) + np.arange(len(lane))
         owner, code, slot1, slot2 = coder.decisions(flat[at], one[at], two[at])
-        gate, bit, who = codes["gate"].take(code), codes["bit"].take(code), lane.take(owner)
-        mine = codes["own"].take(code)
-        mine += who << OWN_BITS
-        gate = gate + model["seen"].take(slot2)
+        who = lane.take(owner, mode="clip")
+        packed = codes["packed"].take(code, mode="clip")
+        bit = packed & 1
+        mine = (packed >> 1) & ((1 << OWN_BITS) - 1)
+        mine = mine + (who << OWN_BITS)
+        gate = (packed >> (OWN_BITS + 1)) & 255
+        gate += model["seen"].take(slot2, mode="clip")
+        row = packed >> (OWN_BITS + 9)
         own = who * GATES
         own += gate
-        x = [odds.take(slot).astype(f) for odds, slot in zip(model["odds"], (codes["node"].take(code), slot1, slot2), strict=True)]
-        for v in x:
-            v *= f(1 / SCALE)
-        x.append(now.odds.take(mine))
-        dot = now.weights[0].take(own) * x[0]
+        known = table[0].take(codes["node"].take(code, mode="clip"), mode="clip") if by_code is None else by_code.take(code, mode="clip")
+        x = [scaled.take(v, mode="clip") for v in (known.view(np.uint8), table[1].take(slot1, mode="clip").view(np.uint8), table[2].take(slot2, mode="clip").view(np.uint8))]
+        mine *= 2
+        ratio = now.counts.take(mine + 1, mode="clip")
+        ratio /= now.counts.take(mine, mode="clip")
+        x.append(np.log(ratio, out=ratio))
+        dot = now.weights[0].take(own, mode="clip") * x[0]
         for w, v in zip(now.weights[1:], x[1:], strict=True):
-            dot += w.take(own) * v
+            part = w.take(own, mode="clip")
+            part *= v
+            dot += part
         np.clip(dot, f(-8), f(8), out=dot)
         p = np.exp(-dot)
         p += f(1)
         np.reciprocal(p, out=p)
         dot *= f(2)
-        cell = np.rint(dot, out=dot).astype(np.int64)
-        row = codes["row"].take(code)
-        row += cell
+        row += np.rint(dot, out=dot).astype(np.int32)
         cell = who * (2 * MAP_CELLS)
         cell += row
-        error = bit - p
-        q = now.refined.take(cell)
+        error = bit.astype(f)
+        q = now.refined.take(cell, mode="clip")
         q += p
         q *= f(0.5)
-        q -= f(1) - bit
+        q += error
+        q -= f(1)
         np.abs(q, out=q)
         np.maximum(q, f(1e-7), out=q)
         out[:active] += np.bincount(who, np.log(q, out=q), minlength=active)
         if lesson:
-            lesson.add(gate, row, bit, p, x)
+            lesson.add(gate, row, error, p, x)
         else:
+            error -= p
             top, cells = active * GATES, active * 2 * MAP_CELLS
             for w, v in zip(now.weights, x, strict=True):
-                w[:top] += np.clip(RATE * np.bincount(own, error * v, minlength=top), -0.2, 0.2)
-            now.ones[:cells] += np.bincount(cell, bit, minlength=cells)
-            now.all[:cells] += np.bincount(cell, minlength=cells)
+                v *= error
+                w[:top] += np.clip(RATE * np.bincount(own, v, minlength=top), -0.2, 0.2)
+            cell *= 2
+            cell += bit
+            seen = np.bincount(cell, minlength=2 * cells).reshape(-1, 2)
+            now.ones[:cells] += seen[:, 1]
+            now.all[:cells] += seen.sum(axis=1)
             now.refined[:cells] = now.ones[:cells] / now.all[:cells]
-        np.add.at(now.one, mine, bit.astype(f))
-        np.add.at(now.zero, mine, f(1) - bit)
-        now.odds[mine] = np.log((now.one.take(mine) + f(0.4)) / (now.zero.take(mine) + f(0.4)))
+        mine += bit
+        np.add.at(now.counts, mine, f(1))
     back = np.empty(lanes)
     back[order] = out
     return back
@@ -440,8 +458,9 @@ def learned(texts: DataFrame, codes: dict, model: dict, bits: int) -> dict:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coder, own, lesson = Coder(known.value["codes"], bits), known.value["model"] | {"weights": weights}, Lesson()
             for batch in batches:
-                for raw in _groups(as_bytes(batch.column(0))):
-                    score_group(coder, own, [coder.symbols(t)[0] for t in raw], lesson)
+                raw = as_bytes(batch.column(0))
+                for group in _groups(raw):
+                    score_group(coder, own, [coder.symbols(raw[i] or b"")[0] for i in group], lesson)
             values = lesson.values()
             yield pa.record_batch([pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], ["i", "v"])
 
@@ -464,7 +483,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     """One row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"), remainder(id_col).alias("__part")).withColumn("held_out", F.col("__part") == 0)
+    source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"), remainder(id_col, 50).alias("__part")).withColumn("held_out", F.col("__part") % 10 == 0)
     training = source.where(~F.col("held_out")).select("__text")
     counts = materialize(token_counts(training), "tokens")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -473,8 +492,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     often = np.array(top.column("n").to_pylist(), np.int64)
     codes = build_codes(top.column("token").to_pylist(), often.tolist(), total - int(often.sum()))
     bits = min(bits, max(10, int(total).bit_length()))
-    model = predictors(source.where("__part > 1").select("__text"), codes, bits)
-    model = learned(source.where("__part = 1").select("__text"), codes, model, bits)
+    model = predictors(source.where("NOT held_out AND __part <> 1").select("__text"), codes, bits)
+    model = learned(materialize(source.where("__part = 1").select("__text"), "lessons"), codes, model, bits)
     over = total + 0.1 * (kinds + 1)
     base = np.log10((often + 0.1) / over)
     known = spark.sparkContext.broadcast({"codes": codes, "model": model, "base": base})
@@ -484,16 +503,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         shared = known.value
         coder = Coder(shared["codes"], bits)
         for batch in batches:
-            rows = []
-            for raw in _groups(as_bytes(batch.column(3))):
+            texts = as_bytes(batch.column(3))
+            rows: list = [None] * len(texts)
+            for group in _groups(texts):
                 parts = []
-                for text in raw:
+                for i in group:
+                    text = texts[i] or b""
                     symbols, rare, ids = coder.symbols(text)
                     parts.append(symbols)
                     tally = Counter(rare)
-                    rows.append([len(rare) + len(ids), len(ids), float(shared["base"][ids].sum()), 0.0, len(text), list(tally), list(tally.values())])
-                for r, s in zip(rows[-len(raw) :], score_group(coder, shared["model"], parts), strict=True):
-                    r[3] = float(s)
+                    rows[i] = [len(rare) + len(ids), len(ids), float(shared["base"][ids].sum()), 0.0, len(text), list(tally), list(tally.values())]
+                for i, s in zip(group, score_group(coder, shared["model"], parts), strict=True):
+                    rows[i][3] = float(s)
             columns = list(zip(*rows, strict=True)) or [()] * 7
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             yield pa.record_batch([*batch.columns[:3], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
