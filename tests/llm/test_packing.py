@@ -10,12 +10,11 @@ from tokenizers import Tokenizer
 from veilgraph.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = [None, "", "Hello world's end", "été <|endoftext|> x", "一 二 😀", "a b " * 3000, "\x1c\x1d \x85 \xa0", "word " * 200] + [f"item {i} " * (i % 70) for i in range(400)]
+TEXTS = [None, "", "Hello world's end", "été <|endoftext|> x", "<|endoftext|>", "a <|endoftext|><|endoftext|>  b<|endoftext", "一  <|endoftext|>\n二", "一 二 😀", "a b " * 3000, "\x1c\x1d \x85 \xa0", "word " * 200] + [f"item {i} " * (i % 70) for i in range(400)]
 
 
 def test_round_trip(spark):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     d = spark.createDataFrame([(i, x, 0) for i, x in enumerate(TEXTS)], "doc_id int, text string, length int")
     rows = packing.pack(d, PATH, capacity=256, with_ids=True).collect()
     by_doc, by_seq = {}, {}

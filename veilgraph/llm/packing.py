@@ -40,6 +40,7 @@ MAX_COLUMNS = 6000
 #: Pricing stops when the program is proven to be within this part of its optimum.
 GAP = 2e-4
 
+#: The pre-tokenizer's pieces, as the tokenizer's public format has them.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?[^SLN]+|S+(?![^S])|S+"
 #: The pre-tokenizer's classes within U+0000-U+00FF.
 _LATIN = {"L": "A-Za-zªµºÀ-ÖØ-öø-ÿ", "N": "0-9²³¹¼½¾", "S": "\\t-\\r \\x85\\xa0"}
@@ -57,20 +58,23 @@ LATIN_PATTERN = _latin_pattern()
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_ranks(path: str) -> dict[bytes, int]:
-    """Ids of the byte sequences in a byte-level BPE file, without its special tokens."""
+def byte_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ids of the byte sequences in a byte-level BPE file, and of its added tokens."""
     data = json.loads(Path(path).read_text(encoding="utf-8"))
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in set(plain)]
     of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-    special = {t["content"] for t in data.get("added_tokens", [])}
-    return {bytes(of[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
+    added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
+    return {bytes(of[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in added}, added
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes; remembers the ids of pre-tokens."""
+    """Token ids as little-endian unsigned 32-bit bytes; remembers the ids of pre-tokens.
 
-    def __init__(self, ranks: dict[bytes, int], end: int) -> None:
+    An added token in a text is its own id, and what stands before and after is tokenized apart.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], added: dict[str, int], end: int) -> None:
         import tiktoken
 
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -78,6 +82,8 @@ class Encoder:
         self.split = re.compile(LATIN_PATTERN).finditer
         self.find = re.compile(LATIN_PATTERN).findall
         self.end = int(end).to_bytes(4, "little")
+        self.added = {t: i.to_bytes(4, "little") for t, i in added.items()}
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")").split
         self.known: dict[str, bytes] = {}
 
     def _ids(self, piece: str) -> bytes:
@@ -90,28 +96,33 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return b"".join([self.added.get(x) or self._plain(x) for x in self.cut(text)]) + self.end
+        return self._plain(text) + self.end
+
+    def _plain(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes() + self.end
+            return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
         get = self.known.get
         if len(text) < 1 << 20:
-            return b"".join([get(p) or self._ids(p) for p in self.find(text)]) + self.end
+            return b"".join([get(p) or self._ids(p) for p in self.find(text)])
         parts, pieces = [], (m.group() for m in self.split(text))
         while chunk := list(itertools.islice(pieces, 1 << 16)):
             parts.append(b"".join([get(p) or self._ids(p) for p in chunk]))
-        return b"".join(parts) + self.end
+        return b"".join(parts)
 
 
 def cut_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end: int, capacity: int, width: int, with_ids: bool) -> DataFrame:
     """One row for each piece, with its partition, size class and rank among that partition's pieces of the class."""
-    known = docs.sparkSession.sparkContext.broadcast({"ranks": byte_ranks(tokenizer)})
+    known = docs.sparkSession.sparkContext.broadcast(dict(zip(("ranks", "added"), byte_ranks(tokenizer), strict=True)))
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "__class", "__rank", "__part", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = known.value
         if "encoder" not in shared:
-            shared["encoder"] = Encoder(shared["ranks"], end)
+            shared["encoder"] = Encoder(shared["ranks"], shared["added"], end)
         encode, ranks, part = shared["encoder"].encode, Counter(), TaskContext.get().partitionId()
         for batch in batches:
             rows, owner = [], []
