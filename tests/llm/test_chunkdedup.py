@@ -56,3 +56,30 @@ def test_passages_are_found_once(spark):
 def test_empty_table(spark):
     d, _, _ = docs(spark)
     assert chunkdedup.find_repeats(d.limit(0)).collect() == []
+
+
+def test_repeated_chunks_equal_brute_force(spark):
+    """Per text: chunks, and those in runs of enough words of chunks that occur elsewhere, counted in plain Python."""
+    import itertools
+    from collections import Counter
+
+    d, rows, _ = docs(spark)
+    cut = []
+    for _, text, _ in rows:
+        raw = (text or "").encode()
+        ends = chunkdedup.borders(raw).tolist() if raw else []
+        cut.append([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+    seen = Counter(x for own in cut for x in own)
+    want = []
+    for (i, text, _), own in zip(rows, cut, strict=True):
+        n, at, raw = 0, 0, (text or "").encode()
+        starts = {m for m in range(len(raw)) if not raw[m : m + 1].isspace() and (m == 0 or raw[m - 1 : m].isspace())}
+        for twice, run in itertools.groupby(own, key=lambda x: seen[x] > 1):
+            run = list(run)
+            size = sum(map(len, run))
+            if twice and len(starts & set(range(at, at + size))) >= chunkdedup.WORDS:
+                n += len(run)
+            at += size
+        want.append((i, len(own), n))
+    got = chunkdedup.find_repeats(d).select("doc_id", "n_chunks", "n_repeated_chunks").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(n for *_, n in want)

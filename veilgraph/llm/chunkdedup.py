@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from veilgraph.llm._common import as_bytes, materialize, row_id, small_batches
 
-EVERY, LEAST, MOST, WORDS = 32, 4, 512, 20
+EVERY, LEAST, MOST, WORDS = 26, 4, 512, 20
+#: Bytes of a digest: of 1e12 different chunks fewer than one pair in 1e5 corpora would be taken for equal.
+DIGEST = 12
 
 #: 16-bit values by a multiplicative rule.
 GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.uint16)
@@ -82,16 +84,16 @@ def chunks(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum(~space & np.concatenate([[True], space[:-1]]))])
                 ends.append(points[cut].astype(np.int32))
                 begun.append(np.diff(starts[cut], prepend=0).astype(np.int32))
-                own = [int.from_bytes(hashlib.blake2b(text[a:b], digest_size=8).digest(), "little", signed=True) for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
-                seen: set[int] = set()
+                own = [hashlib.blake2b(text[a:b], digest_size=DIGEST).digest() for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
+                seen: set[bytes] = set()
                 again.append([d in seen or seen.add(d) is not None for d in own])
                 digests.append(own)
-            columns = [pa.array(c, pa.list_(k)) for c, k in ((ends, pa.int32()), (begun, pa.int32()), (again, pa.bool_()), (digests, pa.int64()))]
+            columns = [pa.array(c, pa.list_(k)) for c, k in ((ends, pa.int32()), (begun, pa.int32()), (again, pa.bool_()), (digests, pa.binary()))]
             yield pa.record_batch([*batch.columns[: len(carry)], *columns], [*carry, "__ends", "__begun", "__again", "__digests"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, __ends array<int>, __begun array<int>, __again array<boolean>, __digests array<long>")
+    return rows.mapInArrow(run, f"{kinds}, __ends array<int>, __begun array<int>, __again array<boolean>, __digests array<binary>")
 
 
 def _judge(rows: DataFrame, carry: list[str], least: int) -> DataFrame:
