@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from veilgraph.llm._common import as_bytes, materialize, small_batches
 
 VOCABULARY = 131_072
-TABLE_BITS = 20
+TABLE_BITS = 21
 BLOCK, LANES = 64, 128
 #: Counters of a table that are summed as one row; how many partitions are summed at a time first.
 PART, FAN = 1 << 14, 1024
@@ -218,32 +218,36 @@ def token_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
     return texts.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-_COUNTS = "t int, b int, s int, at binary, n binary"
+_COUNTS = "t int, b int, s int, wide boolean, at binary, n binary"
 
 
-def _sparse(counts: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-    """Places and values of the non-zero counters, those that fit a byte apart from the others."""
-    small = counts < 256
-    for own, kind in ((small & (counts > 0), "u1"), (~small, "<u8")):
-        at = np.flatnonzero(own)
-        if len(at):
-            yield at.astype("<u2").tobytes(), counts[at].astype(kind).tobytes()
+def _sparse(counts: np.ndarray) -> Iterator[tuple[bool, bytes, bytes]]:
+    """The non-zero counters: those that fit a byte with a bitmap, the others (wide) with their places."""
+    small = (counts > 0) & (counts < 256)
+    if small.any():
+        yield False, np.packbits(small).tobytes(), counts[small].astype("u1").tobytes()
+    wide = np.flatnonzero(counts > 255)
+    if len(wide):
+        yield True, wide.astype("<u2").tobytes(), counts[wide].astype("<u8").tobytes()
 
 
 def _flush(counts: list[np.ndarray], part: int) -> Iterator[pa.RecordBatch]:
     """The non-zero counters, a row or two for each PART of a table."""
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
     for t, own in enumerate(counts):
         rows = [(t, b // PART, part // FAN, *x) for b in range(0, len(own), PART) for x in _sparse(own[b : b + PART])]
         if rows:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["t", "b", "s", "at", "n"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["t", "b", "s", "wide", "at", "n"])
         own[:] = 0
 
 
 def _summed(rows: pd.DataFrame) -> np.ndarray:
     out = np.zeros(PART, np.uint64)
-    for at, n in zip(rows["at"], rows["n"], strict=True):
-        out[np.frombuffer(at, "<u2")] += np.frombuffer(n, "u1" if 2 * len(n) == len(at) else "<u8")
+    for wide, at, n in zip(rows["wide"], rows["at"], rows["n"], strict=True):
+        if wide:
+            out[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u8")
+        else:
+            out[np.flatnonzero(np.unpackbits(np.frombuffer(at, "u1")))] += np.frombuffer(n, "u1")
     return out
 
 
@@ -283,7 +287,7 @@ def predictors(texts: DataFrame, codes: dict, bits: int) -> dict:
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         own = list(_sparse(_summed(rows)))
         same = {c: [rows[c].iloc[0]] * len(own) for c in ("t", "b", "s")}
-        return pd.DataFrame(same | {"at": [x for x, _ in own], "n": [x for _, x in own]})
+        return pd.DataFrame(same | {c: [x[i] for x in own] for i, c in enumerate(("wide", "at", "n"))})
 
     def final(rows: pd.DataFrame) -> pd.DataFrame:
         odds, seen = log_odds(_summed(rows))
