@@ -156,3 +156,37 @@ def test_hierarchy_scores(spark):
     rows = lambda *x: spark.createDataFrame([("d", *r) for r in x], "doc_id string, node string, parent string")
     chains = spark.createDataFrame([("d", "a", 1, "b"), ("d", "a", 2, "c")], "doc_id string, node string, depth int, ancestor string")
     assert tuple(scoring.hierarchy(rows(("a", "b"), ("e", "f")), rows(("a", "c"), ("g", "h")), chains).first()) == (0, 1, 1, 1)
+
+
+def test_long_chains_have_no_cap(spark):
+    n = 300
+    e = spark.range(n).select(F.lit("d").alias("doc_id"), F.format_string("n%04d", "id").alias("source"), F.format_string("n%04d", F.col("id") + 1).alias("target"), F.lit("LOCATED_IN").alias("relation"), F.lit(0).alias("seq"))
+    got = graph.chains(e).groupBy("node").agg(F.max("depth").alias("n"), F.count("*").alias("rows"), F.count_distinct("ancestor").alias("kinds")).collect()
+    assert {r["node"]: (r["n"], r["rows"], r["kinds"]) for r in got} == {f"n{i:04}": (n - i, n - i, n - i) for i in range(n)}
+
+
+def test_as_of(spark):
+    rows = spark.createDataFrame([("d", 0, "a"), ("d", 5, "b"), ("e", 3, "c")], "doc_id string, start int, x string")
+    points = spark.createDataFrame([("d", 4), ("d", 5), ("d", 99), ("e", 2), ("f", 1)], "doc_id string, pos int")
+    assert {tuple(r) for r in text.as_of(points, rows, "pos", "start", ["x"]).collect()} == {("d", 4, "a"), ("d", 5, "b"), ("d", 99, "b"), ("e", 2, None), ("f", 1, None)}
+
+
+def test_decisions_of_owners_places_and_ages(spark):
+    d = docs(spark, "A: I was fourteen then. We left France. Alma was twelve years old.").withColumn("interview_date", F.lit("1999-06-01").cast("date"))
+    forms = found(spark, d, ("fourteen", "AGE"), ("twelve years old", "AGE"), ("France", "LOCATION"), ("Alma", "PERSON"))
+    places = spark.createDataFrame([("France", "country", "", "")], "name string, type string, parent string, aliases string")
+    g = build.run(d, forms, gazetteer=readers.gazetteer_tables(places))
+    texts = {r["entity_id"]: r["text"] for r in g.mentions.collect()}
+    got = {(texts.get(r["entity_id"]), r["field"]): (r["action"], r["value"], r["failed"]) for r in g.ledger.collect()}
+    assert got["fourteen", "owner"] == ("keep", "interviewee", [])
+    assert got["France", "subtype_location"][:2] == ("keep", "country") and got["France", "replace_location"] == ("keep", "false", [])
+    assert got["twelve years old", "replace_age"][1] == "true" and got["twelve years old", "owner"][1] != "interviewee"
+    assert {r["source"] for r in g.edges.where("relation = 'ATTRIBUTE_OF'").collect()} == {k for k, v in texts.items() if v == "fourteen"}
+
+
+def test_kinship_owners(spark):
+    d = docs(spark, "A: I had an older sister named Alma.", "A: Boyd came. He had a brother named Carl.", "A: My mother's sister Edna left.")
+    m = build.all_entities(text.number_mentions(text.find_forms(d, spark.createDataFrame([(f"d{i}", f, "PERSON") for i, f in ((0, "Alma"), (1, "Boyd"), (1, "Carl"), (2, "Edna"))], "doc_id string, form string, entity_type string"))))
+    names = {r["entity_id"]: r["text"] for r in m.collect()}
+    got = {(r["doc_id"], names.get(r["source"], "speaker"), names[r["target"]], r["detail"]) for r in rules.kinship(d, m, build.speakers(d)).collect()}
+    assert got == {("d1", "Boyd", "Carl", "brother"), ("d2", "speaker", "Edna", "mother's sister")}

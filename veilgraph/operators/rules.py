@@ -12,6 +12,7 @@ from veilgraph.functions import scalar as S
 from veilgraph.functions import vocab as V
 from veilgraph.functions.spans import cut, regex_spans
 from veilgraph.operators.entities import entity_at, entity_before
+from veilgraph.operators.text import as_of
 
 _KIN = rf"{V.MODIFIERS}(?:{V.KIN})"
 _TITLE = rf"(?:(?:{'|'.join(t.capitalize() for t in V.TITLE_ONLY)})\.?\s+)?"
@@ -30,8 +31,8 @@ KIN_PATTERNS = (
 def kinship(transcripts: DataFrame, mentions: DataFrame, speakers: DataFrame) -> DataFrame:
     """(doc_id, source, target, detail, evidence, pattern): first pattern, then first place wins for a pair.
 
-    speakers(doc_id, speaker_id) own what is said in the first person; 'his' and 'her' go to the person
-    mentioned last before; a possessor is looked up by its own span.
+    speakers(doc_id, speaker_id) own what is said in the first person; 'his', 'her' and 'a ... named'
+    go to the person mentioned last before, or to nobody; a possessor is looked up by its own span.
     """
     rows = None
     for rank, (name, whole, lead) in enumerate(KIN_PATTERNS):
@@ -40,6 +41,8 @@ def kinship(transcripts: DataFrame, mentions: DataFrame, speakers: DataFrame) ->
         head = F.regexp_extract(value, f"^({lead})", 1)
         tail = F.substring(value, F.length(head) + 1, F.length(value))
         kin = F.regexp_extract(tail, rf"^{V.MODIFIERS}((?i:{V.KIN}))\b", 1)
+        # In "my mother's sister X" both words tell what X is.
+        first = F.regexp_extract(head, rf"({V.KIN}['’]s\s+)$".replace(V.KIN, f"(?i:{V.KIN})"), 1) if name == "chain" else F.lit("")
         if name == "appositive":
             target = F.regexp_extract(value, f"^({V.NAME})", 1)
             t_start = F.col("m.start")
@@ -48,13 +51,13 @@ def kinship(transcripts: DataFrame, mentions: DataFrame, speakers: DataFrame) ->
             t_start = F.col("m.end") - F.length(target)
         owner = F.lower(F.regexp_extract(value, r"(?i)\b(my|our|his|her|their)\b", 1))
         possessor = F.regexp_extract(value, f"^({_POSSESSOR})['’]s", 1) if name == "possessor" else F.lit("")
-        part = m.select("doc_id", F.lit(rank).alias("pattern_rank"), F.lit(name).alias("pattern"), F.col("m.start").alias("start"), value.alias("evidence"), F.lower(kin).alias("detail"), t_start.alias("t_start"), (t_start + F.length(target)).alias("t_end"), owner.alias("owner"), (F.col("m.start") + F.length(possessor)).alias("p_end"))
+        part = m.select("doc_id", F.lit(rank).alias("pattern_rank"), F.lit(name).alias("pattern"), F.col("m.start").alias("start"), value.alias("evidence"), F.lower(F.concat(first, kin)).alias("detail"), t_start.alias("t_start"), (t_start + F.length(target)).alias("t_end"), owner.alias("owner"), (F.col("m.start") + F.length(possessor)).alias("p_end"))
         rows = part if rows is None else rows.unionByName(part)
     people = mentions.where(F.col("entity_type").isin(*V.PERSONS))
     found = entity_at(rows, people, "t_start", "t_end", "target").where("target IS NOT NULL")
     found = entity_at(found.withColumn("p_start", F.col("start")), people, "p_start", "p_end", "possessor")
     found = entity_before(found, people, "start", "target", "antecedent").join(speakers, "doc_id")
-    source = F.when(F.col("pattern") == "possessor", F.col("possessor")).when(F.col("owner").isin("my", "our", ""), F.col("speaker_id")).otherwise(F.col("antecedent"))
+    source = F.when(F.col("pattern") == "possessor", F.col("possessor")).when(F.col("owner").isin("my", "our"), F.col("speaker_id")).otherwise(F.col("antecedent"))
     edges = found.withColumn("source", source).where("source IS NOT NULL AND source <> target AND detail <> ''")
     w = Window.partitionBy("doc_id", "source", "target").orderBy("pattern_rank", "start")
     return edges.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("doc_id", "source", "target", "detail", "evidence", "pattern")
@@ -178,8 +181,8 @@ def speaker_candidate(support: DataFrame) -> DataFrame:
 def places(forms: DataFrame, gazetteer: DataFrame, aliases: DataFrame) -> DataFrame:
     """(doc_id, entity_id, gkey, type, parent) of forms(doc_id, entity_id, forms): longest form that is known."""
     tries = forms.select("doc_id", "entity_id", "forms", F.posexplode("forms").alias("rank", "form")).withColumn("form", F.lower("form"))
-    known = tries.join(F.broadcast(aliases), tries["form"] == aliases["alias"], "left").withColumn("k", F.coalesce("name_key", "form"))
-    hit = known.join(F.broadcast(gazetteer.select("gkey", "type", "parent")), F.col("k") == F.col("gkey"), "left")
+    known = tries.join(aliases, tries["form"] == aliases["alias"], "left").withColumn("k", F.coalesce("name_key", "form"))
+    hit = known.join(gazetteer.select("gkey", "type", "parent"), F.col("k") == F.col("gkey"), "left")
     best = hit.groupBy("doc_id", "entity_id").agg(F.min_by(F.struct("gkey", "type", "parent"), F.when(F.col("gkey").isNotNull(), F.col("rank"))).alias("g"), F.first("forms").alias("forms"))
     shortest = F.lower(F.element_at("forms", -1))
     return best.select("doc_id", "entity_id", F.coalesce("g.gkey", shortest).alias("gkey"), F.col("g.type").alias("type"), F.col("g.parent").alias("parent"))
@@ -240,10 +243,11 @@ _FIRST = r"(?i)\b(?:I|I['’](?:m|d|ve|ll)|me|my|mine|myself|we|we['’](?:re|d|
 _THIRD = r"(?i)(?:^|[.!?]\s+)\W*(?:he|she|they)\b"
 
 
-def owner_evidence(mentions: DataFrame, clipped: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """(doc_id, entity_id, survivors): interviewee if every spoken mention has a first-person cue in its own
+def owner_evidence(mentions: DataFrame, clipped: DataFrame, transcripts: DataFrame, people: DataFrame | None = None) -> DataFrame:
+    """(doc_id, entity_id, cue, kin_after_cue, third_person, nearer_person, survivors): interviewee if every spoken mention has a first-person cue in its own
     sentence or the four before (same turn, 600 characters) with no kin noun or third person after the
-    cue; other if a kin noun or third-person subject binds it."""
+    cue and none of people(doc_id, start, end) between; other if a kin noun, a named person or a third-person
+    subject binds it."""
     s = clipped.where("role IN ('subject', 'unknown')").select("doc_id", "turn_ix", F.col("start").alias("ss"), F.col("end").alias("se"))
     at = mentions.join(s, "doc_id").where("start >= ss AND start < se").select(*mentions.columns, "turn_ix", "ss", "se")
     prior = s.select("doc_id", "turn_ix", F.col("ss").alias("p"))
@@ -254,13 +258,20 @@ def owner_evidence(mentions: DataFrame, clipped: DataFrame, transcripts: DataFra
     after_cue = F.regexp_extract("before", rf"(?s).*{_FIRST[4:]}(.*)$".replace("(?s)", "(?is)"), 1)
     kin = after_cue.rlike(rf"(?i)\b(?:{V.KIN})\b")
     third = after_cue.rlike(r"(?i)\b(?:he|she|they)\b") | F.col("sentence").rlike(_THIRD)
-    mine = cue & ~kin & ~third
-    other = (cue & kin) | F.col("sentence").rlike(_THIRD)
-    per = rows.groupBy("doc_id", "entity_id").agg(F.bool_and(mine).alias("mine"), F.bool_and(other).alias("other"))
-    return per.select("doc_id", "entity_id", F.array_compact(F.array(F.when(F.col("mine") & ~F.col("other"), "interviewee"), F.when(F.col("other") & ~F.col("mine"), "other"))).alias("survivors"))
-
-
-def owner_edges(evidence: DataFrame, speakers: DataFrame) -> DataFrame:
-    """ATTRIBUTE_OF to the speaker where interviewee is the only survivor."""
-    own = evidence.where("size(survivors) = 1 AND survivors[0] = 'interviewee'").join(speakers, "doc_id")
+    rows = rows.select("doc_id", "entity_id", "start", cue.alias("cue"), (cue & kin).alias("kin"), third.alias("third"), F.col("sentence").rlike(_THIRD).alias("subject"), (F.col("start") - F.length(after_cue)).alias("cue_at"))
+    if people is None:
+        rows = rows.withColumn("nearer", F.lit(False))
+    else:
+        named = people.select("doc_id", "end", F.col("start").alias("named_at"))
+        rows = as_of(rows, named, "start", "end", ["named_at"]).withColumn("nearer", F.col("cue") & F.coalesce(F.col("named_at") >= F.col("cue_at"), F.lit(False)))
+    mine = F.col("cue") & ~F.col("kin") & ~F.col("third") & ~F.col("nearer")
+    other = F.col("kin") | F.col("nearer") | F.col("subject")
+    flags = [F.bool_and("cue").alias("cue"), F.bool_or("kin").alias("kin_after_cue"), F.bool_or("third").alias("third_person"), F.bool_or("nearer").alias("nearer_person")]
+    per = rows.groupBy("doc_id", "entity_id").agg(F.bool_and(mine).alias("mine"), F.bool_and(other).alias("other"), *flags)
+    return per.select("doc_id", "entity_id", "cue", "kin_after_cue", "third_person", "nearer_person", F.array_compact(F.array(F.when(F.col("mine") & ~F.col("other"), "interviewee"), F.when(F.col("other") & ~F.col("mine"), "other"))).alias("survivors"))
+
+
+def owner_edges(ledger: DataFrame, speakers: DataFrame) -> DataFrame:
+    """ATTRIBUTE_OF to the speaker where the ledger leaves interviewee as the owner."""
+    own = ledger.where("field = 'owner' AND value = 'interviewee'").join(speakers, "doc_id")
     return own.select("doc_id", F.col("entity_id").alias("source"), F.col("speaker_id").alias("target"), F.lit("ATTRIBUTE_OF").alias("relation"), F.lit("").alias("detail"))

@@ -94,11 +94,22 @@ def subject_mask(transcripts: DataFrame, turn_rows: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.coalesce(F.array_join(F.transform("parts", show), ""), text).alias("text"))
 
 
+def as_of(points: DataFrame, rows: DataFrame, pos: str, at: str, carry: list[str]) -> DataFrame:
+    """points with the carried columns of the row of their document that begins last at or before pos (NULL without one).
+
+    A union and a window: linear in the document, whatever the number of points and rows.
+    """
+    kept = [c for c in points.columns if c not in carry]
+    left = points.select("doc_id", F.col(pos).alias("__pos"), F.lit(1).alias("__kind"), F.struct(*kept).alias("__point"))
+    right = rows.select("doc_id", F.col(at).alias("__pos"), F.lit(0).alias("__kind"), F.struct(*carry).alias("__row"))
+    w = Window.partitionBy("doc_id").orderBy("__pos", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("__row", F.last("__row", ignorenulls=True).over(w))
+    return both.where("__kind = 1").select("__point.*", *[F.col("__row")[c].alias(c) for c in carry])
+
+
 def at_position(points: DataFrame, tiles: DataFrame, pos: str, ix: str) -> DataFrame:
     """points with the index of the tile that holds pos; beyond the end, the last tile."""
-    bounds = tiles.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", ix))).alias("__tiles"))
-    hit = F.element_at(F.filter("__tiles", lambda t: t["start"] <= F.col(pos)), -1)
-    return points.join(bounds, "doc_id", "left").withColumn(ix, hit[ix]).drop("__tiles")
+    return as_of(points, tiles, pos, "start", [ix])
 
 
 def clipped_sentences(sentence_rows: DataFrame, turn_rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilgraph.functions import scalar as S
 from veilgraph.functions import vocab as V
 from veilgraph.functions.spans import cut
 from veilgraph.operators import checks, entities, rules, text
@@ -48,9 +49,10 @@ def _long(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select("doc_id", "entity_id", F.explode(pairs).alias("x")).select("doc_id", "entity_id", "x.field", "x.value")
 
 
-def _context(m: DataFrame, transcripts: DataFrame, kin: DataFrame, masks: DataFrame) -> DataFrame:
+def _context(m: DataFrame, transcripts: DataFrame, kin: DataFrame, masks: DataFrame, clipped: DataFrame) -> DataFrame:
     """What checkers read about each entity, from its first mention."""
     first = m.groupBy("doc_id", "entity_id").agg(F.min_by(F.struct("start", "end", "text", "category"), F.struct("start", "end")).alias("m"), F.collect_set("text").alias("forms"))
+    first = text.as_of(first.withColumn("at", F.col("m.start")), clipped, "at", "start", ["next_start", "next_end"])
     rows = first.join(transcripts, "doc_id").join(masks.withColumnRenamed("text", "subject_text"), "doc_id")
     s, e = F.col("m.start"), F.col("m.end")
     ends = kin.groupBy("doc_id", F.col("target").alias("entity_id")).agg(F.collect_set("detail").alias("kin_details"))
@@ -64,6 +66,9 @@ def _context(m: DataFrame, transcripts: DataFrame, kin: DataFrame, masks: DataFr
         cut(F.col("text"), F.greatest(F.lit(0), s - 60), s).alias("before"),
         cut(F.col("text"), e, e + 80).alias("after"),
         cut(F.col("text"), F.greatest(F.lit(0), s - 80), e + 80).alias("around"),
+        cut(F.col("text"), F.col("next_start"), F.col("next_end")).alias("next_sentence"),
+        S.parse_age(F.when(F.col("m.category") == "AGE", F.col("m.text")))["value"].alias("age_value"),
+        (S.anchor(F.col("m.text")).isNotNull() & ~S.anchor(F.col("m.text")).isin(*V.LOCAL_ANCHORS)).alias("national_event"),
         F.col("text").alias("doc_text"),
         "subject_text",
         "interview_date",
@@ -71,6 +76,32 @@ def _context(m: DataFrame, transcripts: DataFrame, kin: DataFrame, masks: DataFr
     return out.join(ends, ["doc_id", "entity_id"], "left").join(kin_ids, ["doc_id", "entity_id"], "left")
 
 
+def _evidence(context: DataFrame, owners: DataFrame, near: DataFrame, dates: DataFrame, places: DataFrame | None) -> DataFrame:
+    """context with what other operators found: cues of owners, the date beside an age, the birth date, the gazetteer's type."""
+    keys = ["doc_id", "entity_id"]
+    when = dates.select("doc_id", F.col("entity_id").alias("anchor_id"), F.col("resolved").cast("date").alias("anchor_date"))
+    beside = near.select("doc_id", F.col("age_id").alias("entity_id"), F.col("date_id").alias("anchor_id"), F.lit(True).alias("anchor_near")).join(when, ["doc_id", "anchor_id"], "left")
+    born = dates.where("category = 'DATE_OF_BIRTH'").groupBy("doc_id").agg(F.min("resolved").alias("dob"), F.count_distinct("resolved").alias("n")).where("n = 1")
+    out = context.join(owners.drop("survivors"), keys, "left").join(beside, keys, "left").join(born.select("doc_id", F.col("dob").cast("date").alias("dob")), "doc_id", "left")
+    # A birth date is held against the ages of who was born then.
+    out = out.withColumn("dob", F.when(F.col("cue") & ~F.col("kin_after_cue") & ~F.col("third_person") & ~F.col("nearer_person"), F.col("dob")))
+    if places is None:
+        return out
+    return out.join(places.select(*keys, F.col("type").alias("gaz_type"), F.lower("parent").alias("gaz_parent")), keys, "left")
+
+
+def _decided(ledger: DataFrame) -> DataFrame:
+    """What later waves read of the fields decided before, one row for each entity."""
+    of = lambda field, what: F.max(F.when(F.col("field") == field, what))
+    return ledger.groupBy("doc_id", "entity_id").agg(
+        of("subtype_location", F.col("value")).alias("place_type"),
+        of("subtype_location", F.array_contains("passed", "type_corroborated") & (F.size("failed") == 0)).alias("type_verified"),
+        of("resolved_value", F.col("value")).alias("resolved"),
+        of("shiftable", F.lower("value") == "true").alias("rule_shiftable"),
+        of("value", F.size("failed") > 0).alias("age_refuted"),
+    )
+
+
 def run(transcripts: DataFrame, detections: DataFrame, proposals: DataFrame | None = None, gazetteer: tuple[DataFrame, DataFrame] | None = None, year_limit: int = 2030) -> Graph:
     """transcripts(doc_id, text, interview_date), detections (validated), proposals(doc_id, entity_id, field, value)."""
     spark = transcripts.sparkSession
@@ -101,34 +132,55 @@ def run(transcripts: DataFrame, detections: DataFrame, proposals: DataFrame | No
     edges = kin.select("doc_id", "source", "target", F.lit("RELATED_TO").alias("relation"), "detail", "evidence")
     near = rules.stated_with(text.at_position(ages, tiles, "start", "sent_ix"), text.at_position(dates, tiles, "start", "sent_ix"))
     edges = edges.unionByName(near.select("doc_id", F.col("age_id").alias("source"), F.col("date_id").alias("target"), F.lit("STATED_WITH").alias("relation"), F.lit("").alias("detail"), F.lit("").alias("evidence")))
-    if gazetteer is not None:
+    found_places = None
+    if gazetteer is None:
+        unknown = one.where(F.col("category").isin(*V.PLACES)).withColumn("replace", F.lit(True))
+        values = values.unionByName(_long(unknown, {"replace": "replace_location"}))
+    else:
         forms = entities.surface_forms(m.where(F.col("category").isin(*V.PLACES)))
-        found_places = rules.places(forms, *gazetteer)
+        found_places = materialize(rules.places(forms, *gazetteer), "places")
         edges = edges.unionByName(rules.place_edges(found_places).withColumn("evidence", F.lit("")))
         kinds = found_places.join(one.select("doc_id", "entity_id", "category"), ["doc_id", "entity_id"]).withColumn("replace", rules.place_replace(F.col("category"), F.col("type")))
         values = values.unionByName(_long(kinds, {"type": "subtype_location", "parent": "location_parent", "replace": "replace_location"}))
-    clipped = text.clipped_sentences(tiles, turn_rows)
+    clipped = materialize(text.clipped_sentences(tiles, turn_rows), "clipped")
     owned = m.where(F.col("category").isin("AGE", "DATE_OF_BIRTH", *V.IDENTIFIERS))
-    evidence = materialize(rules.owner_evidence(owned, clipped, transcripts), "owners")
-    own = rules.owner_edges(evidence, who)
-    edges = edges.unionByName(own.withColumn("evidence", F.lit("")))
+    evidence = materialize(rules.owner_evidence(owned, clipped, transcripts, m.where("category = 'PERSON'")), "owners")
     owner = evidence.select("doc_id", "entity_id", F.when(F.size("survivors") == 1, F.get("survivors", F.lit(0))).alias("owner"))
     values = values.unionByName(_long(owner, {"owner": "owner"}))
 
     nodes = one.select("doc_id", "entity_id", "category").unionByName(who.select("doc_id", F.col("speaker_id").alias("entity_id"), F.lit("SPEAKER").alias("category")))
     fields = nodes.join(F.broadcast(arbitration.field_map(spark)), "category")
     given = proposals if proposals is not None else spark.createDataFrame([], "doc_id string, entity_id string, field string, value string")
-    context = _context(m, transcripts, kin, masks)
+    context = _evidence(_context(m, transcripts, kin, masks, clipped), evidence, near, dates, found_places)
     spoken = who.join(masks.withColumnRenamed("text", "subject_text"), "doc_id").join(transcripts, "doc_id").select("doc_id", F.col("speaker_id").alias("entity_id"), "subject_text", F.col("text").alias("doc_text"))
     context = materialize(context.unionByName(spoken.withColumn("category", F.lit("SPEAKER")), allowMissingColumns=True).withColumn("year_limit", F.lit(year_limit)), "context")
     keys = ["doc_id", "entity_id", "field"]
     rule = materialize(values.select(*keys, F.col("value").alias("rule")).dropDuplicates(keys), "rules")
-    edges = materialize(edges, "edges")
-    cands = fields.join(rule, keys, "left").join(given.select(*keys, F.col("value").alias("llm")), keys, "left")
-    cands = materialize(cands.join(context.select("doc_id", "entity_id", "text"), ["doc_id", "entity_id"], "left").withColumn("llm_ran", F.lit(proposals is not None)), "candidates")
-    tried = cands.select(*keys, F.explode(F.array_compact(F.array_distinct(F.array("rule", "llm")))).alias("value")).where("value <> ''")
-    outcomes = materialize(checks.outcomes(tried.join(context, ["doc_id", "entity_id"])), "outcomes")
-    ledger = materialize(arbitration.drop_name_collisions(arbitration.arbitrate(cands.select(*keys, "category", "rule", "llm", "llm_ran", "text"), outcomes)), "ledger")
+    given = given.groupBy(*keys).agg(F.max_by("value", F.struct("seq", "value")) if "seq" in given.columns else F.max("value")).toDF(*keys, "llm")
+    cands = fields.join(rule, keys, "left").join(given, keys, "left")
+    cands = cands.join(context.select("doc_id", "entity_id", "text", "national_event"), ["doc_id", "entity_id"], "left").withColumn("llm_ran", F.lit(proposals is not None))
+    approximate = rule.where("field = 'approximate'").select("doc_id", "entity_id", (F.lower("rule") == "true").alias("approximate"))
+    cands = materialize(cands.join(approximate, ["doc_id", "entity_id"], "left"), "candidates")
+    ledger = None
+    # A field's checkers and comparators read what earlier waves decided.
+    for wave in sorted(w for w in arbitration.WAVES if w):
+        own, seen = cands.where(F.col("wave") == wave), context
+        if ledger is not None:
+            decided = materialize(_decided(ledger), "decided")
+            own = own.join(decided.select("doc_id", "entity_id", "place_type", "age_refuted"), ["doc_id", "entity_id"], "left")
+            seen = context.join(decided, ["doc_id", "entity_id"], "left")
+        # Fields with a closed set of values have each of them tried: a rule's silence may be settled so.
+        closed = F.coalesce(*[F.when(F.col("field") == f, F.array(*map(F.lit, v))) for f, v in arbitration.ALTERNATIVES.items()], F.array().cast("array<string>"))
+        tried = own.select(*keys, F.explode(F.array_distinct(F.concat(F.array_compact(F.array("rule", "llm")), closed))).alias("value")).where("value <> ''")
+        tried = tried.join(seen, ["doc_id", "entity_id"])
+        if found_places is not None:
+            tried = tried.withColumn("parent_known", F.when(F.lower("value") == F.col("gaz_parent"), True))
+        outcomes = materialize(checks.outcomes(tried), "outcomes")
+        part = arbitration.arbitrate(own.drop("wave", "ord"), outcomes)
+        ledger = materialize(part if ledger is None else ledger.unionByName(part), "ledger")
+    ledger = materialize(arbitration.drop_name_collisions(ledger), "ledger")
+    own = rules.owner_edges(ledger, who)
+    edges = materialize(edges.unionByName(own.withColumn("evidence", F.lit(""))), "edges")
     attributes = arbitration.apply_ledger(rule.withColumnRenamed("rule", "value"), ledger)
     subtype = attributes.where("field = 'subtype'").select("doc_id", "entity_id", F.col("value").alias("subtype")).dropDuplicates(["doc_id", "entity_id"])
     return Graph(transcripts, m, nodes.join(subtype, ["doc_id", "entity_id"], "left"), attributes, edges, ledger, arbitration.blocking_fields(ledger), arbitration.review_flags(ledger))

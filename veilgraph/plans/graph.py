@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgraph.store import materialize
 
-def chains(edges: DataFrame, relation: str = "LOCATED_IN", depth: int = 32) -> DataFrame:
-    """(doc_id, node, depth, ancestor): upward walk over the first parent; stops at a cycle."""
+
+def chains(edges: DataFrame, relation: str = "LOCATED_IN") -> DataFrame:
+    """(doc_id, node, depth, ancestor): upward walk over the first parent, of any length; stops at a cycle.
+
+    Pointer jumping: a walk of length n takes about log2(n) rounds, each written to the shared folder.
+    """
     up = edges.where(F.col("relation") == relation).groupBy("doc_id", "source").agg(F.min_by("target", F.struct("seq", "target")).alias("target"))
-    up.createOrReplaceTempView("veilgraph_up")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(doc_id, node, depth, ancestor, path) AS (
-          SELECT doc_id, source, 1, target, array(source, target) FROM veilgraph_up WHERE source <> target
-          UNION ALL
-          SELECT w.doc_id, w.node, w.depth + 1, u.target, array_append(w.path, u.target)
-          FROM walk w JOIN veilgraph_up u ON u.doc_id = w.doc_id AND u.source = w.ancestor
-          WHERE NOT array_contains(w.path, u.target) AND w.depth < {depth}
-        ) SELECT doc_id, node, depth, ancestor FROM walk""")
+    walk = materialize(up.where("source <> target").select("doc_id", F.col("source").alias("node"), F.lit(1).alias("depth"), F.col("target").alias("ancestor")), "walk")
+    step = 1
+    while True:
+        ends = walk.where(F.col("depth") == step).select("doc_id", "node", F.col("ancestor").alias("mid"))
+        beyond = walk.select("doc_id", F.col("node").alias("mid"), F.col("depth").alias("further"), "ancestor")
+        more = ends.join(beyond, ["doc_id", "mid"]).where("node <> ancestor").select("doc_id", "node", (F.col("further") + step).alias("depth"), "ancestor")
+        more = materialize(more.join(walk.select("doc_id", "node", "ancestor"), ["doc_id", "node", "ancestor"], "left_anti").select(*walk.columns), "walk")
+        if more.isEmpty():
+            return walk
+        walk = materialize(walk.unionByName(more), "walk")
+        step *= 2
 
 
 def tree(edges: DataFrame, relation: str = "LOCATED_IN") -> DataFrame:

@@ -197,9 +197,16 @@ def text_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", S.text_digest(F.col("text")).alias("sha256"), F.length("text").cast("bigint").alias("chars"))
 
 
-@query("quotes_of_own_text", "SELECT doc_id, length(trim(substr(text, 11, 40))) >= 4 AS quoted FROM documents WHERE regexp_full_match(substr(text, 1, 60), '[A-Za-z .,]*')")
+_SQUEEZED = r"lower(trim(regexp_replace({}, '[ \t\n\x0B\f\r]+', ' ', 'g')))"
+
+
+@query(
+    "quotes_of_own_text",
+    f"""WITH q AS (SELECT doc_id, text, {_SQUEEZED.format("upper(replace(substr(text, 11, 40), 'ß', 'SS'))")} AS q FROM documents)
+        SELECT doc_id, length(q) >= 4 AND contains({_SQUEEZED.format("text")}, q) AS quoted FROM q""",
+)
 def quotes_of_own_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "documents").where(F.substring("text", 1, 60).rlike(r"^[A-Za-z .,]*$") & ~F.substring("text", 1, 60).contains("\n"))
+    rows = _read(spark, sf_dir, "documents")
     return rows.select("doc_id", S.quoted_in(F.upper(F.substring("text", 11, 40)), F.col("text")).alias("quoted"))
 
 
@@ -292,7 +299,7 @@ def _kin_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "kin_edges",
-    _c("SELECT doc_id, CASE WHEN c_custkey % 5 < 3 THEN 'speaker' ELSE other END AS source_text, given AS target_text, CASE WHEN c_custkey % 5 < 3 THEN kin ELSE kin END AS detail FROM c"),
+    _c("SELECT doc_id, CASE WHEN c_custkey % 5 < 3 THEN 'speaker' ELSE other END AS source_text, given AS target_text, kin AS detail FROM c WHERE c_custkey % 5 <> 1"),
 )
 def kin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, m = _kin_docs(spark, sf_dir)
@@ -305,10 +312,10 @@ def kin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KIN_SEX = "CASE WHEN kin IN ('sister', 'aunt', 'grandmother') THEN 'F' WHEN kin IN ('brother', 'uncle') THEN 'M' END"
 
 
-@query("kin_attributes", _c(f"SELECT doc_id, given AS name, 'FAMILY' AS subtype, {_KIN_SEX} AS gender, kin AS role FROM c WHERE c_custkey % 5 < 3"))
+@query("kin_attributes", _c(f"""SELECT doc_id, given AS name, CASE WHEN c_custkey % 5 <> 1 THEN 'FAMILY' END AS subtype, CASE WHEN c_custkey % 5 <> 1 THEN {_KIN_SEX} END AS gender,
+        CASE WHEN c_custkey % 5 <> 1 THEN kin END AS role FROM c UNION ALL SELECT doc_id, other, 'FAMILY', NULL, NULL FROM c WHERE c_custkey % 5 >= 3"""))
 def kin_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, m = _kin_docs(spark, sf_dir)
-    docs, m = docs.where("c_custkey % 5 < 3"), m.where("CAST(doc_id AS BIGINT) % 5 < 3")
     t = docs.select("doc_id", "text")
     a = rules.person_attributes(m, t, rules.kinship(t, m, build.speakers(docs)))
     return a.select("doc_id", F.col("given").alias("name"), "subtype", "gender", "role")
@@ -406,12 +413,12 @@ def location_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "graph_rings",
-    """WITH e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders WHERE o_custkey <= 200), s AS (SELECT 'c1' AS n UNION ALL SELECT 'c4'),
+    """WITH e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders), s AS (SELECT 'c1' AS n UNION ALL SELECT 'c4'),
        one AS (SELECT DISTINCT b AS n FROM e JOIN s ON a = n) SELECT n AS node, 1 AS ring FROM one
        UNION ALL SELECT DISTINCT a, 2 FROM e JOIN one ON b = one.n WHERE a NOT IN (SELECT n FROM s)""",
 )
 def graph_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "orders").where("o_custkey <= 200").select(F.lit("d").alias("doc_id"), F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("o"), "o_orderkey").alias("target"))
+    e = _read(spark, sf_dir, "orders").select(F.lit("d").alias("doc_id"), F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("o"), "o_orderkey").alias("target"))
     return graph.neighbours(e, spark.createDataFrame([("d", "c1"), ("d", "c4")], "doc_id string, node string")).select("node", "ring")
 
 
@@ -446,10 +453,11 @@ def _spoken(n: Column) -> Column:
     return F.concat(_pick(TENS, F.floor(n / 10) - 2), F.when(n % 10 > 0, F.concat(F.lit("-"), _pick(ONES, n % 10 - 1))).otherwise(F.lit("")))
 
 
-@query("spoken_years", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, make_date(year(o_orderdate), 1, 1) AS resolved FROM orders WHERE year(o_orderdate) BETWEEN 1920 AND 1999")
+@query("spoken_years", "SELECT o_orderkey, CAST(CASE WHEN year(o_orderdate) < 2000 THEN year(o_orderdate) END AS INTEGER) AS year, make_date(year(o_orderdate), 1, 1) AS resolved FROM orders")
 def spoken_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "orders").where("year(o_orderdate) BETWEEN 1920 AND 1999")
-    shown = F.concat(F.lit("back in nineteen "), _spoken(F.year("o_orderdate") % 100))
+    rows = _read(spark, sf_dir, "orders")
+    said = F.concat(F.lit("nineteen "), _spoken(F.year("o_orderdate") % 100))
+    shown = F.concat(F.lit("back in "), F.when(F.year("o_orderdate") < 2000, said).otherwise(F.year("o_orderdate").cast("string")))
     return rows.select("o_orderkey", S.spoken_year(shown).cast("int").alias("year"), S.parse_date(shown)["value"].alias("resolved"))
 
 
@@ -495,12 +503,12 @@ def age_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("entity_id").cast("bigint").alias("p_partkey"), "not_a_measurement", "plausible_range")
 
 
-_SPANS = "SELECT CAST(user_id AS VARCHAR) AS doc_id, CAST(event_id AS VARCHAR) AS id, CAST(event_id * 7 % 1000 AS INTEGER) AS s, CAST(event_id * 7 % 1000 + 4 AS INTEGER) AS e, CAST(event_id * 7 % 1000 // 100 AS INTEGER) AS x, event_id % 3 = 0 AS is_age FROM events WHERE event_id < 3000"
+_SPANS = "SELECT CAST(user_id AS VARCHAR) AS doc_id, CAST(event_id AS VARCHAR) AS id, CAST(event_id * 7 % 1000 AS INTEGER) AS s, CAST(event_id * 7 % 1000 + 4 AS INTEGER) AS e, CAST(event_id * 7 % 1000 // 100 AS INTEGER) AS x, event_id % 3 = 0 AS is_age FROM events"
 
 
 def _event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = (F.col("event_id") * 7 % 1000).cast("int")
-    return _read(spark, sf_dir, "events").where("event_id < 3000").select(F.col("user_id").cast("string").alias("doc_id"), F.col("event_id").cast("string").alias("entity_id"), s.alias("start"), (s + 4).alias("end"), F.floor(s / 100).cast("int").alias("sent_ix"), F.lit("DATE_ABSOLUTE").alias("category"), (F.col("event_id") % 3 == 0).alias("is_age"))
+    return _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("doc_id"), F.col("event_id").cast("string").alias("entity_id"), s.alias("start"), (s + 4).alias("end"), F.floor(s / 100).cast("int").alias("sent_ix"), F.lit("DATE_ABSOLUTE").alias("category"), (F.col("event_id") % 3 == 0).alias("is_age"))
 
 
 @query(
@@ -643,14 +651,14 @@ def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _built(spark: SparkSession, sf_dir: str) -> build.Graph:
     docs, _ = _kin_docs(spark, sf_dir)
-    docs = docs.where("c_custkey % 5 < 3").withColumn("text", F.concat("text", F.lit(" I was fourteen then. It was March 4, 1951. Mail me at kin@mail.example.com.")))
-    forms = F.array(_form(F.col("given"), "PERSON"), _form(F.lit("fourteen"), "AGE"), _form(F.lit("March 4, 1951"), "DATE_ABSOLUTE"), _form(F.lit("kin@mail.example.com"), "EMAIL"))
+    docs = docs.withColumn("text", F.concat("text", F.lit(" I was fourteen then. It was March 4, 1951. Mail me at kin@mail.example.com.")))
+    forms = F.array(_form(F.col("given"), "PERSON"), _form(F.col("other"), "PERSON"), _form(F.lit("fourteen"), "AGE"), _form(F.lit("March 4, 1951"), "DATE_ABSOLUTE"), _form(F.lit("kin@mail.example.com"), "EMAIL"))
     listed = docs.select("doc_id", F.explode(forms).alias("f")).select("doc_id", "f.form", "f.entity_type").distinct()
     found = text.find_forms(docs.select("doc_id", "text"), listed)
     return build.run(docs.select("doc_id", "text", F.lit("1999-06-01").cast("date").alias("interview_date")), found)
 
 
-@query("graph_edges", _c("SELECT doc_id, relation, detail FROM c, (VALUES ('RELATED_TO'), ('STATED_WITH'), ('ATTRIBUTE_OF'), ('ATTRIBUTE_OF')) t(relation), LATERAL (SELECT CASE WHEN relation = 'RELATED_TO' THEN kin ELSE '' END AS detail) WHERE c_custkey % 5 < 3"))
+@query("graph_edges", _c("SELECT doc_id, relation, detail FROM c, (VALUES ('RELATED_TO'), ('STATED_WITH'), ('ATTRIBUTE_OF'), ('ATTRIBUTE_OF')) t(relation), LATERAL (SELECT CASE WHEN relation = 'RELATED_TO' THEN kin ELSE '' END AS detail) WHERE c_custkey % 5 <> 1 OR relation <> 'RELATED_TO'"))
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir).edges.select("doc_id", "relation", "detail")
 
