@@ -28,3 +28,27 @@ def test_run_packs_what_is_left(spark):
 
 def test_stage_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "personal_data", "pack"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns named as operators name their own come through every stage as they were."""
+    from pyspark.sql import functions as F
+
+    names = ["__spans", "__items", "__n_words", "__row", "__text", "__size", "__thash", "__part", "__c0", "__lexicon_odds"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.columns == docs.columns
+        rows = now.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+
+
+def test_empty_and_null_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    none = docs.limit(0)
+    nulls = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0)], docs.schema)
+    for now in (none, nulls):
+        for _, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, SF)
+        assert now.collect() == []

@@ -35,3 +35,14 @@ def test_written_shards_hold_every_row(spark, tmp_path):
     path = sharding.write_shards(d, sharding.text_size(), 4, f"file://{tmp_path}/s")
     back = spark.read.parquet(path)
     assert back.count() == 50 and back.select("__shard").distinct().count() == 4
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    from veilgraph.llm import sharding
+
+    d = spark.createDataFrame([(1, "ab", "x", "y"), (2, None, "z", "w")], "doc_id int, text string, `__size` string, `__part` string")
+    out = sharding.assign_shards(d, sharding.text_size(), 2)
+    assert out.columns == [*d.columns, "___size", "__shard", "__slot"]
+    assert {tuple(r)[:5] for r in out.collect()} == {(1, "ab", "x", "y", 3), (2, None, "z", "w", 1)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veilgraph.store import materialize, new_path, release, shared_dir
 
-__all__ = ["as_bytes", "materialize", "new_path", "release", "row_id", "shared_dir", "small_batches", "table", "words"]
+__all__ = ["as_bytes", "free_name", "materialize", "new_path", "release", "renamed", "restored", "row_id", "shared_dir", "small_batches", "table", "words"]
 
 #: Rows in an Arrow batch: bounds what a Python worker holds of long texts.
 BATCH_ROWS = 1024
@@ -38,6 +38,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df under names that no operator uses for its own columns, and the new name of each column."""
+    names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def restored(names: dict[str, str]) -> list[Column]:
+    """The columns that renamed() renamed, as they were."""
+    return [F.col(n).alias(c) for c, n in names.items()]
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, led by as many underscores as it takes."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
 def row_id(name: str = "__row") -> Column:
     """A number for each row; stable once the frame is materialized."""
     return F.monotonically_increasing_id().alias(name)

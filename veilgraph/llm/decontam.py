@@ -13,7 +13,7 @@ no side without a bound is ever broadcast, and no document text is shuffled.
 
 Defined results: null texts have no words; null item ids count as ''. Documents without words, and
 every document against an empty benchmark, are clean. Repeated rows are judged each on its own.
-Columns that are not named are ignored.
+Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.llm._common import as_bytes, materialize, row_id, small_batches, words
+from veilgraph.llm._common import as_bytes, materialize, renamed, restored, row_id, small_batches, words
 
 WINDOW = 10
 SHINGLE = 3
@@ -206,7 +206,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **o
     )
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents of which no word lies in an occurrence of a benchmark window, all columns kept."""
-    rows = scan(docs, items, docs.columns, **options)
-    return rows.where(F.size("__spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents of which no word lies in an occurrence of a benchmark window, all columns kept, whatever their names."""
+    own, names = renamed(docs)
+    rows = scan(own, items, own.columns, text_col=names[text_col], **options)
+    return rows.where(F.size("__spans") == 0).select(*restored(names))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.llm._common import materialize, small_batches, words
+from veilgraph.llm._common import materialize, renamed, restored, small_batches, words
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -126,7 +126,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     """Log-odds of words that bad texts have far more often; at most LEXICON words from at most fit_rows texts."""
     sample = _labels(labels, id_col).where("__fit").orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
     texts = docs.join(F.broadcast(sample), docs[id_col] == F.col("__id")).select("__bad", F.col(f"`{text_col}`").cast("string").alias("t"))
-    cut = F.split(F.translate(F.lower("t"), "\n\r\t", "   "), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = F.split(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     rows = texts.select("__bad", F.array_distinct(cut).alias("w"))
     total = rows.agg(F.count_if("__bad"), F.count_if(~F.col("__bad"))).first()
     bad, good = total[0] or 0, total[1] or 0
@@ -207,8 +207,11 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The documents that assess() keeps, all columns kept."""
+    """The documents that assess() keeps, all columns kept, whatever their names."""
     lexicon = fit_lexicon(docs, labels, id_col, text_col)
-    cutoffs = fit_cutoffs(measure(docs, [id_col, stratum_col], text_col, lexicon), labels, id_col, stratum_col)
-    rows = measure(docs, docs.columns, text_col, lexicon)
-    return rows.where(~base_failed() & ~rejected(cutoffs, stratum_col)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Cutoffs need the labelled holdout only; the corpus is measured once.
+    held = _labels(labels, id_col).where("NOT __fit").select(F.col("__id").alias(id_col))
+    cutoffs = fit_cutoffs(measure(docs.join(held, id_col, "left_semi"), [id_col, stratum_col], text_col, lexicon), labels, id_col, stratum_col)
+    own, names = renamed(docs)
+    rows = measure(own, own.columns, names[text_col], lexicon)
+    return rows.where(~base_failed() & ~rejected(cutoffs, names[stratum_col])).select(*restored(names))

@@ -22,14 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgraph.llm._common import materialize, new_path, small_batches
+from veilgraph.llm._common import free_name, materialize, new_path, renamed, restored, small_batches
 
 SHARDS = 8
 _OWN = ["__part", "__at", "__size", "__before"]
 
 
-def running_sums(df: DataFrame, size: Column) -> DataFrame:
-    """df with __part, __at (position in it), __size and __before (bytes before the row in its partition)."""
+def running_sums(df: DataFrame) -> DataFrame:
+    """df, of which the last column is __size, with __part, __at (position in it) and __before (bytes before the row in its partition)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, before = TaskContext.get().partitionId(), 0, 0
@@ -42,15 +42,15 @@ def running_sums(df: DataFrame, size: Column) -> DataFrame:
             if n:
                 at, before = at + n, ends[-1].as_py()
 
-    rows = df.withColumn("__size", size.cast("long"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return rows.mapInArrow(run, ", ".join([*kept, "__part int, __at long, __size long, __before long"]))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]]
+    return df.mapInArrow(run, ", ".join([*kept, "__part int, __at long, __size long, __before long"]))
 
 
 def assign_shards(df: DataFrame, size: Column, shards: int = SHARDS) -> DataFrame:
-    """df with __size, __shard and __slot (position in the shard)."""
+    """df with __size, __shard and __slot (position in the shard), led by more underscores where df has such a column."""
     small_batches(df.sparkSession)
-    staged = materialize(running_sums(df, size), "staged")
+    own, names = renamed(df.withColumn(new := free_name("__size", df.columns), size.cast("long")))
+    staged = materialize(running_sums(own.withColumnRenamed(names.pop(new), "__size")), "staged")
     totals = staged.groupBy("__part").agg(F.sum("__size").alias("bytes"), F.count("*").alias("rows"))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
@@ -64,13 +64,14 @@ def assign_shards(df: DataFrame, size: Column, shards: int = SHARDS) -> DataFram
     placed = placed.withColumn("__shard", F.least(F.lit(shards - 1), F.expr(f"({shards} * (2 * (__byte0 + __before) + __size)) div (2 * __all)")).cast("int"))
     first = placed.groupBy("__shard").agg(F.min(F.col("__row0") + F.col("__at")).alias("__first"))
     out = placed.join(F.broadcast(first), "__shard")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], "__size", "__shard", (F.col("__row0") + F.col("__at") - F.col("__first")).alias("__slot"))
+    given = {"__size": F.col("__size"), "__shard": F.col("__shard"), "__slot": F.col("__row0") + F.col("__at") - F.col("__first")}
+    return out.select(*restored(names), *[c.alias(free_name(k, df.columns)) for k, c in given.items()])
 
 
 def write_shards(df: DataFrame, size: Column, shards: int = SHARDS, path: str | None = None) -> str:
     """Write df as Parquet partitioned by shard, rows in slot order within each file; returns the folder."""
     path = path or new_path(df.sparkSession, "shards")
-    assign_shards(df, size, shards).write.partitionBy("__shard").parquet(path)
+    assign_shards(df, size, shards).write.partitionBy(free_name("__shard", df.columns)).parquet(path)
     return path
 
 
