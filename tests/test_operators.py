@@ -190,3 +190,9 @@ def test_kinship_owners(spark):
     names = {r["entity_id"]: r["text"] for r in m.collect()}
     got = {(r["doc_id"], names.get(r["source"], "speaker"), names[r["target"]], r["detail"]) for r in rules.kinship(d, m, build.speakers(d)).collect()}
     assert got == {("d1", "Boyd", "Carl", "brother"), ("d2", "speaker", "Edna", "mother's sister")}
+
+
+def test_alias_cues_of_every_kind(spark):
+    d = docs(spark, "They called Clara 'Dot'.", "We knew him as Big Jim Doe Roe.", "His real name was Carl.", "He went by Skip then.", "She was nicknamed “Bee”. Nobody called.", None, "")
+    got = {(r["doc_id"], r["cue"], r["subject"], r["alias"], r["alias_end"] - r["alias_start"]) for r in entities.alias_cues(d).collect()}
+    assert got == {("d0", "call", "Clara", "Dot", 3), ("d1", "as", "him", "Big Jim Doe", 11), ("d2", "real", "His", "Carl", 4), ("d3", "by", None, "Skip", 4), ("d4", "nick", None, "Bee", 3)}

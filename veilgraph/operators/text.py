@@ -32,29 +32,31 @@ def number_mentions(detections: DataFrame) -> DataFrame:
     return detections.withColumn("mention_id", F.format_string("%s_m%04d", "doc_id", n))
 
 
-def sentence_ends(text: Column) -> Column:
-    """Ends of sentences: runs of terminators that neither abbreviate nor sit in a number, closers absorbed."""
-    runs = regex_spans(text, "[.?!]+[\"'”’)\\]]*")
-    abbreviations = F.array(*map(F.lit, V.ABBREVIATIONS))
-
-    def ends(x: Column) -> Column:
-        marks = F.regexp_extract(x["value"], r"^[.?!]+", 0)
-        before = cut(text, F.greatest(F.lit(0), x["start"] - 40), x["start"])
-        after = cut(text, x["end"], x["end"] + 1)
-        word = F.lower(F.regexp_extract(before, r"([A-Za-z][A-Za-z'&.]*)$", 1))
-        decimal = before.rlike(r"\d$") & after.rlike(r"^\d") & (F.length(x["value"]) == 1)
-        short = F.array_contains(abbreviations, word) | (F.length(word) == 1) | word.rlike(r"^[a-z](?:\.[a-z])+$")
-        return F.when(marks.rlike("[?!]"), True).when(F.length(marks) >= 2, False).otherwise(~decimal & ~short)
-
-    return F.transform(F.filter(runs, ends), lambda x: x["end"])
+def _ends_sentence(word: Column, run: Column) -> Column:
+    """Whether a run of terminators in an unspaced word ends a sentence: not after an abbreviation, an initial or inside a number."""
+    stem = F.substring(word, F.greatest(F.lit(1), run["start"] - 39), F.least(run["start"], F.lit(40)))
+    following = F.substring(word, run["end"] + 1, F.lit(1))
+    letters = F.lower(F.regexp_extract(stem, r"[A-Za-z][A-Za-z&'.]*$", 0))
+    initials = F.split(letters, r"\.")
+    abbreviated = F.array_contains(F.array(*map(F.lit, V.ABBREVIATIONS)), letters) | ((letters != "") & F.forall(initials, lambda x: F.length(x) == 1))
+    in_number = (F.length(run["value"]) == 1) & F.right(stem, F.lit(1)).between("0", "9") & following.between("0", "9")
+    marks = F.regexp_replace(run["value"], "[^.?!]", "")
+    return marks.contains("?") | marks.contains("!") | ((marks == ".") & ~in_number & ~abbreviated)
 
 
 def sentences(transcripts: DataFrame) -> DataFrame:
-    """(doc_id, sent_ix, start, end) tiling each text."""
-    rows = transcripts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.length("text").alias("n"), sentence_ends(F.col("text")).alias("ends"))
-    inner = F.filter("ends", lambda e: e < F.col("n"))
-    bounds = F.when(F.col("n") > 0, F.arrays_zip(F.concat(F.array(F.lit(0)), inner).alias("start"), F.concat(inner, F.array("n")).alias("end")))
-    return rows.select("doc_id", F.posexplode(bounds).alias("sent_ix", "x")).select("doc_id", "sent_ix", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    """(doc_id, sent_ix, start, end) tiling each text.
+
+    Sentences end at runs of terminators that neither abbreviate nor sit in a number, closers absorbed. Each
+    unspaced word with a terminator is a row of its own, so the work is linear in the text.
+    """
+    rows = transcripts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = rows.select("doc_id", F.length("text").alias("n"), F.explode(regex_spans(F.col("text"), r"(?<!\S)[^\s.?!]*+[.?!]\S*")).alias("w"))
+    runs = words.select("doc_id", "n", "w", F.explode(regex_spans(F.col("w.value"), "[.?!]+[\"'”’)\\]]*")).alias("x"))
+    inner = runs.where(_ends_sentence(F.col("w.value"), F.col("x"))).select("doc_id", "n", (F.col("w.start") + F.col("x.end")).alias("end")).where("end < n")
+    w = Window.partitionBy("doc_id").orderBy("end")
+    every = inner.unionByName(rows.select("doc_id", F.length("text").alias("n"), F.length("text").alias("end")).where("n > 0"))
+    return every.select("doc_id", (F.row_number().over(w) - 1).alias("sent_ix"), F.lag("end", 1, 0).over(w).alias("start"), "end")
 
 
 LABEL = r"(?m)^[ \t]*[A-Z][A-Za-z.'’\-]*(?:[ \t]+[A-Z0-9#][A-Za-z0-9.'’\-]*){0,3}[ \t]*:[ \t]*"
