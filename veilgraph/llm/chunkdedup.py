@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from veilgraph.llm._common import as_bytes, materialize, row_id, small_batches
 
-EVERY, LEAST, MOST, WORDS = 26, 4, 512, 20
+EVERY, LEAST, MOST, WORDS = 28, 4, 512, 20
 #: Bytes of a digest: of 1e12 different chunks fewer than one pair in 1e5 corpora would be taken for equal.
 DIGEST = 12
 
