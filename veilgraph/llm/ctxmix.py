@@ -42,7 +42,7 @@ from veilgraph.llm._common import as_bytes, materialize, small_batches
 
 VOCABULARY = 131_072
 TABLE_BITS = 21
-BLOCK, LANES = 64, 128
+BLOCK, LANES = 64, 32
 #: Counters of a table that are summed as one row; how many partitions are summed at a time first.
 PART, FAN = 1 << 14, 1024
 #: A partition's counts are handed on before one of 32 bits can overflow.
@@ -50,7 +50,7 @@ MOST = 1 << 31
 #: Log-odds are kept in steps of 1 / SCALE; slots of each text's own counts.
 SCALE, OWN_BITS = 15, 12
 RATE, MAP_PRIOR, MAP_CELLS = 0.008, 24.0, 33
-CHUNK = 8192
+CHUNK = 2048
 GATES = 24
 STEPS, RIDGE = 2, 50.0
 #: Weights (node, one, two symbols, own text) from which they are learned.
@@ -146,7 +146,7 @@ class Coder:
     def symbols(self, text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """Symbols of the text with its end, its rare tokens, and the vocabulary ids of the others."""
         own = [*tokens(text), b""]
-        ids = np.array(list(map(self.of.get, own, itertools.repeat(-1))), np.int64)
+        ids = np.fromiter(map(self.of.get, own, itertools.repeat(-1)), np.int64, len(own))
         at = np.flatnonzero(ids < 0)
         if not len(at):
             return ids, [], ids
@@ -162,6 +162,12 @@ class Coder:
         out[inside] = spelled.astype(np.int64) + self.escape + 1
         return out, rare, ids[ids >= 0]
 
+    def count_nodes(self, symbols: np.ndarray, counts: np.ndarray) -> None:
+        """Add the decisions of so many of each symbol to the interleaved counts of the nodes, and start the symbols anew."""
+        c = self.codes
+        np.add.at(counts, 2 * c["node"].astype(np.int64) + c["bit"], np.repeat(symbols, c["length"]))
+        symbols[:] = 0
+
     def decisions(self, now: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
         """For symbols and the two before each: index of the symbol, index into the codes, and the hashed slots."""
         c = self.codes
@@ -265,23 +271,28 @@ def predictors(texts: DataFrame, codes: dict, bits: int) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, done = Coder(known.value["codes"], bits), TaskContext.get().partitionId(), 0
-        counts = [np.zeros(2 * n, np.uint32) for n in sizes]
+        counts, symbols = [np.zeros(2 * n, np.uint32) for n in sizes], np.zeros(len(known.value["codes"]["length"]), np.uint32)
         for batch in batches:
             texts = as_bytes(batch.column(0))
             for group in _groups(texts):
                 parts = [coder.symbols(texts[i] or b"")[0] for i in group]
                 flat, size = np.concatenate(parts), np.array([len(p) for p in parts])
                 one, two = before(flat, np.cumsum(size) - size)
+                np.add.at(symbols, flat, np.uint32(1))
                 for i in range(0, len(flat), CHUNK):
                     s = slice(i, i + CHUNK)
                     _, code, first, second = coder.decisions(flat[s], one[s], two[s])
                     bit = coder.codes["bit"].take(code, mode="clip")
-                    for own, slot in zip(counts, (coder.codes["node"].take(code, mode="clip"), first, second), strict=True):
-                        np.add.at(own, 2 * slot.astype(np.int64) + bit, np.uint32(1))
+                    for own, slot in ((counts[1], first), (counts[2], second)):
+                        slot *= 2
+                        slot += bit
+                        np.add.at(own, slot, np.uint32(1))
                     done += len(code)
                     if done > MOST:
+                        coder.count_nodes(symbols, counts[0])
                         yield from _flush(counts, part)
                         done = 0
+        coder.count_nodes(symbols, counts[0])
         yield from _flush(counts, part)
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
@@ -330,6 +341,14 @@ def _groups(texts: list[bytes | None], most: int = 8 << 20) -> Iterator[list[int
         yield group
 
 
+def unfolded(coder: Coder, model: dict) -> dict:
+    """model with what scoring looks up for each decision: log-odds by place in the codes, those of two symbols beside what they have seen."""
+    both = model["odds"][2].astype(np.int16)
+    both *= 4
+    both += model["seen"]
+    return model | {"known": model["odds"][0].take(coder.codes["node"], mode="clip"), "both": both}
+
+
 class Lanes:
     """What each text's decisions know: weights, map and own counts."""
 
@@ -379,6 +398,8 @@ class Lesson:
 
 def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Lesson | None = None) -> np.ndarray:
     """Natural log probability of each text's symbols; with a lesson, weights and map stay as they are and their sums go there."""
+    if "both" not in model:
+        model = unfolded(coder, model)
     order = np.argsort([-len(p) for p in parts], kind="stable")
     parts = [parts[i] for i in order]
     size = np.array([len(p) for p in parts])
@@ -387,8 +408,7 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
     lanes, codes, f = len(parts), coder.codes, np.float32
     now = Lanes(model, lanes)
     out = np.zeros(lanes)
-    by_code = model["odds"][0].take(codes["node"], mode="clip") if len(flat) > len(codes["node"]) else None
-    scaled, table = np.arange(256, dtype=np.uint8).view(np.int8).astype(f) / f(SCALE), model["odds"]
+    pair = now.counts.view(np.complex64)
     for s in range(0, int(size.max(initial=0)), BLOCK):
         active = int((size > s).sum())
         length = np.minimum(BLOCK, size[:active] - s)
@@ -401,15 +421,16 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
         mine = (packed >> 1) & ((1 << OWN_BITS) - 1)
         mine = mine + (who << OWN_BITS)
         gate = (packed >> (OWN_BITS + 1)) & 255
-        gate += model["seen"].take(slot2, mode="clip")
+        both = model["both"].take(slot2, mode="clip")
+        gate += both & 3
+        both >>= 2
         row = packed >> (OWN_BITS + 9)
         own = who * GATES
         own += gate
-        known = table[0].take(codes["node"].take(code, mode="clip"), mode="clip") if by_code is None else by_code.take(code, mode="clip")
-        x = [scaled.take(v, mode="clip") for v in (known.view(np.uint8), table[1].take(slot1, mode="clip").view(np.uint8), table[2].take(slot2, mode="clip").view(np.uint8))]
-        mine *= 2
-        ratio = now.counts.take(mine + 1, mode="clip")
-        ratio /= now.counts.take(mine, mode="clip")
+        # int8 and int16 by float32 give float32.
+        x = [v / f(SCALE) for v in (model["known"].take(code, mode="clip"), model["odds"][1].take(slot1, mode="clip"), both)]
+        times = pair.take(mine, mode="clip")
+        ratio = times.imag / times.real
         x.append(np.log(ratio, out=ratio))
         dot = now.weights[0].take(own, mode="clip") * x[0]
         for w, v in zip(now.weights[1:], x[1:], strict=True):
@@ -432,7 +453,7 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
         q -= f(1)
         np.abs(q, out=q)
         np.maximum(q, f(1e-7), out=q)
-        out[:active] += np.bincount(who, np.log(q, out=q), minlength=active)
+        out[:active] += np.add.reduceat(np.log(q, out=q), np.searchsorted(who, np.arange(active)), dtype=float)
         if lesson:
             lesson.add(gate, row, error, p, x)
         else:
@@ -447,6 +468,7 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
             now.ones[:cells] += seen[:, 1]
             now.all[:cells] += seen.sum(axis=1)
             now.refined[:cells] = now.ones[:cells] / now.all[:cells]
+        mine *= 2
         mine += bit
         np.add.at(now.counts, mine, f(1))
     back = np.empty(lanes)
@@ -460,7 +482,8 @@ def learned(texts: DataFrame, codes: dict, model: dict, bits: int) -> dict:
 
     def pass_over(weights: np.ndarray) -> Lesson | None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coder, own, lesson = Coder(known.value["codes"], bits), known.value["model"] | {"weights": weights}, Lesson()
+            coder, lesson = Coder(known.value["codes"], bits), Lesson()
+            own = unfolded(coder, known.value["model"] | {"weights": weights})
             for batch in batches:
                 raw = as_bytes(batch.column(0))
                 for group in _groups(raw):
@@ -506,6 +529,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = known.value
         coder = Coder(shared["codes"], bits)
+        model = unfolded(coder, shared["model"])
         for batch in batches:
             texts = as_bytes(batch.column(3))
             rows: list = [None] * len(texts)
@@ -517,7 +541,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                     parts.append(symbols)
                     tally = Counter(rare)
                     rows[i] = [len(rare) + len(ids), len(ids), float(shared["base"][ids].sum()), 0.0, len(text), list(tally), list(tally.values())]
-                for i, s in zip(group, score_group(coder, shared["model"], parts), strict=True):
+                for i, s in zip(group, score_group(coder, model, parts), strict=True):
                     rows[i][3] = float(s)
             columns = list(zip(*rows, strict=True)) or [()] * 7
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
