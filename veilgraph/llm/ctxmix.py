@@ -28,17 +28,18 @@ from __future__ import annotations
 import itertools
 import struct
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.llm._common import as_bytes, materialize, small_batches
+from veilgraph.llm._common import materialize, small_batches
 
 VOCABULARY = 131_072
 TABLE_BITS = 21
@@ -49,6 +50,8 @@ PART, FAN = 1 << 14, 1024
 MOST = 1 << 31
 #: Log-odds are kept in steps of 1 / SCALE; slots of each text's own counts.
 SCALE, OWN_BITS = 15, 12
+#: Levels of a tree whose slots share 1 << GROUP neighbours in each table, so that memory is reached once for all of them.
+GROUP = 4
 RATE, MAP_PRIOR, MAP_CELLS = 0.008, 24.0, 33
 CHUNK = 2048
 GATES = 24
@@ -58,9 +61,26 @@ START = (0.4, 0.4, 0.2, 0.1)
 _K1, _K2, _K3 = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words; the end token is not among them."""
-    return text.lower().split()
+def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, one after another, and how many each text has; the end tokens are not among them."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat, n = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    word = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    text = np.repeat(np.arange(len(n)), n)
+    return flat.filter(pa.array(word)).cast(pa.binary()), np.bincount(text[word], minlength=len(n))
+
+
+def slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """Stretches of a column with the place where each begins; of at most about `most` bytes, beyond one text."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    begin = total = 0
+    for i, size in enumerate(sizes):
+        if i > begin and total + size > most:
+            yield begin, column.slice(begin, i - begin)
+            begin, total = i, 0
+        total += size
+    if len(sizes) > begin:
+        yield begin, column.slice(begin)
 
 
 def huffman(weights: list[int]) -> tuple[np.ndarray, array, bytearray]:
@@ -121,17 +141,23 @@ def build_codes(words: list[bytes], counts: list[int], rare: int) -> dict:
 def _derived(codes: dict) -> dict:
     """What follows from the codes for each of their decisions; worked out where it is used, to ship less.
 
-    row and gate, slot of the text's own counts and bit are packed: 8, 8, OWN_BITS and 1 bits.
+    Decisions are taken in groups of `GROUP` levels, whose slots lie side by side: a slot is a hash of the
+    group's first node, xor a place that the bits since then tell. Cell, gate, own slot and bit are packed:
+    6, 8, OWN_BITS and 1 bits.
     """
-    node, length = codes["node"], codes["length"]
+    node, length, bit = codes["node"], codes["length"], codes["bit"]
     depth = np.arange(len(node)) - np.repeat(codes["start"], length)
-    below = node >= codes["inner"]
-    step = node.astype(np.uint32) * _K2
-    own = (node.astype(np.uint32) * _K1) >> np.uint32(32 - OWN_BITS)
+    below, since = node >= codes["inner"], depth % GROUP
+    first, place = np.arange(len(node)) - since, np.ones(len(node), np.int32)
+    for k in range(GROUP - 1):
+        deeper = since > k
+        place[deeper] = 2 * place[deeper] + bit[first[deeper] + k]
+    head = node[first].astype(np.uint32)
+    own = ((head * _K1) >> np.uint32(32 - OWN_BITS)).astype(np.int32) ^ place
     packed = (MAP_CELLS * below + MAP_CELLS // 2).astype(np.int32)
-    for value, bits in ((12 * below + 3 * np.minimum(depth >> 2, 3), 8), (own, OWN_BITS), (codes["bit"], 1)):
+    for value, bits in ((12 * below + 3 * np.minimum(depth >> 2, 3), 8), (own, OWN_BITS), (bit, 1)):
         packed = (packed << bits) | value.astype(np.int32)
-    return codes | {"step": step, "packed": packed}
+    return codes | {"step": head * _K2, "place": place.astype(np.uint8), "packed": packed}
 
 
 class Coder:
@@ -139,28 +165,49 @@ class Coder:
 
     def __init__(self, codes: dict, bits: int) -> None:
         self.codes = _derived(codes)
-        self.of = {w: i for i, w in enumerate(codes["words"])}
+        self.words = pa.array(codes["words"], pa.binary())
         self.escape = len(codes["words"])
+        self.end = pc.index(self.words, b"").as_py() if self.escape else -1
         self.shift = np.uint32(32 - bits)
 
-    def symbols(self, text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """Symbols of the text with its end, its rare tokens, and the vocabulary ids of the others."""
-        own = [*tokens(text), b""]
-        ids = np.fromiter(map(self.of.get, own, itertools.repeat(-1)), np.int64, len(own))
+    def encoded(self, column: pa.Array) -> tuple[list[np.ndarray], list[list[bytes]], list[np.ndarray]]:
+        """Of each text: its symbols with the end, its rare tokens, and the vocabulary ids of the others."""
+        flat, n = tokens(column)
+        known = pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(n + 1) - 1
+        ids, word = np.full(len(known) + len(n), self.end, np.int64), np.ones(len(known) + len(n), bool)
+        word[ends] = False
+        ids[word] = known
         at = np.flatnonzero(ids < 0)
-        if not len(at):
-            return ids, [], ids
-        rare = [own[i] for i in at.tolist()]
+        spelt = iter(flat.filter(pa.array(known < 0)).to_pylist())
+        rare = [next(spelt) if w else b"" for w in word[at].tolist()]
         spelled = np.frombuffer(b"".join([w + (b"\xff" if len(w) % 2 else b"\xff\xff") for w in rare]), "<u2")
         size = np.array([len(w) // 2 + 1 for w in rare], np.int64)
         width = np.ones(len(ids), np.int64)
         width[at] += size
-        first = np.cumsum(width) - width
+        last = np.cumsum(width)
+        first = last - width
         out = np.empty(int(width.sum()), np.int64)
         out[first] = np.where(ids < 0, self.escape, ids)
         inside = np.repeat(first[at] + 1 - (np.cumsum(size) - size), size) + np.arange(len(spelled))
         out[inside] = spelled.astype(np.int64) + self.escape + 1
-        return out, rare, ids[ids >= 0]
+        cuts, many = ends[:-1] + 1, np.searchsorted(at, ends, side="right").tolist()
+        return (
+            np.split(out, last[ends[:-1]]),
+            [rare[a:b] for a, b in itertools.pairwise([0, *many])],
+            [x[x >= 0] for x in np.split(ids, cuts)],
+        )
+
+    def symbols(self, text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """The same of one text."""
+        return tuple(x[0] for x in self.encoded(pa.array([text], pa.binary()).cast(pa.string())))
+
+    def groups(self, column: pa.Array) -> Iterator[list[np.ndarray]]:
+        """Symbols of texts of like length."""
+        for _, texts in slices(column):
+            parts = self.encoded(texts)[0]
+            for group in _groups([len(p) for p in parts]):
+                yield [parts[i] for i in group]
 
     def count_nodes(self, symbols: np.ndarray, counts: np.ndarray) -> None:
         """Add the decisions of so many of each symbol to the interleaved counts of the nodes, and start the symbols anew."""
@@ -179,7 +226,7 @@ class Coder:
         h1 ^= h1 >> np.uint32(15)
         h2 = (h1 * _K2 + (two + 1).astype(np.uint32)) * _K3
         h2 ^= h2 >> np.uint32(13)
-        step = c["step"].take(flat, mode="clip")
+        step, place = c["step"].take(flat, mode="clip"), c["place"].take(flat, mode="clip")
         slots = []
         for h in (h1, h2):
             x = h.take(at, mode="clip")
@@ -187,6 +234,7 @@ class Coder:
             x *= _K3
             x >>= self.shift
             slots.append(x.astype(np.int64))
+            slots[-1] ^= place
         return at, flat, slots[0], slots[1]
 
 
@@ -207,18 +255,20 @@ def token_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
     """(token, n) over all texts; the end token is the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[bytes, int] = defaultdict(int)
 
         def out() -> pa.RecordBatch:
             return pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
 
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                seen.update(tokens(text or b""))
-                seen[b""] += 1
-            if len(seen) > most:
-                yield out()
-                seen.clear()
+            for _, texts in slices(batch.column(0)):
+                counted = tokens(texts)[0].value_counts()
+                for token, n in zip(counted.field(0).to_pylist(), counted.field(1).to_pylist(), strict=True):
+                    seen[token] += n
+                seen[b""] += len(texts)
+                if len(seen) > most:
+                    yield out()
+                    seen.clear()
         yield out()
 
     return texts.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -273,9 +323,7 @@ def predictors(texts: DataFrame, codes: dict, bits: int) -> dict:
         coder, part, done = Coder(known.value["codes"], bits), TaskContext.get().partitionId(), 0
         counts, symbols = [np.zeros(2 * n, np.uint32) for n in sizes], np.zeros(len(known.value["codes"]["length"]), np.uint32)
         for batch in batches:
-            texts = as_bytes(batch.column(0))
-            for group in _groups(texts):
-                parts = [coder.symbols(texts[i] or b"")[0] for i in group]
+            for parts in coder.groups(batch.column(0)):
                 flat, size = np.concatenate(parts), np.array([len(p) for p in parts])
                 one, two = before(flat, np.cumsum(size) - size)
                 np.add.at(symbols, flat, np.uint32(1))
@@ -327,18 +375,10 @@ def fresh() -> dict:
     }
 
 
-def _groups(texts: list[bytes | None], most: int = 8 << 20) -> Iterator[list[int]]:
-    """Places of texts of like length, in groups of at most LANES and, beyond one text, about `most` bytes."""
-    sizes = [len(t or b"") for t in texts]
-    group, size = [], 0
-    for i in sorted(range(len(texts)), key=sizes.__getitem__):
-        if group and (len(group) == LANES or size + sizes[i] > most):
-            yield group
-            group, size = [], 0
-        group.append(i)
-        size += sizes[i]
-    if group:
-        yield group
+def _groups(sizes: list[int]) -> list[list[int]]:
+    """Places of texts of like length, in groups of at most LANES."""
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    return [order[i : i + LANES] for i in range(0, len(order), LANES)]
 
 
 def unfolded(coder: Coder, model: dict) -> dict:
@@ -405,7 +445,7 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
     size = np.array([len(p) for p in parts])
     flat, first = np.concatenate(parts), np.cumsum(size) - size
     one, two = before(flat, first)
-    lanes, codes, f = len(parts), coder.codes, np.float32
+    lanes, packed_codes, f = len(parts), coder.codes["packed"], np.float32
     now = Lanes(model, lanes)
     out = np.zeros(lanes)
     pair = now.counts.view(np.complex64)
@@ -416,15 +456,16 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
         at = np.repeat(first[:active] + s - (np.cumsum(length) - length), length) + np.arange(len(lane))
         owner, code, slot1, slot2 = coder.decisions(flat[at], one[at], two[at])
         who = lane.take(owner, mode="clip")
-        packed = codes["packed"].take(code, mode="clip")
+        packed = packed_codes.take(code, mode="clip")
         bit = packed & 1
-        mine = (packed >> 1) & ((1 << OWN_BITS) - 1)
+        packed >>= 1
+        mine = packed & ((1 << OWN_BITS) - 1)
         mine = mine + (who << OWN_BITS)
-        gate = (packed >> (OWN_BITS + 1)) & 255
+        gate = (packed >> OWN_BITS) & 255
         both = model["both"].take(slot2, mode="clip")
         gate += both & 3
         both >>= 2
-        row = packed >> (OWN_BITS + 9)
+        row = packed >> (OWN_BITS + 8)
         own = who * GATES
         own += gate
         # int8 and int16 by float32 give float32.
@@ -485,9 +526,8 @@ def learned(texts: DataFrame, codes: dict, model: dict, bits: int) -> dict:
             coder, lesson = Coder(known.value["codes"], bits), Lesson()
             own = unfolded(coder, known.value["model"] | {"weights": weights})
             for batch in batches:
-                raw = as_bytes(batch.column(0))
-                for group in _groups(raw):
-                    score_group(coder, own, [coder.symbols(raw[i] or b"")[0] for i in group], lesson)
+                for parts in coder.groups(batch.column(0)):
+                    score_group(coder, own, parts, lesson)
             values = lesson.values()
             yield pa.record_batch([pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], ["i", "v"])
 
@@ -531,18 +571,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         coder = Coder(shared["codes"], bits)
         model = unfolded(coder, shared["model"])
         for batch in batches:
-            texts = as_bytes(batch.column(3))
-            rows: list = [None] * len(texts)
-            for group in _groups(texts):
-                parts = []
-                for i in group:
-                    text = texts[i] or b""
-                    symbols, rare, ids = coder.symbols(text)
-                    parts.append(symbols)
-                    tally = Counter(rare)
-                    rows[i] = [len(rare) + len(ids), len(ids), float(shared["base"][ids].sum()), 0.0, len(text), list(tally), list(tally.values())]
-                for i, s in zip(group, score_group(coder, model, parts), strict=True):
-                    rows[i][3] = float(s)
+            column = batch.column(3)
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+            rows: list = [None] * len(column)
+            for begin, texts in slices(column):
+                symbols, rare, ids = coder.encoded(texts)
+                for group in _groups([len(x) for x in symbols]):
+                    for i, s in zip(group, score_group(coder, model, [symbols[i] for i in group]), strict=True):
+                        tally = Counter(rare[i])
+                        rows[begin + i] = [len(rare[i]) + len(ids[i]), len(ids[i]), float(shared["base"][ids[i]].sum()), float(s), sizes[begin + i], list(tally), list(tally.values())]
             columns = list(zip(*rows, strict=True)) or [()] * 7
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             yield pa.record_batch([*batch.columns[:3], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
