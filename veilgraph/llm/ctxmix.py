@@ -28,7 +28,7 @@ from __future__ import annotations
 import itertools
 import struct
 from array import array
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +70,7 @@ def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(word)).cast(pa.binary()), np.bincount(text[word], minlength=len(n))
 
 
-def slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Stretches of a column with the place where each begins; of at most about `most` bytes, beyond one text."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     begin = total = 0
@@ -146,9 +146,10 @@ def _derived(codes: dict) -> dict:
     6, 8, OWN_BITS and 1 bits.
     """
     node, length, bit = codes["node"], codes["length"], codes["bit"]
-    depth = np.arange(len(node)) - np.repeat(codes["start"], length)
+    at = np.arange(len(node), dtype=np.int32)
+    depth = at - np.repeat(codes["start"].astype(np.int32), length)
     below, since = node >= codes["inner"], depth % GROUP
-    first, place = np.arange(len(node)) - since, np.ones(len(node), np.int32)
+    first, place = at - since, np.ones(len(node), np.uint8)
     for k in range(GROUP - 1):
         deeper = since > k
         place[deeper] = 2 * place[deeper] + bit[first[deeper] + k]
@@ -157,7 +158,7 @@ def _derived(codes: dict) -> dict:
     packed = (MAP_CELLS * below + MAP_CELLS // 2).astype(np.int32)
     for value, bits in ((12 * below + 3 * np.minimum(depth >> 2, 3), 8), (own, OWN_BITS), (bit, 1)):
         packed = (packed << bits) | value.astype(np.int32)
-    return codes | {"step": head * _K2, "place": place.astype(np.uint8), "packed": packed}
+    return codes | {"step": head * _K2, "place": place, "packed": packed}
 
 
 class Coder:
@@ -251,25 +252,24 @@ def remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def token_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
-    """(token, n) over all texts; the end token is the empty one."""
+def token_counts(texts: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """(token, n) over all texts; the end token is the empty one. About `most` tokens are counted at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = defaultdict(int)
+        held: list[pa.Array] = []
 
         def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
+            counted = pa.concat_arrays(held).value_counts()
+            held.clear()
+            return pa.record_batch([counted.field(0), counted.field(1)], ["token", "n"])
 
         for batch in batches:
             for _, texts in slices(batch.column(0)):
-                counted = tokens(texts)[0].value_counts()
-                for token, n in zip(counted.field(0).to_pylist(), counted.field(1).to_pylist(), strict=True):
-                    seen[token] += n
-                seen[b""] += len(texts)
-                if len(seen) > most:
+                held += [tokens(texts)[0], pa.array([b""] * len(texts), pa.binary())]
+                if sum(map(len, held)) > most:
                     yield out()
-                    seen.clear()
-        yield out()
+        if held:
+            yield out()
 
     return texts.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -402,14 +402,14 @@ class Lanes:
 class Lesson:
     """Sums over decisions: gradient and curvature of each gate's weights, and the map's counts."""
 
-    def __init__(self) -> None:
-        n = len(START)
+    def __init__(self, map_only: bool = False) -> None:
+        n, self.map_only = len(START), map_only
         self.slope, self.curve = np.zeros((n, GATES)), np.zeros((n, n, GATES))
         self.ones, self.all = np.zeros(2 * MAP_CELLS), np.zeros(2 * MAP_CELLS)
 
     def add(self, gate: np.ndarray, cell: np.ndarray, bit: np.ndarray, p: np.ndarray, x: list[np.ndarray]) -> None:
         error, spread = bit - p, p * (1 - p)
-        for i, v in enumerate(x):
+        for i, v in enumerate([] if self.map_only else x):
             self.slope[i] += np.bincount(gate, error * v, minlength=GATES)
             own = spread * v
             for j in range(i, len(x)):
@@ -521,9 +521,9 @@ def learned(texts: DataFrame, codes: dict, model: dict, bits: int) -> dict:
     """model with the weights and the map that these texts teach."""
     known = texts.sparkSession.sparkContext.broadcast({"codes": codes, "model": model})
 
-    def pass_over(weights: np.ndarray) -> Lesson | None:
+    def pass_over(weights: np.ndarray, map_only: bool = False) -> Lesson | None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coder, lesson = Coder(known.value["codes"], bits), Lesson()
+            coder, lesson = Coder(known.value["codes"], bits), Lesson(map_only)
             own = unfolded(coder, known.value["model"] | {"weights": weights})
             for batch in batches:
                 for parts in coder.groups(batch.column(0)):
@@ -539,7 +539,7 @@ def learned(texts: DataFrame, codes: dict, model: dict, bits: int) -> dict:
         if not (lesson := pass_over(weights)):
             return model
         weights = lesson.weights(weights)
-    lesson = pass_over(weights)
+    lesson = pass_over(weights, map_only=True)
     known.unpersist()
     # A text starts with the rates learned, held with the weight of the map's prior.
     rates = (start["ones"] + lesson.ones) / (start["all"] + lesson.all)
