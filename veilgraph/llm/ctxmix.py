@@ -53,7 +53,7 @@ SCALE, OWN_BITS = 15, 12
 #: Levels of a tree whose slots share 1 << GROUP neighbours in each table, so that memory is reached once for all of them.
 GROUP = 4
 RATE, MAP_PRIOR, MAP_CELLS = 0.008, 24.0, 33
-CHUNK = 2048
+CHUNK = 4096
 GATES = 24
 STEPS, RIDGE = 2, 50.0
 #: Weights (node, one, two symbols, own text) from which they are learned.
@@ -70,7 +70,7 @@ def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(word)).cast(pa.binary()), np.bincount(text[word], minlength=len(n))
 
 
-def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Stretches of a column with the place where each begins; of at most about `most` bytes, beyond one text."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     begin = total = 0
@@ -147,17 +147,18 @@ def _derived(codes: dict) -> dict:
     """
     node, length, bit = codes["node"], codes["length"], codes["bit"]
     at = np.arange(len(node), dtype=np.int32)
-    depth = at - np.repeat(codes["start"].astype(np.int32), length)
+    # No path is longer than 255: weights would have to grow as fast as Fibonacci's numbers.
+    depth = (at - np.repeat(codes["start"].astype(np.int32), length)).astype(np.uint8)
     below, since = node >= codes["inner"], depth % GROUP
     first, place = at - since, np.ones(len(node), np.uint8)
     for k in range(GROUP - 1):
-        deeper = since > k
-        place[deeper] = 2 * place[deeper] + bit[first[deeper] + k]
+        place = np.where(since > k, 2 * place + bit.take(first + k, mode="clip"), place)
     head = node[first].astype(np.uint32)
     own = ((head * _K1) >> np.uint32(32 - OWN_BITS)).astype(np.int32) ^ place
     packed = (MAP_CELLS * below + MAP_CELLS // 2).astype(np.int32)
-    for value, bits in ((12 * below + 3 * np.minimum(depth >> 2, 3), 8), (own, OWN_BITS), (bit, 1)):
-        packed = (packed << bits) | value.astype(np.int32)
+    for value, bits in ((12 * below.view(np.uint8) + 3 * np.minimum(depth >> 2, 3), 8), (own, OWN_BITS), (bit, 1)):
+        packed <<= bits
+        packed |= value
     return codes | {"step": head * _K2, "place": place, "packed": packed}
 
 
@@ -165,14 +166,16 @@ class Coder:
     """Texts to symbols, and symbols to decisions."""
 
     def __init__(self, codes: dict, bits: int) -> None:
+        # A worker may hold what the task before it needed.
+        pa.default_memory_pool().release_unused()
         self.codes = _derived(codes)
         self.words = pa.array(codes["words"], pa.binary())
         self.escape = len(codes["words"])
         self.end = pc.index(self.words, b"").as_py() if self.escape else -1
         self.shift = np.uint32(32 - bits)
 
-    def encoded(self, column: pa.Array) -> tuple[list[np.ndarray], list[list[bytes]], list[np.ndarray]]:
-        """Of each text: its symbols with the end, its rare tokens, and the vocabulary ids of the others."""
+    def encoded(self, column: pa.Array) -> tuple[list[np.ndarray], list[list[bytes]], np.ndarray, np.ndarray]:
+        """Of each text: its symbols with the end and its rare tokens; vocabulary ids of all tokens (-1: rare) and where each text begins there."""
         flat, n = tokens(column)
         known = pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy(zero_copy_only=False)
         ends = np.cumsum(n + 1) - 1
@@ -192,16 +195,14 @@ class Coder:
         out[first] = np.where(ids < 0, self.escape, ids)
         inside = np.repeat(first[at] + 1 - (np.cumsum(size) - size), size) + np.arange(len(spelled))
         out[inside] = spelled.astype(np.int64) + self.escape + 1
-        cuts, many = ends[:-1] + 1, np.searchsorted(at, ends, side="right").tolist()
-        return (
-            np.split(out, last[ends[:-1]]),
-            [rare[a:b] for a, b in itertools.pairwise([0, *many])],
-            [x[x >= 0] for x in np.split(ids, cuts)],
-        )
+        many, stops = np.searchsorted(at, ends, side="right").tolist(), last[ends].tolist()
+        parts = [out[a:b] for a, b in itertools.pairwise([0, *stops])]
+        return parts, [rare[a:b] for a, b in itertools.pairwise([0, *many])], ids, ends - n
 
     def symbols(self, text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """The same of one text."""
-        return tuple(x[0] for x in self.encoded(pa.array([text], pa.binary()).cast(pa.string())))
+        """Symbols of one text, its rare tokens, and the vocabulary ids of the others."""
+        parts, rare, ids, _ = self.encoded(pa.array([text], pa.binary()).cast(pa.string()))
+        return parts[0], rare[0], ids[ids >= 0]
 
     def groups(self, column: pa.Array) -> Iterator[list[np.ndarray]]:
         """Symbols of texts of like length."""
@@ -234,8 +235,8 @@ class Coder:
             x ^= step
             x *= _K3
             x >>= self.shift
+            x ^= place
             slots.append(x.astype(np.int64))
-            slots[-1] ^= place
         return at, flat, slots[0], slots[1]
 
 
@@ -252,7 +253,7 @@ def remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def token_counts(texts: DataFrame, most: int = 4_000_000) -> DataFrame:
+def token_counts(texts: DataFrame, most: int = 2_000_000) -> DataFrame:
     """(token, n) over all texts; the end token is the empty one. About `most` tokens are counted at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,6 +262,7 @@ def token_counts(texts: DataFrame, most: int = 4_000_000) -> DataFrame:
         def out() -> pa.RecordBatch:
             counted = pa.concat_arrays(held).value_counts()
             held.clear()
+            pa.default_memory_pool().release_unused()
             return pa.record_batch([counted.field(0), counted.field(1)], ["token", "n"])
 
         for batch in batches:
@@ -569,17 +571,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = known.value
         coder = Coder(shared["codes"], bits)
-        model = unfolded(coder, shared["model"])
+        model, price = unfolded(coder, shared["model"]), np.append(shared["base"], 0.0)
         for batch in batches:
             column = batch.column(3)
             sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
             rows: list = [None] * len(column)
             for begin, texts in slices(column):
-                symbols, rare, ids = coder.encoded(texts)
+                symbols, rare, ids, first = coder.encoded(texts)
+                # The place -1, of rare tokens, adds nothing here.
+                base, seen = np.add.reduceat(price[ids], first).tolist(), np.add.reduceat(ids >= 0, first, dtype=np.int64).tolist()
                 for group in _groups([len(x) for x in symbols]):
                     for i, s in zip(group, score_group(coder, model, [symbols[i] for i in group]), strict=True):
                         tally = Counter(rare[i])
-                        rows[begin + i] = [len(rare[i]) + len(ids[i]), len(ids[i]), float(shared["base"][ids[i]].sum()), float(s), sizes[begin + i], list(tally), list(tally.values())]
+                        rows[begin + i] = [len(rare[i]) + seen[i], seen[i], base[i], float(s), sizes[begin + i], list(tally), list(tally.values())]
             columns = list(zip(*rows, strict=True)) or [()] * 7
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             yield pa.record_batch([*batch.columns[:3], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
