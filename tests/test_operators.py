@@ -196,3 +196,23 @@ def test_alias_cues_of_every_kind(spark):
     d = docs(spark, "They called Clara 'Dot'.", "We knew him as Big Jim Doe Roe.", "His real name was Carl.", "He went by Skip then.", "She was nicknamed “Bee”. Nobody called.", None, "")
     got = {(r["doc_id"], r["cue"], r["subject"], r["alias"], r["alias_end"] - r["alias_start"]) for r in entities.alias_cues(d).collect()}
     assert got == {("d0", "call", "Clara", "Dot", 3), ("d1", "as", "him", "Big Jim Doe", 11), ("d2", "real", "His", "Carl", 4), ("d3", "by", None, "Skip", 4), ("d4", "nick", None, "Bee", 3)}
+
+
+def test_plans_hold_an_expression_once(spark):
+    from veilgraph.functions.spans import regex_spans
+    from veilgraph.operators import checks
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    texts = spark.range(3).select(F.col("id").cast("string").alias("text"))
+    assert plan(texts.select(regex_spans(F.col("text"), "needle").alias("x"))).count("needle") == 2
+    keys = "doc_id string, entity_id string, field string"
+    cands = spark.createDataFrame([("d", "e", "gender", "PERSON", "Ann", "F", None, True)], f"{keys}, category string, text string, rule string, llm string, llm_ran boolean")
+    context = spark.createDataFrame([("d", "e", "gender", "F", ["Ann"])], f"{keys}, value string, forms array<string>")
+    own = checks.outcomes(context, ["gender"])
+    assert own.collect() == checks.outcomes(context).collect()
+    assert "not_refuted_by_pronoun" in plan(own) and "plausible_range" not in plan(own)
+    found = arbitration.arbitrate(cands, spark.createDataFrame(own.collect(), own.schema))
+    assert [(r["action"], r["value"]) for r in found.collect()] == [("keep", "F")]
+    assert plan(found).count("spring|summer") <= 2

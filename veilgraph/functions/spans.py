@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 128
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value as a variable: it is computed once and stands in the plan once, however often f reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def regex_spans(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as array of struct(start, end, value); code points, end exclusive.
 
@@ -15,19 +22,17 @@ def regex_spans(text: Column, pattern: str) -> Column:
     lengths give the offsets. Sums are taken in blocks, which keeps texts with many matches linear.
     """
     rx = F.lit(pattern)
-    found = F.regexp_extract_all(text, rx, F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, rx, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)))
 
     def width(x: Column) -> Column:
         return x["gap"] + F.length(x["value"])
 
-    starts = F.aggregate(
-        blocks,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, b: F.struct((a["at"] + F.aggregate(b, F.lit(0), lambda n, x: n + width(x))).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
-        lambda a: a["out"],
-    )
+    def starts(blocks: Column) -> Column:
+        return F.aggregate(
+            blocks,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda a, b: F.struct((a["at"] + F.aggregate(b, F.lit(0), lambda n, x: n + width(x))).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+            lambda a: a["out"],
+        )
 
     def place(block: Column, start: Column) -> Column:
         first = F.struct(start.alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
@@ -38,8 +43,15 @@ def regex_spans(text: Column, pattern: str) -> Column:
 
         return F.aggregate(block, first, step, lambda a: a["out"])
 
+    def spans(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, starts(b), place)))
+
+    def paired(found: Column) -> Column:
+        return F.zip_with(F.slice(F.split(text, rx, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
+
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(F.size(found) > 0, F.flatten(F.zip_with(blocks, starts, place))).otherwise(none)
+    return let(F.regexp_extract_all(text, rx, F.lit(0)), lambda found: F.when(F.size(found) > 0, let(paired(found), spans)).otherwise(none))
 
 
 def cut(text: Column, start: Column, end: Column) -> Column:

@@ -460,11 +460,16 @@ def complete(context: DataFrame) -> DataFrame:
     return context.withColumns(missing) if missing else context
 
 
-def outcomes(candidates: DataFrame) -> DataFrame:
-    """One row for each checker of each candidate (keys, field, value, context): check_ord, check, state."""
+def outcomes(candidates: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """One row for each checker of each candidate (keys, field, value, context): check_ord, check, state.
+
+    fields: those that candidates hold, where it is known; only their checkers enter the plan.
+    """
     rows = complete(candidates)
     per = F.lit(None).cast("array<struct<ord:int,check:string,state:string>>")
     for field, names in FIELDS.items():
+        if fields is not None and field not in fields:
+            continue
         own = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("check"), CHECKERS[n]().alias("state")) for i, n in enumerate(names)])
         per = F.when(F.col("field") == field, own).otherwise(per)
     keys = [k for k in ("doc_id", "entity_id", "field", "value") if k in rows.columns]

@@ -101,9 +101,10 @@ def person_attributes(mentions: DataFrame, transcripts: DataFrame, kin: DataFram
     ends = kin.select("doc_id", F.col("source").alias("entity_id")).union(kin.select("doc_id", F.col("target").alias("entity_id"))).distinct().withColumn("kin", F.lit(True))
     towards = kin.groupBy("doc_id", F.col("target").alias("entity_id")).agg(F.min_by("detail", "source").alias("detail"))
     rows = longest.join(cues, ["doc_id", "entity_id"]).join(ends, ["doc_id", "entity_id"], "left").join(towards, ["doc_id", "entity_id"], "left")
-    parts = S.name_parts(F.col("name"))
+    # Columns of their own, as each reader would else have a copy in the plan.
     public = F.exists("forms", lambda f: f.isin(*V.PUBLIC_FIGURES)) & ~F.col("personal") & F.col("kin").isNull()
-    titles = F.array_compact("titles")
+    rows = rows.withColumns({"__parts": S.name_parts(F.col("name")), "__public": public, "titles": F.array_compact("titles")})
+    parts, public, titles = F.col("__parts"), F.col("__public"), F.col("titles")
     return rows.select(
         "doc_id",
         "entity_id",

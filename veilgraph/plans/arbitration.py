@@ -132,13 +132,17 @@ def _with_checks(rows: DataFrame, checks: DataFrame, value: str, prefix: str) ->
 
 
 def resolve(rows: DataFrame) -> DataFrame:
-    """The decision table: action, value, source, blocking."""
+    """The decision table: action, value, source, blocking.
+
+    What is read several times is a column of its own, as plans would else hold a copy for each reader.
+    """
     rule, llm = F.col("rule"), F.col("llm")
-    has_r, has_l = ~S.is_empty(rule), ~S.is_empty(llm)
-    same = agree(rule, llm)
+    kept = rows.columns
+    rows = rows.withColumns({"__rule": ~S.is_empty(rule), "__llm": ~S.is_empty(llm), "__same": agree(rule, llm), "__safe": safer(rule, llm)})
+    has_r, has_l, same, safe = F.col("__rule"), F.col("__llm"), F.col("__same"), F.col("__safe")
     conflict = has_r & has_l & ~same
-    action = F.when(has_r & ~has_l, "keep").when(~has_r & ~has_l, "reject").when(has_r & same, "confirm").when(conflict, "conflict").when(F.size("l_failed") > 0, "reject").otherwise("fill")
-    safe = safer(rule, llm)
+    decided = F.when(has_r & ~has_l, "keep").when(~has_r & ~has_l, "reject").when(has_r & same, "confirm").when(conflict, "conflict").when(F.size("l_failed") > 0, "reject").otherwise("fill")
+    action = F.col("action")
     value = F.when((action == "conflict") & (F.col("conflict") == "block"), F.lit(None).cast("string")).when((action == "conflict") & (F.col("conflict") == "safe_direction"), safe).when(action == "fill", llm).when(has_r, rule)
     source = (
         F.when(action == "keep", "rule")
@@ -150,19 +154,22 @@ def resolve(rows: DataFrame) -> DataFrame:
     )
     may = F.col("llm_ran") & (F.col("tier") == "REQUIRED_VERIFIED")
     blocks = action.isin("keep", "reject") | ((action == "conflict") & (F.col("conflict") != "safe_direction"))
-    return rows.withColumns({"action": action, "out": value, "source": source, "blocking": may & blocks})
+    return rows.withColumn("action", decided).select(*kept, "action", value.alias("out"), source.alias("source"), (may & blocks).alias("blocking"))
 
 
 def guard(rows: DataFrame) -> DataFrame:
     """Checks the surviving value where the policy calls it unsafe."""
     out = F.col("out")
     unsafe = F.when(F.col("unsafe").isin("always", "any"), ~S.is_empty(out)).when(F.col("unsafe").isNotNull(), F.lower(out) == F.col("unsafe")).otherwise(False)
-    unsafe = F.coalesce(unsafe, F.lit(False))
-    failed, unproven = unsafe & (F.size("o_failed") > 0), unsafe & (F.size("o_passed") == 0)
+    kept = [c for c in rows.columns if c not in ("action", "out", "source", "blocking")]
+    rows = rows.withColumn("__unsafe", F.coalesce(unsafe, F.lit(False)))
+    unsafe = F.col("__unsafe")
+    rows = rows.withColumn("__failed", unsafe & (F.size("o_failed") > 0))
+    failed, unproven = F.col("__failed"), unsafe & (F.size("o_passed") == 0)
     required = F.col("tier") == "REQUIRED_VERIFIED"
     blocking = F.when(failed, required).when(unsafe, (F.col("blocking") & unproven) | (required & unproven & ~S.is_empty(out))).otherwise(F.col("blocking"))
     return rows.select(
-        *[c for c in rows.columns if c not in ("action", "out", "source", "blocking")],
+        *kept,
         F.when(failed, "conflict").otherwise(F.col("action")).alias("action"),
         F.when(failed, F.col("safe_value")).otherwise(out).alias("out"),
         F.when(failed, "rule").otherwise(F.col("source")).alias("source"),
@@ -199,6 +206,9 @@ def arbitrate(candidates: DataFrame, outcomes: DataFrame, registry: DataFrame |
     alone = survivors(outcomes)
     rows = rows.join(alone, ["doc_id", "entity_id", "field"], "left")
     derived = F.coalesce(S.is_empty(F.col("out")) & S.is_empty(F.col("rule")) & F.col("field").isin(*ALTERNATIVES) & (F.size("survivors") == 1), F.lit(False))
+    rows = rows.withColumn("__derived", derived)
+    derived = F.col("__derived")
+    rows = rows.withColumn("__value", F.when(derived, F.get("survivors", F.lit(0))).otherwise(F.col("out")))
     return rows.select(
         "doc_id",
         "entity_id",
@@ -206,7 +216,7 @@ def arbitrate(candidates: DataFrame, outcomes: DataFrame, registry: DataFrame |
         "attr",
         "tier",
         F.when(derived, "fill").otherwise(F.col("action")).alias("action"),
-        canonical(F.when(derived, F.get("survivors", F.lit(0))).otherwise(F.col("out"))).alias("value"),
+        canonical(F.col("__value")).alias("value"),
         F.when(derived, "checker_derived").otherwise(F.col("source")).alias("source"),
         F.when(derived, False).otherwise(F.coalesce("blocking", F.lit(False))).alias("blocking"),
         "passed",

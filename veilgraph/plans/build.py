@@ -110,7 +110,7 @@ def run(transcripts: DataFrame, detections: DataFrame, proposals: DataFrame | No
     m = materialize(all_entities(materialize(found, "mentions")), "entities")
     who = speakers(transcripts)
     turn_rows = materialize(text.turns(transcripts), "turns")
-    masks = text.subject_mask(transcripts, turn_rows)
+    masks = materialize(text.subject_mask(transcripts, turn_rows), "masks")
     tiles = materialize(text.sentences(transcripts), "sentences")
 
     kin = materialize(rules.kinship(transcripts, m, who), "kinship")
@@ -122,7 +122,7 @@ def run(transcripts: DataFrame, detections: DataFrame, proposals: DataFrame | No
 
     values = materialize(values, "values")
     one = m.groupBy("doc_id", "entity_id").agg(F.min_by("category", "start").alias("category"), F.min_by("text", F.struct("start", "end")).alias("text"), F.min("start").alias("start"), F.min_by("end", "start").alias("end"))
-    dates = rules.resolve_dates(one.where(F.col("category").isin(*V.DATES)).join(transcripts.select("doc_id", "interview_date"), "doc_id"))
+    dates = materialize(rules.resolve_dates(one.where(F.col("category").isin(*V.DATES)).join(transcripts.select("doc_id", "interview_date"), "doc_id")), "dates")
     values = values.unionByName(_long(dates.withColumn("keep", F.col("shiftable")), {"resolved": "resolved_value", "shiftable": "shiftable", "approximate": "approximate", "keep": "replace_date"}))
     ages = rules.resolve_ages(one.where("category = 'AGE'"))
     values = values.unionByName(_long(ages.withColumn("replace", F.lit(True)), {"value": "value", "approximate": "approximate", "replace": "replace_age"}))
@@ -130,7 +130,7 @@ def run(transcripts: DataFrame, detections: DataFrame, proposals: DataFrame | No
     values = values.unionByName(_long(ids.withColumn("kind", F.when(F.col("flag").isNull(), F.col("category"))), {"kind": "kind", "identifying": "identifying"}))
 
     edges = kin.select("doc_id", "source", "target", F.lit("RELATED_TO").alias("relation"), "detail", "evidence")
-    near = rules.stated_with(text.at_position(ages, tiles, "start", "sent_ix"), text.at_position(dates, tiles, "start", "sent_ix"))
+    near = materialize(rules.stated_with(text.at_position(ages, tiles, "start", "sent_ix"), text.at_position(dates, tiles, "start", "sent_ix")), "near")
     edges = edges.unionByName(near.select("doc_id", F.col("age_id").alias("source"), F.col("date_id").alias("target"), F.lit("STATED_WITH").alias("relation"), F.lit("").alias("detail"), F.lit("").alias("evidence")))
     found_places = None
     if gazetteer is None:
@@ -151,7 +151,7 @@ def run(transcripts: DataFrame, detections: DataFrame, proposals: DataFrame | No
     nodes = one.select("doc_id", "entity_id", "category").unionByName(who.select("doc_id", F.col("speaker_id").alias("entity_id"), F.lit("SPEAKER").alias("category")))
     fields = nodes.join(F.broadcast(arbitration.field_map(spark)), "category")
     given = proposals if proposals is not None else spark.createDataFrame([], "doc_id string, entity_id string, field string, value string")
-    context = _evidence(_context(m, transcripts, kin, masks, clipped), evidence, near, dates, found_places)
+    context = _evidence(materialize(_context(m, transcripts, kin, masks, clipped), "about"), evidence, near, dates, found_places)
     spoken = who.join(masks.withColumnRenamed("text", "subject_text"), "doc_id").join(transcripts, "doc_id").select("doc_id", F.col("speaker_id").alias("entity_id"), "subject_text", F.col("text").alias("doc_text"))
     context = materialize(context.unionByName(spoken.withColumn("category", F.lit("SPEAKER")), allowMissingColumns=True).withColumn("year_limit", F.lit(year_limit)), "context")
     keys = ["doc_id", "entity_id", "field"]
@@ -175,7 +175,7 @@ def run(transcripts: DataFrame, detections: DataFrame, proposals: DataFrame | No
         tried = tried.join(seen, ["doc_id", "entity_id"])
         if found_places is not None:
             tried = tried.withColumn("parent_known", F.when(F.lower("value") == F.col("gaz_parent"), True))
-        outcomes = materialize(checks.outcomes(tried), "outcomes")
+        outcomes = materialize(checks.outcomes(tried, arbitration.WAVES[wave]), "outcomes")
         part = arbitration.arbitrate(own.drop("wave", "ord"), outcomes)
         ledger = materialize(part if ledger is None else ledger.unionByName(part), "ledger")
     ledger = materialize(arbitration.drop_name_collisions(ledger), "ledger")

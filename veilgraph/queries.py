@@ -291,9 +291,13 @@ _KIN_TEXT = {
 }
 
 
-def _kin_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _kin_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = "CASE c_custkey % 5 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _KIN_TEXT.items()) + " END"
-    docs = _customers(spark, sf_dir).withColumn("text", F.expr(case.replace("'''s '", "\"'s \"")))
+    return _customers(spark, sf_dir).withColumn("text", F.expr(case.replace("'''s '", "\"'s \"")))
+
+
+def _kin_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = _kin_texts(spark, sf_dir)
     return docs, materialize(entities.person_entities(_mentions(docs, F.array(_form(F.col("given"), "PERSON"), _form(F.col("other"), "PERSON")))), "people")
 
 
@@ -650,8 +654,7 @@ def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _built(spark: SparkSession, sf_dir: str) -> build.Graph:
-    docs, _ = _kin_docs(spark, sf_dir)
-    docs = docs.withColumn("text", F.concat("text", F.lit(" I was fourteen then. It was March 4, 1951. Mail me at kin@mail.example.com.")))
+    docs = _kin_texts(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" I was fourteen then. It was March 4, 1951. Mail me at kin@mail.example.com.")))
     forms = F.array(_form(F.col("given"), "PERSON"), _form(F.col("other"), "PERSON"), _form(F.lit("fourteen"), "AGE"), _form(F.lit("March 4, 1951"), "DATE_ABSOLUTE"), _form(F.lit("kin@mail.example.com"), "EMAIL"))
     listed = docs.select("doc_id", F.explode(forms).alias("f")).select("doc_id", "f.form", "f.entity_type").distinct()
     found = text.find_forms(docs.select("doc_id", "text"), listed)
