@@ -106,3 +106,15 @@ def test_no_training_rows(spark):
     r = ctxmix.score(d, vocabulary=10, bits=10).collect()
     assert len(r) == 1 and r[0]["train_tokens"] == 0 and r[0]["n_known"] == 0 and r[0]["score"] < 0
     assert ctxmix.score(d.limit(0), vocabulary=10, bits=10).collect() == []
+
+
+def test_texts_are_dealt_anew_across_batches():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (30, 30, 50, 0, 250, 10, 90, 5)] + [None] * 9
+    rows = [pa.record_batch([pa.array(range(i, min(i + 3, 17))), pa.array(texts[i : i + 3], pa.string())], ["i", "t"]) for i in range(0, 17, 3)]
+    dealt = list(ctxmix.pieces(iter(rows), 1, most=100, rows=6))
+    assert [r for b in dealt for r in b.to_pylist()] == [{"i": i, "t": t} for i, t in enumerate(texts)]
+    # Two short batches make one piece, a long text stands alone, and empty texts are bounded by their number.
+    assert [b.num_rows for b in dealt] == [2, 2, 1, 2, 6, 4]
+    assert list(ctxmix.pieces(iter([rows[0].slice(0, 0)]), 1)) == []

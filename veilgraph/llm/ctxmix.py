@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import itertools
 import struct
+import sys
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -50,6 +51,8 @@ PART, FAN = 1 << 14, 1024
 MOST = 1 << 31
 #: Log-odds are kept in steps of 1 / SCALE; slots of each text's own counts.
 SCALE, OWN_BITS = 15, 12
+#: Bits of a decision's cell, gate, own slot and bit.
+PACKED = 6 + 8 + OWN_BITS + 1
 #: Levels of a tree whose slots share 1 << GROUP neighbours in each table, so that memory is reached once for all of them.
 GROUP = 4
 RATE, MAP_PRIOR, MAP_CELLS = 0.008, 24.0, 33
@@ -58,6 +61,8 @@ GATES = 24
 STEPS, RIDGE = 2, 50.0
 #: Weights (node, one, two symbols, own text) from which they are learned.
 START = (0.4, 0.4, 0.2, 0.1)
+#: Where the upper half of 64 bits lies.
+HIGH = int(sys.byteorder == "little")
 _K1, _K2, _K3 = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
@@ -83,6 +88,26 @@ def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, pa.Arra
         yield begin, column.slice(begin)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], texts: int, most: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """All rows in order, dealt anew: at most about `most` bytes of column `texts` at a time, beyond one text, and so many rows.
+
+    Spark's batches have a number of rows; cut one by one they would leave short ends, whose groups are small and cost more.
+    """
+    held: list[pa.RecordBatch] = []
+    total = count = 0
+    for batch in batches:
+        begin = 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_pylist()):
+            if count and (total + size > most or count == rows):
+                yield pa.concat_batches([*held, batch.slice(begin, i - begin)])
+                held, begin, total, count = [], i, 0, 0
+            total += size
+            count += 1
+        held.append(batch.slice(begin))
+    if count:
+        yield pa.concat_batches(held)
+
+
 def huffman(weights: list[int]) -> tuple[np.ndarray, array, bytearray]:
     """Code lengths, and the inner nodes and bits on the paths of all symbols, one after another.
 
@@ -142,8 +167,9 @@ def _derived(codes: dict) -> dict:
     """What follows from the codes for each of their decisions; worked out where it is used, to ship less.
 
     Decisions are taken in groups of `GROUP` levels, whose slots lie side by side: a slot is a hash of the
-    group's first node, xor a place that the bits since then tell. Cell, gate, own slot and bit are packed:
-    6, 8, OWN_BITS and 1 bits.
+    group's first node, xor a place that the bits since then tell. One number of 64 bits has all of a decision, so
+    that memory is reached once for it: 32 bits of the hash, GROUP of the place, and cell, gate, own slot and bit
+    in 6, 8, OWN_BITS and 1.
     """
     node, length, bit = codes["node"], codes["length"], codes["bit"]
     at = np.arange(len(node), dtype=np.int32)
@@ -159,7 +185,11 @@ def _derived(codes: dict) -> dict:
     for value, bits in ((12 * below.view(np.uint8) + 3 * np.minimum(depth >> 2, 3), 8), (own, OWN_BITS), (bit, 1)):
         packed <<= bits
         packed |= value
-    return codes | {"step": head * _K2, "place": place, "packed": packed}
+    word = (head * _K2).astype(np.uint64)
+    word <<= np.uint64(32)
+    word |= place.astype(np.uint64) << np.uint64(PACKED)
+    word |= packed.astype(np.uint64)
+    return codes | {"word": word}
 
 
 class Coder:
@@ -218,26 +248,28 @@ class Coder:
         symbols[:] = 0
 
     def decisions(self, now: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For symbols and the two before each: index of the symbol, index into the codes, and the hashed slots."""
+        """For symbols and the two before each: what is packed of each decision, its index into the codes, and the hashed slots."""
         c = self.codes
         length = c["length"].take(now, mode="clip")
-        at = np.repeat(np.arange(len(now)), length)
         flat = np.repeat(c["start"].take(now, mode="clip") - (np.cumsum(length) - length), length)
         flat += np.arange(len(flat))
         h1 = (one + 1).astype(np.uint32) * _K1
         h1 ^= h1 >> np.uint32(15)
         h2 = (h1 * _K2 + (two + 1).astype(np.uint32)) * _K3
         h2 ^= h2 >> np.uint32(13)
-        step, place = c["step"].take(flat, mode="clip"), c["place"].take(flat, mode="clip")
+        halves = c["word"].take(flat, mode="clip").view(np.uint32)
+        step, place = halves[HIGH::2].copy(), halves[1 - HIGH :: 2].copy()
+        packed = (place & np.uint32((1 << PACKED) - 1)).view(np.int32)
+        place >>= np.uint32(PACKED)
         slots = []
         for h in (h1, h2):
-            x = h.take(at, mode="clip")
+            x = h.repeat(length)
             x ^= step
             x *= _K3
             x >>= self.shift
             x ^= place
             slots.append(x.astype(np.int64))
-        return at, flat, slots[0], slots[1]
+        return packed, flat, slots[0], slots[1]
 
 
 def before(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -324,20 +356,20 @@ def predictors(texts: DataFrame, codes: dict, bits: int) -> dict:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, done = Coder(known.value["codes"], bits), TaskContext.get().partitionId(), 0
         counts, symbols = [np.zeros(2 * n, np.uint32) for n in sizes], np.zeros(len(known.value["codes"]["length"]), np.uint32)
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for parts in coder.groups(batch.column(0)):
                 flat, size = np.concatenate(parts), np.array([len(p) for p in parts])
                 one, two = before(flat, np.cumsum(size) - size)
                 np.add.at(symbols, flat, np.uint32(1))
                 for i in range(0, len(flat), CHUNK):
                     s = slice(i, i + CHUNK)
-                    _, code, first, second = coder.decisions(flat[s], one[s], two[s])
-                    bit = coder.codes["bit"].take(code, mode="clip")
+                    packed, _, first, second = coder.decisions(flat[s], one[s], two[s])
+                    bit = packed & 1
                     for own, slot in ((counts[1], first), (counts[2], second)):
                         slot *= 2
                         slot += bit
                         np.add.at(own, slot, np.uint32(1))
-                    done += len(code)
+                    done += len(bit)
                     if done > MOST:
                         coder.count_nodes(symbols, counts[0])
                         yield from _flush(counts, part)
@@ -447,7 +479,7 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
     size = np.array([len(p) for p in parts])
     flat, first = np.concatenate(parts), np.cumsum(size) - size
     one, two = before(flat, first)
-    lanes, packed_codes, f = len(parts), coder.codes["packed"], np.float32
+    lanes, f = len(parts), np.float32
     now = Lanes(model, lanes)
     out = np.zeros(lanes)
     pair = now.counts.view(np.complex64)
@@ -456,9 +488,9 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
         length = np.minimum(BLOCK, size[:active] - s)
         lane = np.repeat(np.arange(active), length)
         at = np.repeat(first[:active] + s - (np.cumsum(length) - length), length) + np.arange(len(lane))
-        owner, code, slot1, slot2 = coder.decisions(flat[at], one[at], two[at])
-        who = lane.take(owner, mode="clip")
-        packed = packed_codes.take(code, mode="clip")
+        symbol = flat[at]
+        packed, code, slot1, slot2 = coder.decisions(symbol, one[at], two[at])
+        who = lane.repeat(coder.codes["length"].take(symbol, mode="clip"))
         bit = packed & 1
         packed >>= 1
         mine = packed & ((1 << OWN_BITS) - 1)
@@ -527,7 +559,7 @@ def learned(texts: DataFrame, codes: dict, model: dict, bits: int) -> dict:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coder, lesson = Coder(known.value["codes"], bits), Lesson(map_only)
             own = unfolded(coder, known.value["model"] | {"weights": weights})
-            for batch in batches:
+            for batch in pieces(batches, 0):
                 for parts in coder.groups(batch.column(0)):
                     score_group(coder, own, parts, lesson)
             values = lesson.values()
@@ -572,7 +604,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         shared = known.value
         coder = Coder(shared["codes"], bits)
         model, price = unfolded(coder, shared["model"]), np.append(shared["base"], 0.0)
-        for batch in batches:
+        for batch in pieces(batches, 3):
             column = batch.column(3)
             sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
             rows: list = [None] * len(column)
