@@ -44,7 +44,9 @@ from veilgraph.llm._common import materialize, small_batches
 
 VOCABULARY = 131_072
 TABLE_BITS = 21
-BLOCK, LANES = 64, 32
+BLOCK, LANES = 64, 64
+#: Bytes of texts that are taken at once; these and LANES hold memory, results don't depend on them.
+SLICE = 4 << 20
 #: Counters of a table that are summed as one row; how many partitions are summed at a time first.
 PART, FAN = 1 << 14, 1024
 #: A partition's counts are handed on before one of 32 bits can overflow.
@@ -75,7 +77,7 @@ def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(word)).cast(pa.binary()), np.bincount(text[word], minlength=len(n))
 
 
-def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
     """Stretches of a column with the place where each begins; of at most about `most` bytes, beyond one text."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     begin = total = 0
@@ -88,7 +90,7 @@ def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, pa.Arra
         yield begin, column.slice(begin)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], texts: int, most: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], texts: int, most: int = SLICE, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """All rows in order, dealt anew: at most about `most` bytes of column `texts` at a time, beyond one text, and so many rows.
 
     Spark's batches have a number of rows; cut one by one they would leave short ends, whose groups are small and cost more.
