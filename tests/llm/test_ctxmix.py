@@ -118,3 +118,38 @@ def test_texts_are_dealt_anew_across_batches():
     # Two short batches make one piece, a long text stands alone, and empty texts are bounded by their number.
     assert [b.num_rows for b in dealt] == [2, 2, 1, 2, 6, 4]
     assert list(ctxmix.pieces(iter([rows[0].slice(0, 0)]), 1)) == []
+
+
+def test_equal_symbols_after_equal_contexts_are_looked_up_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    coder = ctxmix.Coder(ctxmix.build_codes([b"", b"a", b"b", b"c"], [2, 5, 4, 3], 1), 10)
+    now = rng.integers(0, 9, 3000)
+    one, two = ctxmix.before(now, np.array([0, 700]))
+    _, code, *slots = coder.decisions(now, one, two)
+    looked = []
+    paths = ctxmix.Coder._paths
+    monkeypatch.setattr(ctxmix.Coder, "_paths", lambda self, own, *more: looked.append(len(own)) or paths(self, own, *more))
+    for context, slot in zip(ctxmix.contexts(one, two), slots, strict=True):
+        want, got = np.zeros(2 << 10, np.uint32), np.zeros(2 << 10, np.uint32)
+        np.add.at(want, 2 * slot + coder.codes["bit"][code], np.uint32(1))
+        coder.count_contexts(now.astype(np.uint64) << np.uint64(32) | context, got)
+        coder.count_contexts(np.zeros(0, np.uint64), got)
+        assert (got == want).all()
+    assert looked[0] == len(set(zip(now, one, strict=True))) < looked[1] == len(set(zip(now, one, two, strict=True))) < 3000
+
+
+def test_spelling_and_tallies_follow_the_words():
+    import pyarrow as pa
+
+    words = [b"zebra", b"", "qué".encode(), b"of", b"of", b"", b"x"]
+    for held in (pa.array(words, pa.binary()), pa.array([b"cut", *words], pa.binary()).slice(1), pa.array([], pa.binary())):
+        spelled, many = ctxmix.spelling(held)
+        assert spelled.tolist() == [p for w in held.to_pylist() for p in ctxmix.pairs(w)] and many.tolist() == [len(ctxmix.pairs(w)) for w in held.to_pylist()]
+    tokens, times = ctxmix.tallies(pa.array(words, pa.binary()), np.array([0, 3, 3, 7]))
+    assert [dict(zip(*x, strict=True)) for x in zip(tokens.to_pylist(), times.to_pylist(), strict=True)] == [{}, Counter(words[:3]), {}, Counter(words[3:])]
+
+
+def test_a_worker_prepares_the_codes_once():
+    made = []
+    shared = {}
+    assert ctxmix.kept(shared, lambda: made.append(1) or "a") == ctxmix.kept(shared, lambda: made.append(1) or "b") == "a" and made == [1]

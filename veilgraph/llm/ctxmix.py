@@ -30,7 +30,7 @@ import struct
 import sys
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,10 +51,12 @@ SLICE = 4 << 20
 PART, FAN = 1 << 14, 1024
 #: A partition's counts are handed on before one of 32 bits can overflow.
 MOST = 1 << 31
+#: Symbols that are held, so that equal ones after equal contexts are counted at once.
+HELD = 1 << 21
 #: Log-odds are kept in steps of 1 / SCALE; slots of each text's own counts.
 SCALE, OWN_BITS = 15, 12
-#: Bits of a decision's cell, gate, own slot and bit.
-PACKED = 6 + 8 + OWN_BITS + 1
+#: Where a decision's kind (spelled or not, depth), place and log-odds by node lie, above its bit and own slot.
+KIND, PLACE, KNOWN = 1 + OWN_BITS, 4 + OWN_BITS, 24
 #: Levels of a tree whose slots share 1 << GROUP neighbours in each table, so that memory is reached once for all of them.
 GROUP = 4
 RATE, MAP_PRIOR, MAP_CELLS = 0.008, 24.0, 33
@@ -63,6 +65,8 @@ GATES = 24
 STEPS, RIDGE = 2, 50.0
 #: Weights (node, one, two symbols, own text) from which they are learned.
 START = (0.4, 0.4, 0.2, 0.1)
+#: What log-odds of each predictor are in steps of; the weights of lanes are divided by it in place of the log-odds.
+UNITS = (SCALE, SCALE, SCALE, 1)
 #: Where the upper half of 64 bits lies.
 HIGH = int(sys.byteorder == "little")
 _K1, _K2, _K3 = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
@@ -170,27 +174,29 @@ def _derived(codes: dict) -> dict:
 
     Decisions are taken in groups of `GROUP` levels, whose slots lie side by side: a slot is a hash of the
     group's first node, xor a place that the bits since then tell. One number of 64 bits has all of a decision, so
-    that memory is reached once for it: 32 bits of the hash, GROUP of the place, and cell, gate, own slot and bit
-    in 6, 8, OWN_BITS and 1.
+    that memory is reached once for it: 32 bits of the hash, 8 of the log-odds by node (unfolded() adds them), 4 zeros,
+    GROUP of the place, 3 of the kind, OWN_BITS of the own slot, and the bit.
     """
-    node, length, bit = codes["node"], codes["length"], codes["bit"]
-    at = np.arange(len(node), dtype=np.int32)
-    # No path is longer than 255: weights would have to grow as fast as Fibonacci's numbers.
-    depth = (at - np.repeat(codes["start"].astype(np.int32), length)).astype(np.uint8)
-    below, since = node >= codes["inner"], depth % GROUP
-    first, place = at - since, np.ones(len(node), np.uint8)
-    for k in range(GROUP - 1):
-        place = np.where(since > k, 2 * place + bit.take(first + k, mode="clip"), place)
-    head = node[first].astype(np.uint32)
-    own = ((head * _K1) >> np.uint32(32 - OWN_BITS)).astype(np.int32) ^ place
-    packed = (MAP_CELLS * below + MAP_CELLS // 2).astype(np.int32)
-    for value, bits in ((12 * below.view(np.uint8) + 3 * np.minimum(depth >> 2, 3), 8), (own, OWN_BITS), (bit, 1)):
-        packed <<= bits
-        packed |= value
-    word = (head * _K2).astype(np.uint64)
-    word <<= np.uint64(32)
-    word |= place.astype(np.uint64) << np.uint64(PACKED)
-    word |= packed.astype(np.uint64)
+    word = np.empty(len(codes["node"]), np.uint64)
+    # Some symbols at a time: the arrays between would take several times the memory of the result.
+    for i in range(0, len(codes["length"]), 1 << 14):
+        start, length = codes["start"][i : i + (1 << 14)], codes["length"][i : i + (1 << 14)]
+        some = slice(int(start[0]), int(start[-1] + length[-1]))
+        node, bit = codes["node"][some], codes["bit"][some]
+        at = np.arange(len(node))
+        # No path is longer than 255: weights would have to grow as fast as Fibonacci's numbers.
+        depth = (at - np.repeat(start - start[0], length)).astype(np.uint8)
+        below, since = node >= codes["inner"], depth % GROUP
+        first, place = at - since, np.ones(len(node), np.uint8)
+        for k in range(GROUP - 1):
+            place = np.where(since > k, 2 * place + bit.take(first + k, mode="clip"), place)
+        head = node[first].astype(np.uint32)
+        own = ((head * _K1) >> np.uint32(32 - OWN_BITS)).astype(np.int32) ^ place
+        packed = place.astype(np.int32)
+        for value, bits in ((4 * below.view(np.uint8) + np.minimum(depth >> 2, 3), PLACE - KIND), (own, OWN_BITS), (bit, 1)):
+            packed <<= bits
+            packed |= value
+        word[some] = (head * _K2).astype(np.uint64) << np.uint64(32) | packed.astype(np.uint64)
     return codes | {"word": word}
 
 
@@ -198,16 +204,15 @@ class Coder:
     """Texts to symbols, and symbols to decisions."""
 
     def __init__(self, codes: dict, bits: int) -> None:
-        # A worker may hold what the task before it needed.
-        pa.default_memory_pool().release_unused()
         self.codes = _derived(codes)
         self.words = pa.array(codes["words"], pa.binary())
         self.escape = len(codes["words"])
         self.end = pc.index(self.words, b"").as_py() if self.escape else -1
         self.shift = np.uint32(32 - bits)
 
-    def encoded(self, column: pa.Array) -> tuple[list[np.ndarray], list[list[bytes]], np.ndarray, np.ndarray]:
-        """Of each text: its symbols with the end and its rare tokens; vocabulary ids of all tokens (-1: rare) and where each text begins there."""
+    def encoded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all texts with their ends, and where each text stops there; their rare tokens, and where each text
+        stops there; vocabulary ids of all tokens (-1: rare), and where each text begins there."""
         flat, n = tokens(column)
         known = pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy(zero_copy_only=False)
         ends = np.cumsum(n + 1) - 1
@@ -215,10 +220,11 @@ class Coder:
         word[ends] = False
         ids[word] = known
         at = np.flatnonzero(ids < 0)
-        spelt = iter(flat.filter(pa.array(known < 0)).to_pylist())
-        rare = [next(spelt) if w else b"" for w in word[at].tolist()]
-        spelled = np.frombuffer(b"".join([w + (b"\xff" if len(w) % 2 else b"\xff\xff") for w in rare]), "<u2")
-        size = np.array([len(w) // 2 + 1 for w in rare], np.int64)
+        rare = flat.filter(pa.array(known < 0))
+        if self.end < 0:
+            inner = word[at]
+            rare = pc.fill_null(rare.take(pa.array(np.cumsum(inner) - 1, mask=~inner)), b"")
+        spelled, size = spelling(rare)
         width = np.ones(len(ids), np.int64)
         width[at] += size
         last = np.cumsum(width)
@@ -227,19 +233,17 @@ class Coder:
         out[first] = np.where(ids < 0, self.escape, ids)
         inside = np.repeat(first[at] + 1 - (np.cumsum(size) - size), size) + np.arange(len(spelled))
         out[inside] = spelled.astype(np.int64) + self.escape + 1
-        many, stops = np.searchsorted(at, ends, side="right").tolist(), last[ends].tolist()
-        parts = [out[a:b] for a, b in itertools.pairwise([0, *stops])]
-        return parts, [rare[a:b] for a, b in itertools.pairwise([0, *many])], ids, ends - n
+        return out, last[ends], rare, np.searchsorted(at, ends, side="right"), ids, ends - n
 
     def symbols(self, text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """Symbols of one text, its rare tokens, and the vocabulary ids of the others."""
-        parts, rare, ids, _ = self.encoded(pa.array([text], pa.binary()).cast(pa.string()))
-        return parts[0], rare[0], ids[ids >= 0]
+        out, _, rare, _, ids, _ = self.encoded(pa.array([text], pa.binary()).cast(pa.string()))
+        return out, rare.to_pylist(), ids[ids >= 0]
 
     def groups(self, column: pa.Array) -> Iterator[list[np.ndarray]]:
         """Symbols of texts of like length."""
         for _, texts in slices(column):
-            parts = self.encoded(texts)[0]
+            parts = parted(*self.encoded(texts)[:2])
             for group in _groups([len(p) for p in parts]):
                 yield [parts[i] for i in group]
 
@@ -249,29 +253,81 @@ class Coder:
         np.add.at(counts, 2 * c["node"].astype(np.int64) + c["bit"], np.repeat(symbols, c["length"]))
         symbols[:] = 0
 
-    def decisions(self, now: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+    def count_contexts(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Add the decisions of symbols after contexts to the interleaved counts of slots; a key is a symbol above the 32 bits of its context.
+
+        Sorts the keys: equal ones are looked up once, and so are neighbours in the codes.
+        """
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        times = np.diff(first, append=len(keys)).astype(np.uint32)
+        for i in range(0, len(first), CHUNK):
+            own = keys[first[i : i + CHUNK]]
+            packed, _, length, (slot,) = self._paths((own >> np.uint64(32)).astype(np.int64), (own.astype(np.uint32),), self.codes["word"])
+            slot *= 2
+            slot += packed & 1
+            np.add.at(counts, slot, times[i : i + CHUNK].repeat(length))
+
+    def decisions(self, now: np.ndarray, one: np.ndarray, two: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """For symbols and the two before each: what is packed of each decision, its index into the codes, and the hashed slots."""
+        packed, flat, _, slots = self._paths(now, contexts(one, two), self.codes["word"] if word is None else word)
+        return packed, flat, *slots
+
+    def _paths(self, now: np.ndarray, hashes: tuple[np.ndarray, ...], word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         c = self.codes
         length = c["length"].take(now, mode="clip")
         flat = np.repeat(c["start"].take(now, mode="clip") - (np.cumsum(length) - length), length)
         flat += np.arange(len(flat))
-        h1 = (one + 1).astype(np.uint32) * _K1
-        h1 ^= h1 >> np.uint32(15)
-        h2 = (h1 * _K2 + (two + 1).astype(np.uint32)) * _K3
-        h2 ^= h2 >> np.uint32(13)
-        halves = c["word"].take(flat, mode="clip").view(np.uint32)
-        step, place = halves[HIGH::2].copy(), halves[1 - HIGH :: 2].copy()
-        packed = (place & np.uint32((1 << PACKED) - 1)).view(np.int32)
-        place >>= np.uint32(PACKED)
+        halves = word.take(flat, mode="clip").view(np.uint32)
+        step, packed = halves[HIGH::2].copy(), halves[1 - HIGH :: 2].copy()
+        place = packed >> np.uint32(PLACE)
+        place &= np.uint32((1 << GROUP) - 1)
         slots = []
-        for h in (h1, h2):
+        for h in hashes:
             x = h.repeat(length)
             x ^= step
             x *= _K3
             x >>= self.shift
             x ^= place
             slots.append(x.astype(np.int64))
-        return packed, flat, slots[0], slots[1]
+        return packed.view(np.int32), flat, length, slots
+
+
+def spelling(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What pairs() gives for each word, one after another, and how many each has."""
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    many = size // 2 + 1
+    out = np.full(2 * int(many.sum()), 255, np.uint8)
+    if size.any():
+        _, places, data = words.buffers()
+        begin = int(np.frombuffer(places, np.int32)[words.offset])
+        to = np.repeat(2 * (np.cumsum(many) - many) - (np.cumsum(size) - size), size)
+        to += np.arange(len(to))
+        out[to] = np.frombuffer(data, np.uint8)[begin : begin + len(to)]
+    return out.view("<u2"), many
+
+
+def parted(flat: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
+    return [flat[a:b] for a, b in itertools.pairwise([0, *stops.tolist()])]
+
+
+def contexts(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the symbol before, and of the two before."""
+    h1 = (one + 1).astype(np.uint32) * _K1
+    h1 ^= h1 >> np.uint32(15)
+    h2 = (h1 * _K2 + (two + 1).astype(np.uint32)) * _K3
+    h2 ^= h2 >> np.uint32(13)
+    return h1, h2
+
+
+def tallies(rare: pa.Array, stops: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Each text's different rare tokens, and how often it has each: two lists for each text."""
+    coded = rare.dictionary_encode()
+    kinds = max(1, len(coded.dictionary))
+    text = np.repeat(np.arange(len(stops)), np.diff(stops, prepend=0))
+    own, times = np.unique(text * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    at = pa.array(np.searchsorted(own, np.arange(len(stops) + 1) * kinds), pa.int32())
+    return pa.ListArray.from_arrays(at, coded.dictionary.take(pa.array(own % kinds))), pa.ListArray.from_arrays(at, pa.array(times, pa.int64()))
 
 
 def before(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -356,26 +412,34 @@ def predictors(texts: DataFrame, codes: dict, bits: int) -> dict:
     sizes = [codes["nodes"], 1 << bits, 1 << bits]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, done = Coder(known.value["codes"], bits), TaskContext.get().partitionId(), 0
+        coder, part, done = kept(known.value, lambda: Coder(known.value["codes"], bits)), TaskContext.get().partitionId(), 0
         counts, symbols = [np.zeros(2 * n, np.uint32) for n in sizes], np.zeros(len(known.value["codes"]["length"]), np.uint32)
+        # Keys for both tables, of the symbols that aren't counted yet.
+        held, n = [np.empty(HELD, np.uint64) for _ in range(2)], 0
+
+        def count() -> None:
+            for own, keys in zip(counts[1:], held, strict=True):
+                coder.count_contexts(keys[:n], own)
+
         for batch in pieces(batches, 0):
-            for parts in coder.groups(batch.column(0)):
-                flat, size = np.concatenate(parts), np.array([len(p) for p in parts])
-                one, two = before(flat, np.cumsum(size) - size)
-                np.add.at(symbols, flat, np.uint32(1))
-                for i in range(0, len(flat), CHUNK):
-                    s = slice(i, i + CHUNK)
-                    packed, _, first, second = coder.decisions(flat[s], one[s], two[s])
-                    bit = packed & 1
-                    for own, slot in ((counts[1], first), (counts[2], second)):
-                        slot *= 2
-                        slot += bit
-                        np.add.at(own, slot, np.uint32(1))
-                    done += len(bit)
+            flat, stops, *_ = coder.encoded(batch.column(0))
+            hashes = contexts(*before(flat, np.append(0, stops[:-1])))
+            np.add.at(symbols, flat, np.uint32(1))
+            at = 0
+            while at < len(flat):
+                s = slice(at, at + HELD - n)
+                now = flat[s].astype(np.uint64) << np.uint64(32)
+                for keys, h in zip(held, hashes, strict=True):
+                    keys[n : n + len(now)] = now | h[s]
+                at, n, done = at + len(now), n + len(now), done + int(coder.codes["length"].take(flat[s]).sum())
+                if n == HELD:
+                    count()
+                    n = 0
                     if done > MOST:
                         coder.count_nodes(symbols, counts[0])
                         yield from _flush(counts, part)
                         done = 0
+        count()
         coder.count_nodes(symbols, counts[0])
         yield from _flush(counts, part)
 
@@ -418,18 +482,42 @@ def _groups(sizes: list[int]) -> list[list[int]]:
 
 
 def unfolded(coder: Coder, model: dict) -> dict:
-    """model with what scoring looks up for each decision: log-odds by place in the codes, those of two symbols beside what they have seen."""
+    """model with what scoring looks up for each decision: log-odds by node beside its code, those of two symbols beside what they have seen."""
     both = model["odds"][2].astype(np.int16)
     both *= 4
     both += model["seen"]
-    return model | {"known": model["odds"][0].take(coder.codes["node"], mode="clip"), "both": both}
+    word, node, odds = coder.codes["word"].copy(), coder.codes["node"], model["odds"][0].view(np.uint8)
+    for i in range(0, len(word), 1 << 18):
+        word[i : i + (1 << 18)] |= odds.take(node[i : i + (1 << 18)], mode="clip").astype(np.uint64) << np.uint64(KNOWN)
+    return model | {"word": word, "both": both}
+
+
+def kept(shared: dict, make: Callable[[], object]) -> object:
+    """What make() gives, made once for a broadcast value in each worker, where several tasks use it in turn."""
+    # A worker may hold what the task before it needed.
+    pa.default_memory_pool().release_unused()
+    if "kept" not in shared:
+        shared["kept"] = make()
+    return shared["kept"]
+
+
+def ready(shared: dict, bits: int) -> tuple[Coder, dict]:
+    """Coder and unfolded model of a broadcast value."""
+
+    def make() -> tuple[Coder, dict]:
+        coder = Coder(shared["codes"], bits)
+        model = unfolded(coder, shared["model"])
+        coder.codes["word"] = model["word"]
+        return coder, model
+
+    return kept(shared, make)
 
 
 class Lanes:
     """What each text's decisions know: weights, map and own counts."""
 
     def __init__(self, model: dict, lanes: int) -> None:
-        self.weights = [np.tile(w, lanes) for w in model["weights"]]
+        self.weights = [np.tile(w / np.float32(unit), lanes) for w, unit in zip(model["weights"], UNITS, strict=True)]
         self.ones, self.all = np.tile(model["ones"], lanes), np.tile(model["all"], lanes)
         self.refined = (self.ones / self.all).astype(np.float32)
         self.counts = np.full((lanes << OWN_BITS) * 2, 0.4, np.float32)
@@ -491,21 +579,25 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
         lane = np.repeat(np.arange(active), length)
         at = np.repeat(first[:active] + s - (np.cumsum(length) - length), length) + np.arange(len(lane))
         symbol = flat[at]
-        packed, code, slot1, slot2 = coder.decisions(symbol, one[at], two[at])
+        packed, _, slot1, slot2 = coder.decisions(symbol, one[at], two[at], model["word"])
         who = lane.repeat(coder.codes["length"].take(symbol, mode="clip"))
         bit = packed & 1
-        packed >>= 1
-        mine = packed & ((1 << OWN_BITS) - 1)
+        mine = packed >> 1
+        mine &= (1 << OWN_BITS) - 1
         mine = mine + (who << OWN_BITS)
-        gate = (packed >> OWN_BITS) & 255
         both = model["both"].take(slot2, mode="clip")
-        gate += both & 3
-        both >>= 2
-        row = packed >> (OWN_BITS + 8)
-        own = who * GATES
-        own += gate
-        # int8 and int16 by float32 give float32.
-        x = [v / f(SCALE) for v in (model["known"].take(code, mode="clip"), model["odds"][1].take(slot1, mode="clip"), both)]
+        x = [v.astype(f) for v in (packed >> KNOWN, model["odds"][1].take(slot1, mode="clip"), both >> 2)]
+        # A lane has 8 kinds of decisions: GATES with what the longest context has seen, and two halves, each with cells.
+        packed >>= KIND
+        packed &= 7
+        own = who << 3
+        own += packed
+        cell = own >> 2
+        cell *= MAP_CELLS
+        cell += MAP_CELLS // 2
+        own *= 3
+        both &= 3
+        own += both
         times = pair.take(mine, mode="clip")
         ratio = times.imag / times.real
         x.append(np.log(ratio, out=ratio))
@@ -519,9 +611,7 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
         p += f(1)
         np.reciprocal(p, out=p)
         dot *= f(2)
-        row += np.rint(dot, out=dot).astype(np.int32)
-        cell = who * (2 * MAP_CELLS)
-        cell += row
+        cell += np.rint(dot, out=dot).astype(np.int32)
         error = bit.astype(f)
         q = now.refined.take(cell, mode="clip")
         q += p
@@ -532,18 +622,22 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
         np.maximum(q, f(1e-7), out=q)
         out[:active] += np.add.reduceat(np.log(q, out=q), np.searchsorted(who, np.arange(active)), dtype=float)
         if lesson:
-            lesson.add(gate, row, error, p, x)
+            lesson.add(own % GATES, cell % (2 * MAP_CELLS), error, p, [v / f(unit) for v, unit in zip(x, UNITS, strict=True)])
         else:
             error -= p
             top, cells = active * GATES, active * 2 * MAP_CELLS
-            for w, v in zip(now.weights, x, strict=True):
+            for w, v, unit in zip(now.weights, x, UNITS, strict=True):
                 v *= error
-                w[:top] += np.clip(RATE * np.bincount(own, v, minlength=top), -0.2, 0.2)
+                slope = np.zeros(top, f)
+                np.add.at(slope, own, v)
+                slope *= f(RATE / unit)
+                w[:top] += np.clip(slope, f(-0.2), f(0.2)) / f(unit)
             cell *= 2
             cell += bit
             seen = np.bincount(cell, minlength=2 * cells).reshape(-1, 2)
             now.ones[:cells] += seen[:, 1]
-            now.all[:cells] += seen.sum(axis=1)
+            now.all[:cells] += seen[:, 0]
+            now.all[:cells] += seen[:, 1]
             now.refined[:cells] = now.ones[:cells] / now.all[:cells]
         mine *= 2
         mine += bit
@@ -559,8 +653,8 @@ def learned(texts: DataFrame, codes: dict, model: dict, bits: int) -> dict:
 
     def pass_over(weights: np.ndarray, map_only: bool = False) -> Lesson | None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coder, lesson = Coder(known.value["codes"], bits), Lesson(map_only)
-            own = unfolded(coder, known.value["model"] | {"weights": weights})
+            coder, lesson = ready(known.value, bits)[0], Lesson(map_only)
+            own = ready(known.value, bits)[1] | {"weights": weights}
             for batch in pieces(batches, 0):
                 for parts in coder.groups(batch.column(0)):
                     score_group(coder, own, parts, lesson)
@@ -604,23 +698,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = known.value
-        coder = Coder(shared["codes"], bits)
-        model, price = unfolded(coder, shared["model"]), np.append(shared["base"], 0.0)
+        (coder, model), price = ready(shared, bits), np.append(shared["base"], 0.0)
         for batch in pieces(batches, 3):
             column = batch.column(3)
-            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-            rows: list = [None] * len(column)
-            for begin, texts in slices(column):
-                symbols, rare, ids, first = coder.encoded(texts)
-                # The place -1, of rare tokens, adds nothing here.
-                base, seen = np.add.reduceat(price[ids], first).tolist(), np.add.reduceat(ids >= 0, first, dtype=np.int64).tolist()
-                for group in _groups([len(x) for x in symbols]):
-                    for i, s in zip(group, score_group(coder, model, [symbols[i] for i in group]), strict=True):
-                        tally = Counter(rare[i])
-                        rows[begin + i] = [len(rare[i]) + seen[i], seen[i], base[i], float(s), sizes[begin + i], list(tally), list(tally.values())]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            yield pa.record_batch([*batch.columns[:3], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
+            flat, stops, rare, ends, ids, first = coder.encoded(column)
+            # The place -1, of rare tokens, adds nothing here.
+            base, seen = np.add.reduceat(price[ids], first), np.add.reduceat(ids >= 0, first, dtype=np.int64)
+            symbols, scores = parted(flat, stops), np.empty(len(column))
+            for group in _groups([len(x) for x in symbols]):
+                scores[group] = score_group(coder, model, [symbols[i] for i in group])
+            sizes = pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
+            columns = [*(pa.array(x) for x in (np.diff(ends, prepend=0) + seen, seen, base, scores)), sizes, *tallies(rare, ends)]
+            yield pa.record_batch([*batch.columns[:3], *columns], names)
 
     names = ["__row", id_col, "held_out", "n_tokens", "__known", "__base", "__score", "__bytes", "__rare", "__times"]
     kind = source.schema.fields[0].dataType.simpleString()
