@@ -265,7 +265,7 @@ class Coder:
             own = keys[first[i : i + CHUNK]]
             packed, _, length, (slot,) = self._paths((own >> np.uint64(32)).astype(np.int64), (own.astype(np.uint32),), self.codes["word"])
             slot *= 2
-            slot += packed & 1
+            slot += (packed & 1).view(np.uint32)
             np.add.at(counts, slot, times[i : i + CHUNK].repeat(length))
 
     def decisions(self, now: np.ndarray, one: np.ndarray, two: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -276,8 +276,9 @@ class Coder:
     def _paths(self, now: np.ndarray, hashes: tuple[np.ndarray, ...], word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         c = self.codes
         length = c["length"].take(now, mode="clip")
-        flat = np.repeat(c["start"].take(now, mode="clip") - (np.cumsum(length) - length), length)
-        flat += np.arange(len(flat))
+        # Arrays of 32 bits, here and in score_group: they are read and written many times and should stay in a core's cache.
+        flat = np.repeat((c["start"].take(now, mode="clip") - (np.cumsum(length) - length)).astype(np.int32), length)
+        flat += np.arange(len(flat), dtype=np.int32)
         halves = word.take(flat, mode="clip").view(np.uint32)
         step, packed = halves[HIGH::2].copy(), halves[1 - HIGH :: 2].copy()
         place = packed >> np.uint32(PLACE)
@@ -289,7 +290,7 @@ class Coder:
             x *= _K3
             x >>= self.shift
             x ^= place
-            slots.append(x.astype(np.int64))
+            slots.append(x)
         return packed.view(np.int32), flat, length, slots
 
 
@@ -580,11 +581,11 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
         at = np.repeat(first[:active] + s - (np.cumsum(length) - length), length) + np.arange(len(lane))
         symbol = flat[at]
         packed, _, slot1, slot2 = coder.decisions(symbol, one[at], two[at], model["word"])
-        who = lane.repeat(coder.codes["length"].take(symbol, mode="clip"))
+        who = lane.astype(np.int32).repeat(coder.codes["length"].take(symbol, mode="clip"))
         bit = packed & 1
         mine = packed >> 1
         mine &= (1 << OWN_BITS) - 1
-        mine = mine + (who << OWN_BITS)
+        mine += who << OWN_BITS
         both = model["both"].take(slot2, mode="clip")
         x = [v.astype(f) for v in (packed >> KNOWN, model["odds"][1].take(slot1, mode="clip"), both >> 2)]
         # A lane has 8 kinds of decisions: GATES with what the longest context has seen, and two halves, each with cells.
@@ -598,6 +599,7 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
         own *= 3
         both &= 3
         own += both
+        own = own.astype(np.int64)
         times = pair.take(mine, mode="clip")
         ratio = times.imag / times.real
         x.append(np.log(ratio, out=ratio))
@@ -620,7 +622,7 @@ def score_group(coder: Coder, model: dict, parts: list[np.ndarray], lesson: Less
         q -= f(1)
         np.abs(q, out=q)
         np.maximum(q, f(1e-7), out=q)
-        out[:active] += np.add.reduceat(np.log(q, out=q), np.searchsorted(who, np.arange(active)), dtype=float)
+        out[:active] += np.add.reduceat(np.log(q, out=q), np.searchsorted(who, np.arange(active, dtype=np.int32)), dtype=float)
         if lesson:
             lesson.add(own % GATES, cell % (2 * MAP_CELLS), error, p, [v / f(unit) for v, unit in zip(x, UNITS, strict=True)])
         else:
