@@ -216,3 +216,19 @@ def test_plans_hold_an_expression_once(spark):
     found = arbitration.arbitrate(cands, spark.createDataFrame(own.collect(), own.schema))
     assert [(r["action"], r["value"]) for r in found.collect()] == [("keep", "F")]
     assert plan(found).count("spring|summer") <= 2
+
+
+def test_tables_that_grow_are_merged(spark, monkeypatch):
+    plans = {}
+
+    def noted(df, label, write=build.step):
+        plans.setdefault(label, "")
+        plans[label] += df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(build, "step", noted)
+    d = docs(spark, "A: I was fourteen then. My sister Alma left on March 4, 1951.").withColumn("interview_date", F.lit("1999-06-01").cast("date"))
+    g = build.run(d, found(spark, d, ("fourteen", "AGE"), ("Alma", "PERSON"), ("March 4, 1951", "DATE_ABSOLUTE")))
+    assert {r["relation"] for r in g.edges.collect()} == {"RELATED_TO", "STATED_WITH", "ATTRIBUTE_OF"}
+    # The field map and policies are of fixed size; joins of joins count as the product of their sides, small on one document only.
+    assert {k for k, p in plans.items() if "BroadcastExchange" in p} <= {"entities", "context", "candidates", "outcomes", "ledger"}

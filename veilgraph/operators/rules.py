@@ -98,7 +98,7 @@ def person_attributes(mentions: DataFrame, transcripts: DataFrame, kin: DataFram
         F.min_by(F.lower(F.regexp_extract(around, cue, 1)), F.when(around.rlike(cue), F.col("start"))).alias("cue"),
         F.bool_or(before.rlike(rf"(?i)\b(?:my|our)\s+(?:{_KIN}\s+)?$|\b(?:named|called)\s+$") | after.rlike(r"(?i)^[^.!?]*no relation")).alias("personal"),
     )
-    ends = kin.select("doc_id", F.col("source").alias("entity_id")).union(kin.select("doc_id", F.col("target").alias("entity_id"))).distinct().withColumn("kin", F.lit(True))
+    ends = kin.select("doc_id", F.explode(F.array("source", "target")).alias("entity_id")).distinct().withColumn("kin", F.lit(True))
     towards = kin.groupBy("doc_id", F.col("target").alias("entity_id")).agg(F.min_by("detail", "source").alias("detail"))
     rows = longest.join(cues, ["doc_id", "entity_id"]).join(ends, ["doc_id", "entity_id"], "left").join(towards, ["doc_id", "entity_id"], "left")
     # Columns of their own, as each reader would else have a copy in the plan.

@@ -34,6 +34,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def step(df: DataFrame, label: str) -> DataFrame:
+    """materialize for tables that grow with the documents, one of many steps of a job.
+
+    Compressed files are a small part of their rows, so a size taken from files would have the driver collect
+    and broadcast such a table: its joins are merged. What planning the step left on the driver's heap is freed,
+    which else grows to its limit in a job of many plans; shuffle files that nothing refers to go with it.
+    """
+    out = materialize(df, label)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out.hint("merge")
+
+
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table that was left in the shared folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veilgraph")
