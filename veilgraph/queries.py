@@ -16,7 +16,7 @@ from veilgraph.functions.spans import cut
 from veilgraph.operators import checks, entities, rules, text
 from veilgraph.plans import arbitration, artifact, build, graph, scoring
 from veilgraph.sources.readers import gazetteer_tables
-from veilgraph.store import materialize
+from veilgraph.store import materialize, step
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -655,6 +655,8 @@ def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _built(spark: SparkSession, sf_dir: str) -> build.Graph:
     docs = _kin_texts(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" I was fourteen then. It was March 4, 1951. Mail me at kin@mail.example.com.")))
+    # Small files would be read by few tasks, each time; so texts are rendered once and lie in as many files as their size asks for.
+    docs = step(docs.repartition("doc_id"), "transcripts")
     forms = F.array(_form(F.col("given"), "PERSON"), _form(F.col("other"), "PERSON"), _form(F.lit("fourteen"), "AGE"), _form(F.lit("March 4, 1951"), "DATE_ABSOLUTE"), _form(F.lit("kin@mail.example.com"), "EMAIL"))
     listed = docs.select("doc_id", F.explode(forms).alias("f")).select("doc_id", "f.form", "f.entity_type").distinct()
     found = text.find_forms(docs.select("doc_id", "text"), listed)
